@@ -1,8 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 
-_MODULES = (substring_dedup,)
+_MODULES = (substring_dedup, ngram_join)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
