@@ -1,8 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import decontamination, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity
+from . import decontamination, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
 
-_MODULES = (substring_dedup, ngram_join, decontamination, toxicity, token_counts, quality_rules, packing)
+_MODULES = (substring_dedup, ngram_join, decontamination, license_scan, toxicity, url_filter, warc, token_counts, quality_rules, packing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
