@@ -5,11 +5,12 @@ at most k = a (1 - t) / t members (a: size of the smaller), so of m = k + 1 + sp
 index has a list for each (size class, part position, content of the part): a set meets only lists of equal content at its
 own positions, and every other block of the position is skipped unread. Single frequent shingles make no list.
 
-Skipping by relation. In each list all members are compared with its smallest one, the centre; one comparison per member,
-never all pairs. From the centre's answers the others follow: members that link to the centre share its component already;
-for the rest the distance to a member z is at least |d(x, centre) - d(z, centre)|, and only pairs that pass this bound, the
-size bound, share at least as many lists as equal sets must, and are not connected yet are compared. All comparisons are
-of whole sets.
+Skipping by relation. In each list all members are compared with its centre, the member that meets most others over all its
+lists (of near copies: the text they come from); one comparison per member, never all pairs. From the centre's answers the
+others follow: members that link to the centre share its component already. For the rest the distance to a member z is at
+least |d(x, centre) - d(z, centre)|. Every distance is also at least the number of bits in which two parity sketches differ
+(one bit for each of 1,024 hash classes: whether its count is odd), and no sets that differ by too many are compared. Only pairs that pass both bounds and the size bound, share as many
+lists as similar sets must, and are not connected yet are compared. All comparisons are of whole sets.
 
 Sets of equal content are one class before anything is compared, so copies cost one row each. Shingles are 64-bit hashes;
 two sets are held equal if size and two 64-bit sums agree.
@@ -30,6 +31,7 @@ from ._common import BASE_A, WordHashes, connected_components, flat_words, gram_
 SPARE = 4
 SKIPPED = SPARE // 2
 SHRINK = 0.7
+SKETCH = 16  # 64-bit words
 
 
 def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -84,13 +86,15 @@ def _index(k: int, percent: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, scheme = WordHashes(), Scheme(percent)
         for chunk in text_chunks(batches):
-            n, fp1, fp2, sigs, sizes = [], [], [], [], []
+            n, fp1, fp2, sketch, sigs, sizes = [], [], [], [], [], []
             for members in shingle_sets(chunk.column("text").to_pylist(), k, hashes):
                 mixed = mix(members)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
                 n.append(len(members))
                 fp1.append(int(sums[-1]))
                 fp2.append(int(mix(members ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)))
+                odd = np.bincount((mixed >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 got = scheme.signatures(members, sums)
                 sigs += got
                 sizes.append(sum(map(len, got)))
@@ -102,9 +106,10 @@ def _index(k: int, percent: int):
                     pa.array(n, pa.int64()),
                     pa.array(np.array(fp1, np.uint64).view(np.int64)),
                     pa.array(np.array(fp2, np.uint64).view(np.int64)),
+                    pa.array(sketch, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                names=["doc_id", "n", "fp1", "fp2", "sigs"],
+                names=["doc_id", "n", "fp1", "fp2", "sketch", "sigs"],
             )
 
     return each
@@ -133,9 +138,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
     """Pairs (a, b, na, nb) with their distance and whether they link; compared by their whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members binary"), f"{tag}-sets")
+    sets = materialize(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members binary"), f"{tag}-sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
-    got = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_compare, "a long, b long, na long, nb long, common long")
+    got = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_compare, "a long, b long, na long, nb long, common long")
     union = F.expr("na + nb - common")
     return materialize(got.select("a", "b", "na", "nb", F.expr("na + nb - 2 * common").alias("d"), (100 * F.col("common") >= percent * union).alias("linked")), f"{tag}-pairs")
 
@@ -149,19 +154,28 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     """
     base = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = base.where("doc_id IS NOT NULL")
-    index = materialize(base.mapInArrow(_index(words, percent), "doc_id long, n long, fp1 long, fp2 long, sigs array<long>"), "op2-index")
-    filled = index.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "fp1", "fp2")
+    index = materialize(base.mapInArrow(_index(words, percent), "doc_id long, n long, fp1 long, fp2 long, sketch array<long>, sigs array<long>"), "op2-index")
+    filled = index.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "fp1", "fp2", "sketch")
     classes = filled.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(filled.join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep", "n"), "op2-class")
+    member = materialize(filled.join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep", "n", "sketch"), "op2-class")
 
-    # every list: its members but the smallest, and the smallest
+    # every list with two members or more, by class; then its members but the centre, and the centre
     lists = index.where("doc_id IS NOT NULL").select("doc_id", F.explode("sigs").alias("sig"))
-    lists = lists.withColumn("centre", F.min("doc_id").over(Window.partitionBy("sig"))).where("doc_id <> centre")
-    x = member.select("doc_id", F.col("rep").alias("a"), F.col("n").alias("na"))
-    c = member.select(F.col("doc_id").alias("centre"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    met = materialize(lists.join(x, "doc_id").join(c, "centre").where("a <> b").select("sig", "a", "na", "b", "nb").distinct(), "op2-lists")
+    lists = lists.withColumn("size", F.count("*").over(Window.partitionBy("sig"))).where("size > 1")
+    of = member.select("doc_id", F.col("rep").alias("a"), F.col("n").alias("na"))
+    lists = materialize(lists.join(of.hint("merge"), "doc_id").select("sig", "a", "na").distinct(), "op2-lists")
+    sized = lists.join(lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").hint("merge"), "sig")
+    meets = sized.groupBy("a").agg(F.sum("size").alias("meets"))
+    centre = F.max(F.struct("meets", (-F.col("a")).alias("less"), F.col("na").alias("nb"))).over(Window.partitionBy("sig"))
+    met = sized.join(meets.hint("merge"), "a").withColumn("c", centre).select("sig", "a", "na", (-F.col("c.less")).alias("b"), F.col("c.nb").alias("nb"))
+    met = materialize(met.where("a <> b"), "op2-met")
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    stars = _verified(met.where(near).select("a", "b", "na", "nb").distinct(), known, words, percent, "op2-star")
+    most = f"(na + nb) * {100 - percent} >= (100 + {percent})"
+    differ = " + ".join(f"bit_count(sketch[{i}] ^ other[{i}])" for i in range(SKETCH))
+    sketches = member.where("doc_id = rep").select(F.col("rep").alias("a"), "sketch").dropDuplicates(["a"])
+    centres = sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other"))
+    hopeful = met.where(near).select("a", "b", "na", "nb").distinct().join(sketches.hint("merge"), "a").join(centres.hint("merge"), "b").where(f"{most} * ({differ})")
+    stars = _verified(materialize(hopeful.select("a", "b", "na", "nb"), "op2-hopeful"), known, words, percent, "op2-star")
     links = stars.where("linked").select("a", "b")
     found = [links]
 
@@ -170,13 +184,16 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     open_sigs = judged.where("NOT linked").select("sig").distinct()
     group = connected_components(links, "op2-cc1")
     left_over = materialize(
-        judged.join(open_sigs, "sig", "left_semi").join(group.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", "na", "d", "linked", F.coalesce("component", "a").alias("g")),
+        judged.join(open_sigs, "sig", "left_semi")
+        .join(group.withColumnRenamed("node", "a"), "a", "left")
+        .join(sketches, "a")
+        .select("sig", "a", "na", "d", "linked", "sketch", F.coalesce("component", "a").alias("g")),
         "op2-open",
     )
-    p = left_over.where("NOT linked").select("sig", "a", "na", "d", "g")
-    q = left_over.select("sig", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("d").alias("e"), F.col("g").alias("h"), F.col("linked").alias("done"))
-    bound = f"(na + nb) * {100 - percent} >= (100 + {percent}) * abs(d - e)"
-    pairs = p.join(q, "sig").where(f"g <> h AND (done OR a < b) AND a <> b AND {near} AND (d IS NULL OR e IS NULL OR {bound})")
+    p = left_over.where("NOT linked").select("sig", "a", "na", "d", "g", "sketch")
+    q = left_over.select("sig", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("d").alias("e"), F.col("g").alias("h"), F.col("linked").alias("done"), F.col("sketch").alias("other"))
+    bound = f"(d IS NULL OR e IS NULL OR {most} * abs(d - e)) AND {most} * ({differ})"
+    pairs = p.join(q.hint("merge"), "sig").where(f"g <> h AND (done OR a < b) AND a <> b AND {near} AND {bound}")
     pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("IF(a < b, na, nb)").alias("nx"), F.expr("IF(a < b, nb, na)").alias("ny"), "sig")
     pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count_distinct("sig").alias("shared")).where(f"shared >= {SPARE + 1 - SKIPPED}")
     pairs = materialize(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")), "op2-rest")
