@@ -56,7 +56,7 @@ def epoch_day(day: Column) -> Column:
 
 
 def normalize_list(c: Column) -> Column:
-    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def normalize_cwe(c: Column) -> Column:

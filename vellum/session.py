@@ -46,3 +46,15 @@ def session(app: str = "vellum", master: str | None = None) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder every node reaches: below spark.checkpoint.dir, or of our own where that is unset."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="vellum-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/vellum-{uuid.uuid4().hex}"
