@@ -1,6 +1,6 @@
 """Operator 5, toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams of a text's words (with a mark at both ends), each once, hashed. Fitting: a bounded sample of
+Features are the n-grams (three to six bytes) of a text's words, the space at either end included, each once, hashed. Fitting: a bounded sample of
 labelled rows gives presence counts of each feature in both classes, the log ratio of the smoothed shares scales the
 feature, and logistic regression on the scaled features gives the weights. Only the sample's hashed features reach the
 driver. Scoring is one pass over all texts without a shuffle; the weights, at most ``kept`` of them, go to the executors.
@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,36 +21,53 @@ from ._common import id_and_text, table, text_chunks
 ORDERS, SPACE = (3, 4, 5, 6), 1 << 20
 
 
-class Grams(dict):
-    """Word -> hashed n-grams, bounded. With ``weights``, only n-grams that have one."""
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
-    limit = 200_000
 
-    def __init__(self, weights: dict[int, float] | None = None):
-        self.weights = weights
+def grams(texts: list[bytes | None], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hashed n-gram), each pair once and in order. An n-gram may have a space at its ends, none within.
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > self.limit:
-            self.clear()
-        w, hashed = b" " + word + b" ", xxhash.xxh3_64_intdigest
-        found = {hashed(w[i : i + n]) % SPACE for n in ORDERS for i in range(len(w) - n + 1)}
-        if self.weights is not None:
-            found = [g for g in found if g in self.weights]
-        got = self[word] = tuple(found)
-        return got
-
-    def of(self, text: bytes) -> set[int]:
-        return set().union(*map(self.__getitem__, set(text.lower().split())))
+    only: a flag for each hash; the others are left out.
+    """
+    parts = [b" " + (t or b"").lower().translate(_SPACES) + b" " for t in texts]
+    row = np.frombuffer(b"".join(parts), np.uint8)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    spaces = np.concatenate([[0], np.cumsum(row == 32, dtype=np.int32)])
+    wide = row.astype(np.uint64)
+    rolled, found = np.zeros(len(row), np.uint64), []
+    for n in range(1, max(ORDERS) + 1):
+        count = len(row) - n + 1
+        if count <= 0:
+            break
+        rolled = rolled[:count] * np.uint64(0x9E3779B97F4A7C15) + wide[n - 1 :]
+        if n not in ORDERS:
+            continue
+        at = np.flatnonzero(spaces[n - 1 : n - 1 + count] == spaces[1 : count + 1])  # no space within
+        hashed = ((rolled[at] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(44)).astype(np.int64)
+        if only is not None:
+            use = only[hashed]
+            at, hashed = at[use], hashed[use]
+        found.append((owner[at] << 20) | hashed)
+    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return pairs >> 20, pairs & (SPACE - 1)
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[int, float]
+    ids: np.ndarray
+    weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes | None], grams: Grams) -> np.ndarray:
-        get = self.weights.__getitem__
-        z = np.array([self.bias + sum(map(get, sorted(grams.of(t or b"")))) for t in texts])
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a hash has a weight, and its weight."""
+        weight = np.zeros(SPACE)
+        weight[self.ids] = self.weights
+        return weight != 0, weight
+
+    def scores(self, texts: list[bytes | None], table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        known, weight = table or self.table()
+        owner, hashed = grams(texts, known)
+        z = np.bincount(owner, weight[hashed], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -59,7 +75,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, *, smoothing: float = 1.
     """Weights for presence features: log-count ratios times logistic regression weights (full-batch Adam)."""
     if not len(features) or labels.min() == labels.max():  # one class or none: nothing to tell apart
         share = float(labels.mean()) if len(labels) else 0.0
-        return Model({}, 30.0 if share == 1 else -30.0)
+        return Model(np.empty(0, np.int64), np.empty(0), 30.0 if share == 1 else -30.0)
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     cols = np.concatenate(features)
     y = labels.astype(float)
@@ -84,21 +100,22 @@ def fit(features: list[np.ndarray], labels: np.ndarray, *, smoothing: float = 1.
     final = w * scale
     top = np.argsort(-np.abs(final), kind="stable")[:kept]
     top = top[np.abs(final[top]) > 1e-3]
-    return Model({int(ids[i]): float(final[i]) for i in top}, float(bias))
+    return Model(ids[top], final[top], float(bias))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams = Grams()
-    for chunk in text_chunks(batches):
-        got = [np.array(sorted(grams.of(t or b"")), np.int32).tobytes() for t in chunk.column("text").to_pylist()]
+    for chunk in text_chunks(batches, max_bytes=1 << 20):
+        owner, hashed = grams(chunk.column("text").to_pylist())
+        cuts = np.searchsorted(owner, np.arange(chunk.num_rows + 1))
+        got = [hashed[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.record_batch([chunk.column("doc_id"), chunk.column("label"), pa.array(got, pa.binary())], names=["doc_id", "label", "grams"])
 
 
 def _score(model: Model):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(model.weights)
-        for chunk in text_chunks(batches):
-            yield pa.record_batch([chunk.column("doc_id"), pa.array(model.scores(chunk.column("text").to_pylist(), grams))], names=["doc_id", "score"])
+        table = model.table()
+        for chunk in text_chunks(batches, max_bytes=1 << 20):
+            yield pa.record_batch([chunk.column("doc_id"), pa.array(model.scores(chunk.column("text").to_pylist(), table))], names=["doc_id", "score"])
 
     return each
 
