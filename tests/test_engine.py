@@ -257,3 +257,31 @@ def test_late_events_are_left_out_and_state_is_kept(spark, tmp_path):
     flows.run_to_table(df(), f"{top}/out", f"{top}/cp").awaitTermination()
     got = {r["start_ts"].hour: r["total"] for r in spark.read.parquet(f"{top}/out").collect()}
     assert got == {1: 1.0, 9: 1.0}
+
+
+def test_merging_bodies():
+    from vellum.functions.bodies import merge_body
+
+    stored = "mine\n\n## Summary\nold\n\n## Notes\nmine too\n\n```\n## Summary\nnot a heading\n```"
+    got = merge_body(stored, "**A B** — hole\n\n## Summary:\nnew\n\n## CVSS\n9", leads=True)
+    assert got.startswith("**A B** — hole\n\nmine\n\n## Summary:\nnew\n\n## Notes\nmine too") and got.endswith("## CVSS\n9") and "not a heading" in got
+    assert merge_body(got, "**A B** — hole\n\n## Summary:\nnew\n\n## CVSS\n9", leads=True) == got
+
+
+def test_nominations_and_articles(spark):
+    from vellum.sources import pages
+
+    lists = spark.createDataFrame([(2023, '<a href="https://blog.b.org/p">x</a><a href="https://blog.b.org/p">A <b>longer</b> title</a><a href="https://x.com/u">y</a>')], "year int, html string")
+    found = pages.nominations(lists)
+    assert [(r["url"], r["anchor"]) for r in found.collect()] == [("https://blog.b.org/p", "A longer title")]
+    page = "<title>The page's own title</title><time datetime='2023-05-06'><p>" + "good words here " * 60
+    (n,) = pages.articles(found, spark.createDataFrame([("https://blog.b.org/p", page)], "url string, html string")).collect()
+    assert (n["title"], str(n["created"]), n["reason"]) == ("The page's own title", "2023-05-06", None) and n["tags"] == ["blog.b.org", "top10", "top10-2023", "writeup"]
+
+
+def test_technique_notes(spark):
+    kept = spark.createDataFrame([("https://a.org/1", "tech-t", "T", "post-cutoff", "when", "no", "body", ["x", " "])], "key string, note_id string, technique_title string, reason string, when_to_try string, already_known string, body_md string, tags array<string>")
+    c = spark.createDataFrame([("rss", "https://A.org/1/", date(2024, 1, 1), "slug", "T", "text")], "source string, url string, created date, slug string, title string, body string")
+    (n,) = curation.technique_notes(kept, c).collect()
+    assert n["tags"] == ["post-cutoff", "technique", "x"] and n["body"] == "**When to try:** when\n\nbody\n\n---\nSource: https://A.org/1/" and n["links"] == ["slug"]
+    assert c.select(curation.gate_prompt()).first()[0].startswith("Title: T\nSource: rss\nPublished: 2024-01-01\nURL: https://A.org/1/\n\n--- content ---\ntext")

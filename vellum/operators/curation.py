@@ -115,3 +115,19 @@ def gate_accuracy(pairs: DataFrame) -> DataFrame:
         F.count_if((F.col("got") == "drop") & (F.col("human") == "keep")).alias("false_drops"),
         F.count_if(F.col("got").isNull()).alias("errors"),
     )
+
+
+def gate_prompt() -> Column:
+    """What a judge is shown of a candidate (title, source, created, url, body)."""
+    day = F.coalesce(F.date_format("created", "yyyy-MM-dd"), F.lit("unknown"))
+    return F.concat(F.lit("Title: "), "title", F.lit("\nSource: "), "source", F.lit("\nPublished: "), day, F.lit("\nURL: "), F.coalesce("url", F.lit("")), F.lit("\n\n--- content ---\n"), F.substring("body", 1, GATE_CHARS))
+
+
+def technique_notes(kept: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Notes of the verdicts to keep (key, note_id and the verdict's columns), from the candidates (source, url, created, slug)."""
+    c = candidates.select(url_key(F.col("url")).alias("key"), "source", F.col("url").alias("article"), "created", "slug").dropDuplicates(["key"])
+    given = F.coalesce("tags", F.array().cast("array<string>"))
+    tags = F.array_sort(F.array_distinct(F.concat(F.array(F.lit("technique"), F.col("reason")), F.filter(F.transform(given, lambda t: F.trim(t)), lambda t: t != ""))))
+    body = F.concat(F.lit("**When to try:** "), "when_to_try", F.lit("\n\n"), F.trim("body_md"), F.coalesce(F.concat(F.lit("\n\n---\nSource: "), "article"), F.lit("")))
+    extra = F.to_json(F.struct(F.col("reason").alias("keep_reason"), "when_to_try", "already_known"))
+    return kept.join(c, "key").select(F.col("note_id").alias("id"), F.lit("technique").alias("type"), F.col("technique_title").alias("title"), "source", F.col("article").alias("url"), "created", tags.alias("tags"), F.filter(F.array("slug"), lambda s: s != "").alias("links"), extra.alias("extra"), body.alias("body"))
