@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, table, text_chunks
+from ._common import id_and_text, materialize, table, text_chunks
 
 ORDERS, SPACE = (3, 4, 5, 6), 1 << 20
 
@@ -71,21 +71,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, *, smoothing: float = 1.0, least: int = 3, ridge: float = 3e-3, steps: int = 200, kept: int = 50_000) -> Model:
+def fit(features: list[np.ndarray], labels: np.ndarray, *, smoothing: float = 1.0, least: int = 3, ridge: float = 3e-2, steps: int = 200, kept: int = 50_000) -> Model:
     """Weights for presence features: log-count ratios times logistic regression weights (full-batch Adam)."""
     if not len(features) or labels.min() == labels.max():  # one class or none: nothing to tell apart
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.empty(0, np.int64), np.empty(0), 30.0 if share == 1 else -30.0)
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    cols = np.concatenate(features)
     y = labels.astype(float)
-    pos = np.bincount(cols, y[rows], SPACE)
-    neg = np.bincount(cols, 1 - y[rows], SPACE)
+    pos, neg = np.zeros(SPACE), np.zeros(SPACE)
+    for f, label in zip(features, labels, strict=True):
+        (pos if label else neg)[f] += 1  # each feature once in a text
     ratio = np.log(((pos + smoothing) / (y.sum() + 2 * smoothing)) / ((neg + smoothing) / ((1 - y).sum() + 2 * smoothing)))
     use = (pos + neg >= least) & (np.abs(ratio) > 0.7)
-    here = use[cols]
-    rows, cols = rows[here], cols[here]
-    ids, cols = np.unique(cols, return_inverse=True)
+    used = [f[use[f]] for f in features]
+    rows = np.repeat(np.arange(len(used), dtype=np.int32), [len(f) for f in used])
+    ids, cols = np.unique(np.concatenate(used), return_inverse=True)
     scale = ratio[ids]
     x = scale[cols]
     w, bias = np.zeros(len(ids)), 0.0
@@ -134,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_000, id_col:
     sample = parts[0].unionByName(parts[1])
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # 2 x per_class rows of two numbers
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.select("doc_id", "label", "text").mapInArrow(_features, f"doc_id {kind}, label int, grams binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["grams"])))
-    return fit([np.frombuffer(bytes(r["grams"]), np.int32) for r in rows], np.array([r["label"] for r in rows]))
+    found = materialize(texts.select("doc_id", "label", "text").mapInArrow(_features, f"doc_id {kind}, label int, grams binary"), "op5-features")
+    rows = sorted((r["doc_id"], r["label"], bytes(r["grams"])) for r in found.coalesce(8).toLocalIterator())  # the sample, an eighth at a time
+    return fit([np.frombuffer(g, np.int32) for _, _, g in rows], np.array([label for _, label, _ in rows]))
 
 
 def toxicity_scores(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
