@@ -35,6 +35,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables an operator writes on its way, in a folder of the shared one that goes when the work is done.
+
+    What an operator returns must not read from it: its last table is written by ``materialize``.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame | None = None) -> None:
+        """Remove the folder, or the files of one table that nothing reads any more."""
+        context = self.spark.sparkContext
+        paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else {self.path}
+        for path in paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -149,13 +178,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
 
 
-def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long): columns node, component.
 
-    Large-star and small-star in turn, written to the shared folder each round, until the edges no longer change. Every
+    Large-star and small-star in turn, written to the workspace each round, until the edges no longer change. Every
     round sends each edge to its nodes' smallest neighbours by joins and sums over keys, so no group is ever gathered.
     """
-    cur = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), tag)
+    cur = work.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         # large-star: strictly larger neighbours of u point at the smallest of u and its neighbours
@@ -166,8 +195,9 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
         # small-star: smaller neighbours of u, and u itself, point at the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        nxt = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), tag)
+        nxt = work.keep(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         seen = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        work.drop(cur)
         cur = nxt
         if before == seen:
             break

@@ -1,7 +1,8 @@
 """Operator 2, n-gram Jaccard join with set-relation skipping.
 
 Index. A document's shingles are ordered by hash and cut into m parts of the hash range. Two sets of similarity t differ in
-at most k = a (1 - t) / t members (a: size of the smaller), so of m = k + 1 + spare parts at least spare + 1 are equal. The
+at most k = a (1 - t) / t members (a: size of the smaller), so of m = k + 1 + spare parts at least spare + 1 are equal, and at least
+three of these are not empty. The
 index has a list for each (size class, part position, content of the part): a set meets only lists of equal content at its
 own positions, and every other block of the position is skipped unread. Single frequent shingles make no list.
 
@@ -18,6 +19,7 @@ two sets are held equal if size and two 64-bit sums agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BASE_A, WordHashes, connected_components, flat_words, gram_hashes, id_and_text, materialize, mix, prefix_sums, span_hashes, table, text_chunks
+from ._common import BASE_A, WordHashes, Workspace, connected_components, flat_words, gram_hashes, id_and_text, materialize, mix, prefix_sums, span_hashes, table, text_chunks
 
-SPARE = 4
-SKIPPED = SPARE // 2
+SHARED = 3  # lists that two similar sets share at least
 SHRINK = 0.7
 SKETCH = 16  # 64-bit words
 
@@ -57,7 +58,14 @@ class Scheme:
         self.bounds = [-(-percent // gap)]  # no smaller set has a partner that differs
         while self.bounds[-1] < 1 << 40:
             self.bounds.append(int(self.bounds[-1] / SHRINK) + 1)
-        self.parts = [(hi - 1) * gap // percent + 1 + SPARE for hi in self.bounds[1:]]
+        self.parts, self.empty = [], []
+        for lo, hi in zip(self.bounds, self.bounds[1:]):
+            differ, spare = (hi - 1) * gap // percent, SHARED + 1
+            for _ in range(50):  # room for the empty parts that sets of this size have by chance
+                chance = (differ + 1 + spare) * math.exp(-lo / (differ + 1 + spare))
+                spare = max(spare, min(differ + SHARED + 1, math.ceil(SHARED + chance + 3 * chance**0.5)))
+            self.parts.append(differ + 1 + spare)
+            self.empty.append(spare + 1 - SHARED)
         self._edges: dict[int, np.ndarray] = {}
 
     def classes(self, n: int) -> list[int]:
@@ -67,7 +75,8 @@ class Scheme:
         return [c, c - 1] if c and -(-n * self.percent // 100) < self.bounds[c] else [c]
 
     def signatures(self, members: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
-        """One hash per part; empty parts have none where there are few of them. sums: running sums of the mixed members."""
+        """One hash per part. Empty parts have none, unless there are so many that equal parts could be these alone.
+        sums: running sums of the mixed members."""
         out = []
         for c in self.classes(len(members)):
             m = self.parts[c]
@@ -78,7 +87,7 @@ class Scheme:
             cuts = np.concatenate([[0], np.searchsorted(members, self._edges[m]), [len(members)]])
             part = mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ (np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c * 0x51ED270B)))
             full = cuts[1:] > cuts[:-1]
-            out.append(part[full] if m - full.sum() <= SKIPPED else part)
+            out.append(part[full] if m - full.sum() <= self.empty[c] else part)
         return out
 
 
@@ -135,14 +144,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
     """Pairs (a, b, na, nb) with their distance and whether they link; compared by their whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members binary"), f"{tag}-sets")
+    sets = work.keep(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members binary"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
     got = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_compare, "a long, b long, na long, nb long, common long")
     union = F.expr("na + nb - common")
-    return materialize(got.select("a", "b", "na", "nb", F.expr("na + nb - 2 * common").alias("d"), (100 * F.col("common") >= percent * union).alias("linked")), f"{tag}-pairs")
+    got = work.keep(got.select("a", "b", "na", "nb", F.expr("na + nb - 2 * common").alias("d"), (100 * F.col("common") >= percent * union).alias("linked")), "pairs")
+    work.drop(sets)
+    return got
 
 
 def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,55 +164,70 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     id count as one document that links by any of its texts. Other columns are ignored.
     """
     base = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    with Workspace(docs.sparkSession, "op2") as work:
+        return materialize(_joined(base, words, percent, work), "op2-components")
+
+
+def _joined(base: DataFrame, words: int, percent: int, work: Workspace) -> DataFrame:
     known = base.where("doc_id IS NOT NULL")
-    index = materialize(base.mapInArrow(_index(words, percent), "doc_id long, n long, fp1 long, fp2 long, sketch array<long>, sigs array<long>"), "op2-index")
+    index = work.keep(base.mapInArrow(_index(words, percent), "doc_id long, n long, fp1 long, fp2 long, sketch array<long>, sigs array<long>"), "index")
+    rows = work.keep(index.select("doc_id", F.col("n").alias("n_shingles")), "rows")
     filled = index.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "fp1", "fp2", "sketch")
     classes = filled.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(filled.join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep", "n", "sketch"), "op2-class")
+    member = work.keep(filled.join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep", "n", "sketch"), "class")
 
     # every list with two members or more, by class; then its members but the centre, and the centre
     lists = index.where("doc_id IS NOT NULL").select("doc_id", F.explode("sigs").alias("sig"))
     lists = lists.withColumn("size", F.count("*").over(Window.partitionBy("sig"))).where("size > 1")
     of = member.select("doc_id", F.col("rep").alias("a"), F.col("n").alias("na"))
-    lists = materialize(lists.join(of.hint("merge"), "doc_id").select("sig", "a", "na").distinct(), "op2-lists")
+    lists = work.keep(lists.join(of.hint("merge"), "doc_id").select("sig", "a", "na").distinct(), "lists")
+    work.drop(index)
     sized = lists.join(lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").hint("merge"), "sig")
     meets = sized.groupBy("a").agg(F.sum("size").alias("meets"))
     centre = F.max(F.struct("meets", (-F.col("a")).alias("less"), F.col("na").alias("nb"))).over(Window.partitionBy("sig"))
-    met = sized.join(meets.hint("merge"), "a").withColumn("c", centre).select("sig", "a", "na", (-F.col("c.less")).alias("b"), F.col("c.nb").alias("nb"))
-    met = materialize(met.where("a <> b"), "op2-met")
+    met = sized.join(meets.hint("merge"), "a").withColumn("c", centre).select("sig", "a", "na", (-F.col("c.less")).alias("b"), F.col("c.nb").alias("nb"), F.col("c.meets").alias("meets"))
+    met = work.keep(met.where("a <> b"), "met")
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     most = f"(na + nb) * {100 - percent} >= (100 + {percent})"
     differ = " + ".join(f"bit_count(sketch[{i}] ^ other[{i}])" for i in range(SKETCH))
     sketches = member.where("doc_id = rep").select(F.col("rep").alias("a"), "sketch").dropDuplicates(["a"])
     centres = sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other"))
-    hopeful = met.where(near).select("a", "b", "na", "nb").distinct().join(sketches.hint("merge"), "a").join(centres.hint("merge"), "b").where(f"{most} * ({differ})")
-    stars = _verified(materialize(hopeful.select("a", "b", "na", "nb"), "op2-hopeful"), known, words, percent, "op2-star")
+    pair = ["a", "b", "na", "nb"]
+    hopeful = met.where(near).select(*pair, "meets").distinct().join(sketches.hint("merge"), "a").join(centres.hint("merge"), "b").where(f"{most} * ({differ})")
+    hopeful = work.keep(hopeful.select(*pair, "meets"), "hopeful")
+    # first each set with its best centre, then with the centres it is not yet connected with
+    best = F.max_by(F.struct("b", "na", "nb"), F.struct("meets", -F.col("b")))
+    stars = _verified(hopeful.groupBy("a").agg(best.alias("c")).select("a", "c.*").select(*pair), known, words, percent, work)
     links = stars.where("linked").select("a", "b")
+    group = connected_components(links, work)
+    name = lambda df, c, g: df.join(group.select(F.col("node").alias(c), F.col("component").alias(g)), c, "left").withColumn(g, F.coalesce(g, c))
+    apart = work.keep(name(name(hopeful, "a", "g"), "b", "h").where("g <> h").join(stars.select("a", "b"), ["a", "b"], "left_anti").select(*pair).distinct(), "apart")
+    if not apart.isEmpty():
+        more = _verified(apart, known, words, percent, work)
+        stars, links = stars.unionByName(more), links.unionByName(more.where("linked").select("a", "b"))
+        group = connected_components(links, work)
     found = [links]
 
-    # what the centres' answers leave open
-    judged = met.join(stars.select("a", "b", "d", "linked"), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    # what the centres' answers leave open: lists with a member that is not connected with their centre
+    judged = name(name(met.join(stars.select("a", "b", "d"), ["a", "b"], "left"), "a", "g"), "b", "h").withColumn("linked", F.expr("g = h"))
+    judged = work.keep(judged.select("sig", "a", "na", "d", "linked", "g"), "judged")
     open_sigs = judged.where("NOT linked").select("sig").distinct()
-    group = connected_components(links, "op2-cc1")
-    left_over = materialize(
-        judged.join(open_sigs, "sig", "left_semi")
-        .join(group.withColumnRenamed("node", "a"), "a", "left")
-        .join(sketches, "a")
-        .select("sig", "a", "na", "d", "linked", "sketch", F.coalesce("component", "a").alias("g")),
-        "op2-open",
+    left_over = work.keep(
+        judged.join(open_sigs.hint("merge"), "sig", "left_semi").join(sketches.hint("merge"), "a"),
+        "open",
     )
     p = left_over.where("NOT linked").select("sig", "a", "na", "d", "g", "sketch")
     q = left_over.select("sig", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("d").alias("e"), F.col("g").alias("h"), F.col("linked").alias("done"), F.col("sketch").alias("other"))
     bound = f"(d IS NULL OR e IS NULL OR {most} * abs(d - e)) AND {most} * ({differ})"
     pairs = p.join(q.hint("merge"), "sig").where(f"g <> h AND (done OR a < b) AND a <> b AND {near} AND {bound}")
     pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("IF(a < b, na, nb)").alias("nx"), F.expr("IF(a < b, nb, na)").alias("ny"), "sig")
-    pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count_distinct("sig").alias("shared")).where(f"shared >= {SPARE + 1 - SKIPPED}")
-    pairs = materialize(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")), "op2-rest")
+    pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count_distinct("sig").alias("shared")).where(f"shared >= {SHARED}")
+    pairs = work.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")), "rest")
     if not pairs.isEmpty():
-        found.append(_verified(pairs, known, words, percent, "op2-more").where("linked").select("a", "b"))
-        group = connected_components(reduce(DataFrame.unionByName, found), "op2-cc2")
+        found.append(_verified(pairs, known, words, percent, work).where("linked").select("a", "b"))
+        group = connected_components(reduce(DataFrame.unionByName, found), work)
     labels = member.join(group.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    return index.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
