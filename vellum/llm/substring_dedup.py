@@ -9,7 +9,8 @@
    is bounded by the block's text), and all documents of the block are streamed through it. A place counts when the
    passage's every window starts in a document with a smaller id than the one read.
 
-Nothing is gathered by key: groups are windows over sorted rows, which spill. Memory follows the block size.
+Nothing is gathered by key: owners are sums (smallest and largest id of a content, a seed, a window), made before the shuffle
+where rows allow it, and go back to the rows by merge joins, whose hot keys Spark splits. Memory follows the block size.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BASE_A, BASE_B, WordHashes, flat_words, gram_hashes, id_and_text, materialize, prefix_sums, sliding_min, span_hashes, table, text_chunks
+from ._common import BASE_A, BASE_B, WordHashes, Workspace, flat_words, gram_hashes, id_and_text, materialize, prefix_sums, sliding_min, span_hashes, table, text_chunks
 
 _RUN = "seed long, content long, doc_id long, version int, first int, last int"
 _WINDOW = "h1 long, h2 long, doc_id long, version int, first int"
@@ -180,6 +181,23 @@ def _cut(width: int, layout: str, carry: list[str]):
     return each
 
 
+def _confirmed(known: DataFrame, width: int, gram: int, work: Workspace) -> DataFrame:
+    """For each document the spans of window starts that recur, with the smallest document that has them."""
+    runs = work.keep(known.mapInArrow(_runs(width, gram), _RUN), "runs")
+    contents = runs.groupBy("seed", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"))
+    seeds = contents.groupBy("seed").agg(F.min("owner").alias("lo"), F.max("top").alias("hi"), F.count("*").alias("contents")).where("lo < hi")
+    recurring = contents.join(seeds.hint("merge"), "seed").where("contents > 1 OR owner < top").select("seed", "content", "owner", "contents")
+    found = runs.join(recurring.hint("merge"), ["seed", "content"]).where("contents > 1 OR owner < doc_id")
+    found = work.keep(found.select("doc_id", "version", "first", "last", "owner"), "found")
+    work.drop(runs)
+    partial = found.where("owner = doc_id").groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    windows = work.keep(known.join(partial.hint("merge"), ["doc_id", "version"]).mapInArrow(_window_hashes(width), _WINDOW), "windows")
+    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top")
+    owned = windows.join(owners.hint("merge"), ["h1", "h2"]).where("owner < doc_id")
+    confirmed = found.where("owner < doc_id").unionByName(owned.select("doc_id", "version", "first", F.col("first").alias("last"), "owner"))
+    return confirmed.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last", "owner")).alias("spans"))
+
+
 def substring_dedup(docs: DataFrame, *, width: int = 50, gram: int = 16, layout: str = "original", id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:
     """Cut every word that a ``width``-word window covers whose words also stand, in a row, in a document with a smaller id.
 
@@ -193,19 +211,10 @@ def substring_dedup(docs: DataFrame, *, width: int = 50, gram: int = 16, layout:
     carry = list(carry)
     base = id_and_text(docs, id_col, text_col, carry).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("version", F.hash("text"))
     known = base.where("doc_id IS NOT NULL").select("doc_id", "version", "text")
-    runs = known.mapInArrow(_runs(width, gram), _RUN)
-    seed, content = Window.partitionBy("seed"), Window.partitionBy("seed", "content")
-    judged = runs.select("*", F.min("doc_id").over(content).alias("owner"), F.min("doc_id").over(seed).alias("lo"), F.max("doc_id").over(seed).alias("hi"), F.min("content").over(seed).alias("c0"), F.max("content").over(seed).alias("c1"))
-    found = materialize(judged.where("lo < hi AND (owner < doc_id OR c0 <> c1)").select("doc_id", "version", "first", "last", "owner"), "op1-runs")
-    whole = found.where("owner < doc_id")
-    spans = F.collect_list(F.struct("first", "last")).alias("spans")
-    partial = found.where("owner = doc_id").groupBy("doc_id", "version").agg(spans)
-    windows = known.join(partial, ["doc_id", "version"]).mapInArrow(_window_hashes(width), _WINDOW)
-    owned = windows.withColumn("owner", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("owner < doc_id")
-    confirmed = whole.unionByName(owned.select("doc_id", "version", "first", F.col("first").alias("last"), "owner"))
-    per_doc = materialize(confirmed.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last", "owner")).alias("spans")), "op1-spans")
+    with Workspace(docs.sparkSession, "op1") as work:
+        per_doc = materialize(_confirmed(known, width, gram, work), "op1-spans")
     out = f"doc_id long, n_words long, n_removed long, spans array<struct<first:int,end:int>>, kept_text binary{''.join(f', `{f.name}` {f.dataType.simpleString()}' for f in docs.select(*carry).schema)}"
-    cut = base.join(per_doc, ["doc_id", "version"], "left").select("doc_id", "text", "spans", *carry).mapInArrow(_cut(width, layout, carry), out)
+    cut = base.join(per_doc.hint("merge"), ["doc_id", "version"], "left").select("doc_id", "text", "spans", *carry).mapInArrow(_cut(width, layout, carry), out)
     return cut.withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
