@@ -3,6 +3,7 @@
 import json
 from datetime import date, datetime, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,25 @@ def test_technique_notes(spark):
     (n,) = curation.technique_notes(kept, c).collect()
     assert n["tags"] == ["post-cutoff", "technique", "x"] and n["body"] == "**When to try:** when\n\nbody\n\n---\nSource: https://A.org/1/" and n["links"] == ["slug"]
     assert c.select(curation.gate_prompt()).first()[0].startswith("Title: T\nSource: rss\nPublished: 2024-01-01\nURL: https://A.org/1/\n\n--- content ---\ntext")
+
+
+def test_knn_takes_any_number_of_queries(spark):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 3, (900, 4)).astype(float)  # many ties
+    v = spark.createDataFrame([(i, x.tolist(), f"n{i}") for i, x in enumerate(data)] + [(900, None, "none")], "id long, vector array<float>, note string").repartition(3)
+    asked = v.where("id % 5 = 0").select(F.col("id").alias("qi"), F.col("vector").alias("qv"))
+    got = {(r["qi"], r["rank"]): (r["id"], r["note"], r["dist"]) for r in retrieval.knn(v, asked, 7).collect()}
+    want = {}
+    for q in range(0, 900, 5):
+        dist = ((data - data[q]) ** 2).sum(axis=1)
+        want |= {(q, n + 1): (int(i), f"n{i}", dist[i]) for n, i in enumerate(np.argsort(dist, kind="stable")[:7])}
+    assert got == want
+
+
+def test_bm25_joins_large_query_sets_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common word{i % 7} word{i % 11} tail{i}") for i in range(80)], "id long, search_text string")
+    asked = docs.where("id % 5 = 0").select(F.col("id").alias("qi"), F.col("search_text").alias("query"))
+    few = sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect()))
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 3)
+    assert sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect())) == few and len(few) == 48
+    assert all(i == qi for i, qi, _, rank in few if rank == 1)

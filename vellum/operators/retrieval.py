@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.numbers import quality_multiplier, recency_multiplier
 
@@ -12,6 +18,8 @@ EXTRA_CREDIT, MAX_EXTRA = 0.25, 3
 MAX_POOL = 400
 #: A query set of this many rows is broadcast (its size is counted first); a larger one is joined in blocks.
 MAX_QUERIES = 6
+#: Queries and chunks of a block; this many queries, and words of queries, are still broadcast.
+QUERY_BLOCK, CHUNK_BLOCK, FEW_QUERIES, FEW_TERMS = 128, 4096, 4096, 100_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -25,12 +33,58 @@ def top_per_query(scored: DataFrame, k: int, order: list[Column], by: str = "qi"
 
 
 def knn(chunks: DataFrame, queries: DataFrame, k: int, *, vector: str = "vector", key: str = "id") -> DataFrame:
-    """Exact nearest neighbours of each row of ``queries`` (qi, qv): the chunk columns, qi, dist and rank."""
-    asked = queries.limit(MAX_QUERIES + 1).collect()  # stated queries, at most a handful
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries a call")
-    pairs = chunks.crossJoin(F.broadcast(queries)) if asked else chunks.join(queries, F.lit(False))
-    return top_per_query(pairs.withColumn("dist", squared_distance(F.col(vector), F.col("qv"))), k, [F.col("dist"), F.col(key)]).drop("qv")
+    """Exact nearest neighbours of each row of ``queries`` (qi, qv): the chunk columns, qi, dist and rank. A null vector has
+    no neighbours and is none. Any number of queries: more than MAX_QUERIES meet the chunks block by block."""
+    chunks, queries = chunks.where(F.col(vector).isNotNull()), queries.where("qv IS NOT NULL").select("qi", "qv")
+    asked = queries.limit(FEW_QUERIES + 1).count()
+    order = [F.col("dist"), F.col(key)]
+    if asked <= MAX_QUERIES:
+        pairs = chunks.crossJoin(F.broadcast(queries)) if asked else chunks.join(queries, F.lit(False))
+        return top_per_query(pairs.withColumn("dist", squared_distance(F.col(vector), F.col("qv"))), k, order).drop("qv")
+    blocks = _blocks(queries, QUERY_BLOCK, "queries")
+    pairs = _blocks(chunks, CHUNK_BLOCK, "chunks").crossJoin(F.broadcast(blocks) if asked <= FEW_QUERIES else blocks)
+    schema = StructType([*chunks.schema.fields, queries.schema["qi"], StructField("dist", DoubleType())])
+    return top_per_query(pairs.mapInArrow(_nearest(k, vector, key), schema), k, order)
+
+
+def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+    """The rows as Arrow streams of ``size`` rows at most."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part, sink = batch.slice(lo, size), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+    return df.mapInArrow(each, f"{name} binary")
+
+
+def _nearest(k: int, vector: str, key: str):
+    """The k chunks of a block that are nearest to each query of a block; of equally near ones those with the smallest keys."""
+
+    def read(block: pa.Scalar) -> pa.Table:
+        return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.array(column.to_pylist(), np.float64)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunks, queries in zip(batch.column("chunks"), batch.column("queries"), strict=True):
+                rows, asked = read(chunks), read(queries)
+                rows = rows.take(pc.array_sort_indices(rows.column(key).combine_chunks(), null_placement="at_start"))
+                x, y = matrix(rows.column(vector)).T, matrix(asked.column("qv")).T
+                dist = np.zeros((asked.num_rows, rows.num_rows))
+                for a, b in zip(y, x, strict=True):  # one dimension after the other, as squared_distance adds them
+                    dist += (b[None, :] - a[:, None]) ** 2
+                near = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                at = np.repeat(np.arange(asked.num_rows), near.shape[1])
+                got = rows.take(pa.array(near.ravel())).append_column("qi", asked.column("qi").take(pa.array(at)))
+                yield from got.append_column("dist", pa.array(dist[at, near.ravel()])).combine_chunks().to_batches()
+
+    return each
 
 
 def tokens(text: Column) -> Column:
@@ -53,17 +107,19 @@ def corpus_stats(docs: DataFrame, *, text: str = "search_text") -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, key: str = "id", text: str = "search_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents for each query (qi, query): id, qi, score (6 places) and rank.
 
-    Only the query's terms are exploded from the documents, so the shuffle carries matches, not the corpus.
+    Only the queries' terms pass to the shuffle, so it carries matches, not the corpus. Any number of queries: the words of
+    more than FEW_TERMS are not broadcast but joined by shuffles.
     """
     asked = queries.select("qi", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    few = asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    small = F.broadcast if few else lambda df: df.hint("merge")
     words = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("w"))
-    terms = F.broadcast(asked.agg(F.collect_set("term").alias("asked")))  # the words of a handful of queries
-    matched = words.crossJoin(terms).select("id", F.size("w").alias("dl"), F.explode(F.filter("w", lambda t: F.array_contains("asked", t))).alias("term"))
+    matched = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
     tf = matched.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs, text=text))).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weighed = tf.join(small(df), "term").crossJoin(F.broadcast(corpus_stats(docs, text=text))).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighed.join(F.broadcast(asked), "term").groupBy("qi", "id").agg(F.round(F.sum(gain), 6).alias("score"))
+    scored = weighed.join(small(asked), "term").groupBy("qi", "id").agg(F.round(F.sum(gain), 6).alias("score"))
     return top_per_query(scored, k, [F.col("score").desc(), F.col("id")])
 
 
