@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -228,6 +229,42 @@ def test_op4_edges(spark, edge, empty):
     assert license_scan.license_scan(edge[0]).count() == len(edge[1]) and license_scan.license_scan(empty).count() == 0
 
 
+def test_op4_finds_wrapped_notices(spark):
+    mit, bsd, mpl = (next(t for label, t in license_scan.TEMPLATES if label == x and len(t) > 50) for x in ("mit", "bsd", "mpl"))
+    wrapped = lambda t, n, mark="": "".join(f"{mark}{' '.join(t.split()[i : i + n])}\n" for i in range(0, len(t.split()), n))
+    rows = [(1, mit.replace("a copy ", "a copy\n")), (2, "x " * 500 + wrapped(bsd, 9, " * ")), (3, wrapped(mpl, 4, "rem ")), (4, wrapped(mpl, 1)), (5, "text\n\n" + " filler ".join(mpl.split())), (6, " ".join(bsd.split()[:12]) + "\nand no more")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mpl", 1.0), 4: ("mpl", 1.0), 5: ("mpl", 1.0), 6: ("", 0.0)}
+
+
+def test_op4_equals_every_run_and_line(spark):
+    rng = random.Random(8)
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    rows = []
+    for d in range(150):
+        w = [rng.choice(["the", "of", "license", "software", "conditions", "x", "y"]) for _ in range(rng.randrange(30))]
+        t = rng.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice(["z", "the"])
+        cut = rng.randrange(len(w) + 1)
+        rows.append((d, "".join(x + rng.choice([" ", " ", "\n"]) for x in w[:cut] + t + w[cut:])))
+    want = {}
+    for d, text in rows:
+        labels, shares = set(), [0.0]
+        for label, t in license_scan.TEMPLATES:
+            words, run, all_words = set(split(t)), len(split(t)) + len(split(t)) // 4, split(text)
+            blocks = [split(x) for x in text.split("\n")] + [all_words[i : i + run] for i in range(len(all_words))]
+            held = max(len(words & set(b)) for b in blocks)
+            if 10 * held >= 9 * len(words):
+                labels.add(label)
+                shares.append(held / len(words))
+        want[d] = (labels, max(shares))
+    for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        labels, share = want[r["doc_id"]]
+        assert set(filter(None, r["labels"].split(","))) == labels | set(filter(None, r["base_labels"].split(",")))
+        assert r["score"] == (1.0 if r["n_base"] else share)
+
+
 def test_op6_edges(spark):
     urls = [None, "", "no scheme", "https://EXAMPLE.org", "https://example.org/es/x", "https://a.b.example.org/es/x?y", "https://notexample.org/es/x", "https://org/es", "http://example.org/en/12", "http://example.org/en/2", "ftp://x.com/fr/#a", "https://x.com", "a://b://c/d", "https://example.org/es/x"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(None, "https://x.com/de/", "z")], "page_id long, url string, key string")

@@ -1,6 +1,7 @@
 """Operator 4, license scans: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A block is a line, as the set of its words. It matches a template if it holds at least ``containment`` of the template's
+A block is a line, or a run of consecutive words a quarter longer than the template whatever line breaks stand between them
+(a notice may be wrapped), as the set of its words. It matches a template if it holds at least ``containment`` of the template's
 words. The words of all templates are counted over the whole corpus and each template is ordered by them, rarest first. A
 matching block must hold one of the template's first |T| - need + 1 words (prefix filter), have at least ``need`` words
 (length filter), and from the place of its first match on the template must have ``need`` words left (positional filter).
@@ -35,6 +36,7 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
 MAX_TEMPLATES = 500
+SLACK = 4  # a run of words has 1 / SLACK more of them than the template: comment marks may stand between its lines
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,6 +48,12 @@ def need(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
+def run_length(text: str) -> int:
+    """Words of the runs that are compared with a template."""
+    n = len([w for w in re.split(_NOT_WORD, text.lower()) if w])
+    return n + n // SLACK
+
+
 def plain(text: Column) -> Column:
     """Lower-cased words with one space between them."""
     return F.trim(F.regexp_replace(F.lower(text), _NOT_WORD, " "))
@@ -67,12 +75,12 @@ def license_scan(docs: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMP
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates a call")
-    sets = [(label, template_words(text)) for label, text in templates]
-    sets = [(label, words, need(len(words), percent)) for label, words in sets if words]
+    sets = [(label, template_words(text), run_length(text)) for label, text in templates]
+    sets = [(label, words, need(len(words), percent), run) for label, words, run in sets if words]
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    vocabulary = sorted({w for _, words, _ in sets for w in words})
+    vocabulary = sorted({w for _, words, _, _ in sets for w in words})
     counted = {r["word"]: r["count"] for r in word_counts(base.select(plain(F.col("text")).alias("plain")), vocabulary).collect()}  # a row for each word of the templates
-    ordered = [(label, sorted(words, key=lambda w: (counted.get(w, 0), w)), n) for label, words, n in sets]
+    ordered = [(label, sorted(words, key=lambda w: (counted.get(w, 0), w)), n, run) for label, words, n, run in sets]
 
     double = F.concat(F.lit(" "), F.replace(F.col("plain"), F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has a space of its own on both sides
     rows = base.withColumn("plain", plain(F.col("text"))).withColumn("padded", double)
@@ -91,21 +99,32 @@ def license_scan(docs: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMP
         lasts.append(F.when(there, F.col("n_words") - words_of(behind) - len(phrase.split(" "))))
         marks.append(F.when(there, F.lit(label)))
 
-    prefixes = sorted({w for _, words, n in ordered for w in words[: len(words) - n + 1]})
+    prefixes = sorted({w for _, words, n, _ in ordered for w in words[: len(words) - n + 1]})
     # every template against the blocks of a row: (label, containment) of those that match
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.array(*map(F.lit, words[: len(words) - n + 1])).alias("prefix"), F.lit(n).alias("need")) for label, words, n in ordered])
+    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.array(*map(F.lit, words[: len(words) - n + 1])).alias("prefix"), F.lit(n).alias("need"), F.lit(run).alias("run")) for label, words, n, run in ordered])
     blocks = F.transform(F.split(F.col("text"), "\n"), lambda line: F.array_distinct(F.split(plain(line), " ")))
-    blocks = F.filter(blocks, lambda b: (F.size(b) >= min(n for _, _, n in ordered)) & F.arrays_overlap(b, F.array(*map(F.lit, prefixes))))
+    blocks = F.filter(blocks, lambda b: (F.size(b) >= min(n for _, _, n, _ in ordered)) & F.arrays_overlap(b, F.array(*map(F.lit, prefixes))))
 
     def held(block: Column, t: Column) -> Column:
         passes = (F.size(block) >= t["need"]) & F.arrays_overlap(block, t["prefix"])
         return F.when(passes, F.size(F.array_intersect(t["words"], block))).otherwise(0)
 
-    best = F.transform(listed, lambda t: F.struct(t["label"].alias("label"), F.array_max(F.transform(F.col("blocks"), lambda b: held(b, t))).alias("held"), F.size(t["words"]).alias("size"), t["need"].alias("need")))
+    # the places of prefix words; every run that matches holds one, so only runs around them are looked at
+    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(F.array(*map(F.lit, prefixes)), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+
+    def runs(t: Column) -> Column:
+        """The most words of the template that a run around one of its prefix words holds."""
+        near = F.filter(F.col("places"), lambda p: F.array_contains(t["prefix"], p["word"]))
+        first = lambda p: F.greatest(p["at"] - t["run"] + 1, F.lit(0))
+        common = lambda start, n: F.size(F.array_intersect(t["words"], F.slice("words", start + 1, n)))
+        near = F.filter(near, lambda p: common(first(p), p["at"] - first(p) + t["run"]) >= t["need"])
+        return F.array_max(F.transform(near, lambda p: F.array_max(F.transform(F.sequence(first(p), p["at"]), lambda i: common(i, t["run"])))))
+
+    best = F.transform(listed, lambda t: F.struct(t["label"].alias("label"), F.greatest(F.array_max(F.transform(F.col("blocks"), lambda b: held(b, t))), runs(t)).alias("held"), F.size(t["words"]).alias("size"), t["need"].alias("need")))
     matched = F.filter(best, lambda m: m["held"] >= m["need"])
     some_prefix = reduce(lambda a, b: a | b, [F.contains(F.col("padded"), F.lit(f" {w} ")) for w in prefixes])
     kind = "array<struct<label:string,held:int,size:int,need:int>>"
-    rows = rows.withColumn("blocks", F.when(some_prefix, blocks)).withColumn("matched", F.when(F.col("blocks").isNotNull(), matched).otherwise(F.array().cast(kind)))
+    rows = rows.withColumn("blocks", F.when(some_prefix, blocks)).withColumn("words", F.when(some_prefix, F.split("plain", " "))).withColumn("places", places).withColumn("matched", F.when(F.col("blocks").isNotNull(), matched).otherwise(F.array().cast(kind)))
     labels = lambda items: F.array_join(F.array_sort(F.array_distinct(items)), ",")
     base_labels = F.filter(F.array(*marks), lambda x: x.isNotNull())
     return rows.select(
