@@ -135,6 +135,35 @@ def test_op2_near_copies_of_near_copies(spark):
     assert got == components(rows, 3, 90)
 
 
+def link_counts(rows, k, percent):
+    sets = []
+    for i, t in rows:
+        w = [x.lower() for x in words(t)]
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
+    links = lambda p, q: p != q and None not in (sets[p][0], sets[q][0]) and sets[p][1] and sets[q][1] and 100 * len(sets[p][1] & sets[q][1]) >= percent * len(sets[p][1] | sets[q][1])
+    return collections.Counter((sets[p][0], len(sets[p][1]), sum(bool(links(p, q)) for q in range(len(sets)))) for p in range(len(sets)))
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_op2_counts_every_link_of_a_component(spark, edge, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(200)]
+        for i in range(30):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w)))
+            if i % 3 == 0:
+                base[rng.randrange(len(base))] = f"drift{i}"  # chains: a component holds sets that do not link
+    rows += rows[:4] + [(1000, rows[0][1])]
+    for df, rows in ((spark.createDataFrame(rows, "doc_id long, text string"), rows), edge):
+        got = collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(df, words=3, percent=90).collect())
+        assert got == link_counts(rows, 3, 90)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 2**32), st.sampled_from([80, 90]), st.integers(12, 900))
 def test_op2_similar_sets_share_lists(seed, percent, n):

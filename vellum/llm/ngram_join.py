@@ -14,7 +14,13 @@ least |d(x, centre) - d(z, centre)|. Every distance is also at least the number
 lists as similar sets must, and are not connected yet are compared. All comparisons are of whole sets.
 
 Sets of equal content are one class before anything is compared, so copies cost one row each. Shingles are 64-bit hashes;
-two sets are held equal if size and two 64-bit sums agree.
+two sets are held equal if 63 mixed bits of their size and two 64-bit sums agree. Classes, not ids, are what is linked: a
+document with several texts is in several classes, which it connects.
+
+Links. When the components are known, every set of a component is compared once with the component's root (the set that meets
+most others), which gives its difference from the root. Two sets x and z differ by d(x) + d(z) - 2 |common part of their
+differences|, so all other answers inside the component, exact ones, follow from these short differences, in tiles of at most
+about TILE x TILE sets. They are returned as the number of links of each row.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from ._common import BASE_A, WordHashes, Workspace, connected_components, flat_w
 SHARED = 3  # lists that two similar sets share at least
 SHRINK = 0.7
 SKETCH = 16  # 64-bit words
+TILE = 2048
 
 
 def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -91,17 +98,24 @@ class Scheme:
         return out
 
 
+def set_class(members: np.ndarray) -> int:
+    """The number of the class of sets with these members."""
+    fp1 = mix(members).sum(dtype=np.uint64)
+    fp2 = mix(members ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+    both = mix(np.array([fp2 ^ np.uint64(len(members))], np.uint64)) + fp1
+    return int(mix(both)[0] >> np.uint64(1))
+
+
 def _index(k: int, percent: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, scheme = WordHashes(), Scheme(percent)
         for chunk in text_chunks(batches):
-            n, fp1, fp2, sketch, sigs, sizes = [], [], [], [], [], []
+            n, cid, sketch, sigs, sizes = [], [], [], [], []
             for members in shingle_sets(chunk.column("text").to_pylist(), k, hashes):
                 mixed = mix(members)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
                 n.append(len(members))
-                fp1.append(int(sums[-1]))
-                fp2.append(int(mix(members ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)))
+                cid.append(set_class(members))
                 odd = np.bincount((mixed >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 got = scheme.signatures(members, sums)
@@ -113,12 +127,11 @@ def _index(k: int, percent: int):
                 [
                     chunk.column("doc_id"),
                     pa.array(n, pa.int64()),
-                    pa.array(np.array(fp1, np.uint64).view(np.int64)),
-                    pa.array(np.array(fp2, np.uint64).view(np.int64)),
+                    pa.array(cid, pa.int64()),
                     pa.array(sketch, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                names=["doc_id", "n", "fp1", "fp2", "sketch", "sigs"],
+                names=["doc_id", "n", "cid", "sketch", "sigs"],
             )
 
     return each
@@ -129,7 +142,7 @@ def _sets(k: int):
         hashes = WordHashes()
         for chunk in text_chunks(batches):
             sets = shingle_sets(chunk.column("text").to_pylist(), k, hashes)
-            yield pa.record_batch([chunk.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
+            yield pa.record_batch([pa.array([set_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
 
     return each
 
@@ -144,11 +157,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [np.setxor1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True).tobytes() for a, b in zip(batch.column("ma"), batch.column("mb"), strict=True)]
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], names=["a", "b", "diff"])
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int, work: Workspace) -> DataFrame:
+    """cid and members of the classes in ``ids`` (cid), and of other texts of their documents; repeated rows repeat."""
+    reps = classes.join(ids.hint("merge"), "cid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    return work.keep(docs.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "cid long, members binary"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
     """Pairs (a, b, na, nb) with their distance and whether they link; compared by their whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = work.keep(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members binary"), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), docs, classes, k, work)
+    left, right = (sets.select(F.col("cid").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
     got = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_compare, "a long, b long, na long, nb long, common long")
     union = F.expr("na + nb - common")
     got = work.keep(got.select("a", "b", "na", "nb", F.expr("na + nb - 2 * common").alias("d"), (100 * F.col("common") >= percent * union).alias("linked")), "pairs")
@@ -156,54 +180,98 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, work: Wor
     return got
 
 
-def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tile_links(percent: int):
+    """Of the sets of a tile, which holds one or two blocks of a component: rows that link to each by the other block's sets."""
+
+    def links(tile: pa.Table) -> pa.Table:
+        cid, n, size, block = (tile.column(c).to_numpy() for c in ("cid", "n", "size", "block"))
+        diffs = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("diff").combine_chunks()]
+        d = np.array([len(x) for x in diffs], np.int64)
+        flat = np.concatenate(diffs)
+        order = np.argsort(flat, kind="stable")
+        owner, flat = np.repeat(np.arange(len(d)), d)[order], flat[order]
+        alone, rows = len(np.unique(block)) == 1 and tile.column("first")[0].as_py() == tile.column("second")[0].as_py(), np.zeros(len(cid), np.int64)
+        for i, x in enumerate(diffs):
+            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            long = hi - lo
+            at = np.repeat(lo - np.cumsum(long) + long, long) + np.arange(long.sum())
+            apart = d[i] + d - 2 * np.bincount(owner[at], minlength=len(d))
+            linked = (n[i] + n) * (100 - percent) >= (100 + percent) * apart
+            linked &= (block != block[i]) | alone
+            linked[i] = False
+            rows[i] = size[linked].sum()
+        return pa.table({"cid": pa.array(cid), "links": pa.array(rows)})
+
+    return links
+
+
+def _links(group: DataFrame, classes: DataFrame, meets: DataFrame, docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+    """cid and links: how many rows of other classes link to each class of a component (``group``: node, component)."""
+    parts = classes.join(group.withColumnRenamed("node", "cid").hint("merge"), "cid").join(meets.withColumnRenamed("a", "cid").hint("merge"), "cid", "left")
+    parts = work.keep(parts.select("cid", "n", "size", "component", F.coalesce("meets", F.lit(0)).alias("meets")), "parts")
+    roots = parts.groupBy("component").agg(F.max_by("cid", F.struct("meets", -F.col("cid"))).alias("root"), F.count("*").alias("many"))
+    parts = work.keep(parts.join(roots.hint("merge"), "component").drop("meets"), "rooted")
+    sets = _sets_of(parts.select("cid"), docs, classes, k, work)
+    left, right = (sets.select(F.col("cid").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+    pairs = parts.select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    diffs = pairs.join(left.hint("merge"), "a").join(right.join(roots.select(F.col("root").alias("b")).hint("merge"), "b", "left_semi").dropDuplicates(["b"]).hint("merge"), "b").select("a", "b", "ma", "mb")
+    diffs = work.keep(diffs.mapInArrow(_differences, "a long, b long, diff binary").select(F.col("a").alias("cid"), "diff").dropDuplicates(["cid"]), "differences")
+    work.drop(sets)
+    blocks = F.expr(f"cast(ceil(many / {TILE}) as int)")
+    tiles = parts.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = tiles.select("cid", "n", "size", "block", "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")).join(diffs.hint("merge"), "cid")
+    return tiles.groupBy("component", "first", "second").applyInArrow(_tile_links(percent), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+
+
+def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, count_links: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of ``percent`` or more.
 
-    Returns doc_id, n_shingles and component_id (the smallest doc_id that links reach, itself included) for each row.
-    Null or wordless texts have no shingles and no links. A null id keeps its row with a null component. Rows that repeat an
-    id count as one document that links by any of its texts. Other columns are ignored.
+    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and, unless
+    ``count_links`` is off, n_links (how many other rows link to this row's text) for each row.
+    Null or wordless texts have no shingles and no links. A null id keeps its row with a null component and no links, and
+    counts for none. Rows that repeat an id count as one document that links by any of its texts; n_links counts them as rows.
+    Other columns are ignored.
     """
     base = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     with Workspace(docs.sparkSession, "op2") as work:
-        return materialize(_joined(base, words, percent, work), "op2-components")
+        return materialize(_joined(base, words, percent, count_links, work), "op2-components")
 
 
-def _joined(base: DataFrame, words: int, percent: int, work: Workspace) -> DataFrame:
+def _joined(base: DataFrame, words: int, percent: int, count_links: bool, work: Workspace) -> DataFrame:
     known = base.where("doc_id IS NOT NULL")
-    index = work.keep(base.mapInArrow(_index(words, percent), "doc_id long, n long, fp1 long, fp2 long, sketch array<long>, sigs array<long>"), "index")
-    rows = work.keep(index.select("doc_id", F.col("n").alias("n_shingles")), "rows")
-    filled = index.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "fp1", "fp2", "sketch")
-    classes = filled.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    member = work.keep(filled.join(classes, ["n", "fp1", "fp2"]).select("doc_id", "rep", "n", "sketch"), "class")
+    index = work.keep(base.mapInArrow(_index(words, percent), "doc_id long, n long, cid long, sketch array<long>, sigs array<long>"), "index")
+    rows = work.keep(index.select("doc_id", "n", "cid"), "rows")
+    filled = index.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "cid", "sketch")
+    classes = work.keep(filled.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("size")), "class")
+    sketches = filled.withColumnRenamed("doc_id", "rep").join(classes.select("cid", "rep"), ["cid", "rep"], "left_semi").select(F.col("cid").alias("a"), "sketch")
+    sketches = work.keep(sketches.dropDuplicates(["a"]), "sketches")
 
     # every list with two members or more, by class; then its members but the centre, and the centre
-    lists = index.where("doc_id IS NOT NULL").select("doc_id", F.explode("sigs").alias("sig"))
-    lists = lists.withColumn("size", F.count("*").over(Window.partitionBy("sig"))).where("size > 1")
-    of = member.select("doc_id", F.col("rep").alias("a"), F.col("n").alias("na"))
-    lists = work.keep(lists.join(of.hint("merge"), "doc_id").select("sig", "a", "na").distinct(), "lists")
+    lists = index.where("doc_id IS NOT NULL AND n > 0").select(F.col("cid").alias("a"), F.col("n").alias("na"), F.explode("sigs").alias("sig"))
+    lists = lists.withColumn("many", F.count("*").over(Window.partitionBy("sig"))).where("many > 1")
+    lists = work.keep(lists.select("sig", "a", "na").distinct(), "lists")
     work.drop(index)
     sized = lists.join(lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").hint("merge"), "sig")
-    meets = sized.groupBy("a").agg(F.sum("size").alias("meets"))
+    meets = work.keep(sized.groupBy("a").agg(F.sum("size").alias("meets")), "meets")
     centre = F.max(F.struct("meets", (-F.col("a")).alias("less"), F.col("na").alias("nb"))).over(Window.partitionBy("sig"))
     met = sized.join(meets.hint("merge"), "a").withColumn("c", centre).select("sig", "a", "na", (-F.col("c.less")).alias("b"), F.col("c.nb").alias("nb"), F.col("c.meets").alias("meets"))
     met = work.keep(met.where("a <> b"), "met")
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     most = f"(na + nb) * {100 - percent} >= (100 + {percent})"
     differ = " + ".join(f"bit_count(sketch[{i}] ^ other[{i}])" for i in range(SKETCH))
-    sketches = member.where("doc_id = rep").select(F.col("rep").alias("a"), "sketch").dropDuplicates(["a"])
     centres = sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other"))
     pair = ["a", "b", "na", "nb"]
     hopeful = met.where(near).select(*pair, "meets").distinct().join(sketches.hint("merge"), "a").join(centres.hint("merge"), "b").where(f"{most} * ({differ})")
     hopeful = work.keep(hopeful.select(*pair, "meets"), "hopeful")
     # first each set with its best centre, then with the centres it is not yet connected with
     best = F.max_by(F.struct("b", "na", "nb"), F.struct("meets", -F.col("b")))
-    stars = _verified(hopeful.groupBy("a").agg(best.alias("c")).select("a", "c.*").select(*pair), known, words, percent, work)
+    stars = _verified(hopeful.groupBy("a").agg(best.alias("c")).select("a", "c.*").select(*pair), known, classes, words, percent, work)
     links = stars.where("linked").select("a", "b")
     group = connected_components(links, work)
     name = lambda df, c, g: df.join(group.select(F.col("node").alias(c), F.col("component").alias(g)), c, "left").withColumn(g, F.coalesce(g, c))
     apart = work.keep(name(name(hopeful, "a", "g"), "b", "h").where("g <> h").join(stars.select("a", "b"), ["a", "b"], "left_anti").select(*pair).distinct(), "apart")
     if not apart.isEmpty():
-        more = _verified(apart, known, words, percent, work)
+        more = _verified(apart, known, classes, words, percent, work)
         stars, links = stars.unionByName(more), links.unionByName(more.where("linked").select("a", "b"))
         group = connected_components(links, work)
     found = [links]
@@ -224,10 +292,28 @@ def _joined(base: DataFrame, words: int, percent: int, work: Workspace) -> DataF
     pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count_distinct("sig").alias("shared")).where(f"shared >= {SHARED}")
     pairs = work.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")), "rest")
     if not pairs.isEmpty():
-        found.append(_verified(pairs, known, words, percent, work).where("linked").select("a", "b"))
+        found.append(_verified(pairs, known, classes, words, percent, work).where("linked").select("a", "b"))
         group = connected_components(reduce(DataFrame.unionByName, found), work)
-    labels = member.join(group.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    return rows.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    links = reduce(DataFrame.unionByName, found)
+    told = classes.select("cid", "rep")
+    if count_links:
+        counted = _links(work.keep(group, "linked"), classes, meets, known, words, percent, work)
+        told = classes.join(counted.hint("merge"), "cid", "left").select("cid", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+
+    # a document with several texts connects their classes
+    filled = rows.where("doc_id IS NOT NULL AND n > 0")
+    several = filled.groupBy("doc_id").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    edges = work.keep(filled.join(several.hint("merge"), "doc_id").where("cid > low").select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct(), "several")
+    if not edges.isEmpty():
+        group = connected_components(links.unionByName(edges), work)
+    told = told.join(group.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    told = work.keep(told, "told")
+    told = told.join(told.groupBy("component").agg(F.min("rep").alias("component_id")).hint("merge"), "component").drop("component", "rep")
+    filled = filled.join(told.hint("merge"), "cid")
+    labels = filled.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    bare = rows.where("doc_id IS NULL OR n = 0").join(labels.hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *["n_links"] * count_links]
+    return filled.select(*out).unionByName(bare.withColumn("n_links", F.lit(0).cast("long")).select(*out))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
