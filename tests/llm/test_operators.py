@@ -164,6 +164,15 @@ def test_op2_counts_every_link_of_a_component(spark, edge, monkeypatch, tile):
         assert got == link_counts(rows, 3, 90)
 
 
+def test_op2_a_document_links_by_any_of_its_texts(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{rng.randrange(400)}" for _ in range(200)] for x in "abc")
+    near = lambda w: " ".join([*w[:100], "other", *w[101:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(c)), (2, near(a)), (3, near(b)), (4, near(c)), (5, None), (4, ""), (6, " ".join(b))]
+    got = [tuple(r) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90).select("doc_id", "component_id").collect()]
+    assert sorted(got) == sorted((i, 5 if i == 5 else 1) for i, _ in rows)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 2**32), st.sampled_from([80, 90]), st.integers(12, 900))
 def test_op2_similar_sets_share_lists(seed, percent, n):
