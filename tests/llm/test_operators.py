@@ -173,6 +173,13 @@ def test_op2_a_document_links_by_any_of_its_texts(spark):
     assert sorted(got) == sorted((i, 5 if i == 5 else 1) for i, _ in rows)
 
 
+def test_op2_links_sets_of_very_different_sizes(spark):
+    w = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(w[:n])) for i, n in enumerate((20, 39, 41, 75, 77, 100, 150, 198, 202, 260, 390))]
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=50).collect())
+    assert got == link_counts(rows, 3, 50)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 2**32), st.sampled_from([80, 90]), st.integers(12, 900))
 def test_op2_similar_sets_share_lists(seed, percent, n):

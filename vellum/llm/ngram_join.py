@@ -62,9 +62,10 @@ class Scheme:
     def __init__(self, percent: int):
         self.percent = percent
         gap = 100 - percent
+        shrink = min(SHRINK, percent / 100)  # a set's smallest partner is in the class below at most
         self.bounds = [-(-percent // gap)]  # no smaller set has a partner that differs
         while self.bounds[-1] < 1 << 40:
-            self.bounds.append(int(self.bounds[-1] / SHRINK) + 1)
+            self.bounds.append(int(self.bounds[-1] / shrink) + 1)
         self.parts, self.empty = [], []
         for lo, hi in zip(self.bounds, self.bounds[1:]):
             differ, spare = (hi - 1) * gap // percent, SHARED + 1
