@@ -3,8 +3,8 @@
 A block is a line, or a run of consecutive words a quarter longer than the template whatever line breaks stand between them
 (a notice may be wrapped), as the set of its words. It matches a template if it holds at least ``containment`` of the template's
 words. The words of all templates are counted over the whole corpus and each template is ordered by them, rarest first. A
-matching block must hold one of the template's first |T| - need + 1 words (prefix filter), have at least ``need`` words
-(length filter), and from the place of its first match on the template must have ``need`` words left (positional filter).
+matching block must hold one of the template's first |T| - need + 1 words (prefix filter) and have at least ``need`` words
+(length filter). There is no positional filter: blocks that pass are intersected with the template in full.
 A document without a prefix word of any template, nearly all, is left after one search; only in the others are blocks made
 and compared. The templates are a list of bounded size, so the join needs no shuffle; only their words' counts (a row for
 each word) are shuffled.
