@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellum import llm
-from vellum.llm import decontamination, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
+from vellum.llm import _common, decontamination, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filter, warc
 
 EDGE = "doc_id long, text string, sig string, key int, spans string, n_words string"
 
@@ -116,7 +116,7 @@ def test_op2(documents, edge, empty, k, percent):
     for df, rows in (documents, edge):
         got = ngram_join.ngram_jaccard_join(df, words=k, percent=percent).collect()
         want = components(rows, k, percent)
-        assert len(got) == len(rows)
+        assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == link_counts(rows, k, percent)
         assert all(r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]]) for r in got)
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
@@ -180,6 +180,30 @@ def test_op2_links_sets_of_very_different_sizes(spark):
     assert got == link_counts(rows, 3, 50)
 
 
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_op2_lists_with_many_unlike_members(spark, monkeypatch, tile):
+    """One boilerplate in short texts of their own, some of them near copies that no centre stands for."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = random.Random(11)
+    boiler = [f"b{i}" for i in range(24)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(rng.randrange(4, 14))]
+        rows.append((2 * i, " ".join(boiler + own)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join([*boiler, *own, "t"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_jaccard_join(df, words=3, percent=90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components(rows, 3, 90)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == link_counts(rows, 3, 90)
+
+
+def test_sieve_passes_its_members(spark):
+    sieve = _common.Sieve(spark.range(0, 5000, 5).select("id"))
+    passed = sieve.passes(np.arange(5000))
+    assert passed[::5].all() and passed.sum() < 1200
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 2**32), st.sampled_from([80, 90]), st.integers(12, 900))
 def test_op2_similar_sets_share_lists(seed, percent, n):

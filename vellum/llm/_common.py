@@ -19,9 +19,12 @@ BASE_B = 0xC2B2AE3D27D4EB4F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node can reach: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder every node can reach: spark.checkpoint.dir. Where that is unset and all runs in one process, a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="vellum-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -178,15 +181,50 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
 
 
-def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
+class Sieve:
+    """A Bloom filter of numbers: bounded in size (MOST bits), so that it may be sent to every task. It lets every member
+    pass, and others the more often the more members share its bits; what passes is joined exactly afterwards."""
+
+    MOST = 1 << 27
+
+    def __init__(self, numbers: DataFrame):
+        """numbers: one long column, read twice (a kept table)."""
+        n, column = numbers.count(), numbers.columns[0]
+        size = self.size = min(self.MOST, 1 << max(16, (16 * n).bit_length()))
+
+        def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros(size, bool)
+            for batch in batches:
+                for place in Sieve.places(batch.column(0).to_numpy(zero_copy_only=False), size):
+                    found[place] = True
+            yield pa.record_batch([pa.array([np.packbits(found, bitorder="little").tobytes()])], names=["flags"])
+
+        self.bits = np.zeros(size // 8, np.uint8)
+        for row in numbers.where(F.col(column).isNotNull()).coalesce(8).mapInArrow(flags, "flags binary").toLocalIterator():
+            self.bits |= np.frombuffer(row["flags"], np.uint8)
+
+    @staticmethod
+    def places(numbers: np.ndarray, size: int) -> list[np.ndarray]:
+        hashed = mix(numbers.astype(np.int64).view(np.uint64) ^ np.uint64(BASE_B))
+        return [((hashed >> np.uint64(k)) & np.uint64(size - 1)).astype(np.int64) for k in (0, 18, 36)]
+
+    def passes(self, numbers: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(numbers), bool)
+        for place in self.places(numbers, self.size):
+            ok &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long): columns node, component.
 
-    Large-star and small-star in turn, written to the workspace each round, until the edges no longer change. Every
-    round sends each edge to its nodes' smallest neighbours by joins and sums over keys, so no group is ever gathered.
+    Large-star and small-star in turn, written to the workspace each round, until the edges no longer change: the labels
+    of some nodes fall each round, so there is an end. Every round sends each edge to its nodes' smallest neighbours by
+    joins and sums over keys, so no group is ever gathered.
     """
     cur = work.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large-star: strictly larger neighbours of u point at the smallest of u and its neighbours
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("mb"))
@@ -202,8 +240,6 @@ def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60
         if before == seen:
             break
         before = seen
-    else:
-        raise RuntimeError("components did not settle")
     nodes = cur.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = cur.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return nodes.unionByName(roots.join(nodes.select("node"), "node", "left_anti"))

@@ -6,12 +6,14 @@ three of these are not empty. The
 index has a list for each (size class, part position, content of the part): a set meets only lists of equal content at its
 own positions, and every other block of the position is skipped unread. Single frequent shingles make no list.
 
-Skipping by relation. In each list all members are compared with its centre, the member that meets most others over all its
-lists (of near copies: the text they come from); one comparison per member, never all pairs. From the centre's answers the
-others follow: members that link to the centre share its component already. For the rest the distance to a member z is at
-least |d(x, centre) - d(z, centre)|. Every distance is also at least the number of bits in which two parity sketches differ
-(one bit for each of 1,024 hash classes: whether its count is odd), and no sets that differ by too many are compared. Only pairs that pass both bounds and the size bound, share as many
-lists as similar sets must, and are not connected yet are compared. All comparisons are of whole sets.
+Skipping by relation. A set that shares fewer lists than similar sets must (SHARED) is left out. In each list all members are
+compared with its centre, the member that meets most others over all its lists (of near copies: the text they come from); one
+comparison per member, never all pairs. From the centre's answers the others follow: members that link to the centre share
+its component already. What is not connected yet is looked for by sketches only: every distance is at least the number of
+bits in which two parity sketches differ (one bit for each of 1,024 hash classes: whether its count is odd). A set looks in
+its lists from the shortest on and leaves out its SHARED - 1 longest, since the shortest list that similar sets share has that
+many longer ones after it; so what many texts have in common makes no work by itself. Sketches of a list meet in tiles of at
+most TILE by TILE inside a task, and only pairs that pass leave it. All comparisons are of whole sets.
 
 Sets of equal content are one class before anything is compared, so copies cost one row each. Shingles are 64-bit hashes;
 two sets are held equal if 63 mixed bits of their size and two 64-bit sums agree. Classes, not ids, are what is linked: a
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BASE_A, WordHashes, Workspace, connected_components, flat_words, gram_hashes, id_and_text, materialize, mix, prefix_sums, span_hashes, table, text_chunks
+from ._common import BASE_A, Sieve, WordHashes, Workspace, connected_components, flat_words, gram_hashes, id_and_text, materialize, mix, prefix_sums, span_hashes, table, text_chunks
 
 SHARED = 3  # lists that two similar sets share at least
 SHRINK = 0.7
@@ -138,12 +140,14 @@ def _index(k: int, percent: int):
     return each
 
 
-def _sets(k: int):
+def _sets(k: int, sieve: Sieve):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for chunk in text_chunks(batches):
-            sets = shingle_sets(chunk.column("text").to_pylist(), k, hashes)
-            yield pa.record_batch([pa.array([set_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
+        for batch in batches:
+            asked = batch.filter(pa.array(sieve.passes(batch.column("doc_id").to_numpy(zero_copy_only=False))))
+            for chunk in text_chunks([asked]):
+                sets = shingle_sets(chunk.column("text").to_pylist(), k, hashes)
+                yield pa.record_batch([pa.array([set_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
 
     return each
 
@@ -164,21 +168,76 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], names=["a", "b", "diff"])
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int, work: Workspace) -> DataFrame:
-    """cid and members of the classes in ``ids`` (cid), and of other texts of their documents; repeated rows repeat."""
-    reps = classes.join(ids.hint("merge"), "cid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    return work.keep(docs.join(reps.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "cid long, members binary"), "sets")
+class _Sets:
+    """Whole sets of classes, made from the texts once for each class that is asked for. The texts are not shuffled: a pass over
+    them leaves out what a bounded filter of the wanted ids rules out, and only sets go through an exchange."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int, work: Workspace):
+        self.docs, self.classes, self.k, self.percent, self.work = docs, classes, k, percent, work
+        self.parts: list[DataFrame] = []
+
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def fetch(self, wanted: DataFrame) -> None:
+        """wanted: cid, distinct."""
+        if self.parts:
+            wanted = wanted.join(self.table().select("cid").hint("merge"), "cid", "left_anti")
+        named = self.work.keep(self.classes.join(wanted.hint("merge"), "cid").select("rep", "cid"), "wanted")
+        if named.isEmpty():
+            return
+        made = self.docs.mapInArrow(_sets(self.k, Sieve(named.select("rep"))), "cid long, members binary")
+        made = made.join(named.select("cid").hint("merge"), "cid", "left_semi").groupBy("cid").agg(F.first("members").alias("members"))
+        self.parts.append(self.work.keep(made, "sets"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) with their distance and whether they link; compared by their whole sets."""
+        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        left, right = (self.table().select(F.col("cid").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+        got = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_compare, "a long, b long, na long, nb long, common long")
+        union = F.expr("na + nb - common")
+        return self.work.keep(got.select("a", "b", "na", "nb", (100 * F.col("common") >= self.percent * union).alias("linked")), "pairs")
+
+
+def _sketch_tiles(percent: int):
+    """Of tiles in a row (rows in order of sig, first, second), pairs of a set that asks and one that is asked whose sizes and
+    sketches leave room for a link, and which are not connected."""
+    gap, most = 100 - percent, 100 + percent
+
+    def near(rows: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        asks, asked = np.flatnonzero(rows["asks"]), np.flatnonzero(~rows["asks"])
+        for i in asks.tolist():
+            n, m = rows["n"][i], rows["n"][asked]
+            at = asked[(100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (rows["g"][asked] != rows["g"][i])]
+            apart = np.bitwise_count(rows["sketch"][at] ^ rows["sketch"][i]).sum(axis=1, dtype=np.int64)
+            at = at[(n + rows["n"][at]) * gap >= most * apart]
+            a, b = rows["a"][i], rows["a"][at]
+            swap = b < a
+            yield np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, rows["n"][at], n), np.where(swap, n, rows["n"][at])])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "first", "second", "a", "n", "g", "asks")}
+                now["sketch"] = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+                held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in now}
+            if held is None or not len(held["a"]):
+                continue
+            new = np.flatnonzero((np.diff(held["sig"]) != 0) | (np.diff(held["first"]) != 0) | (np.diff(held["second"]) != 0)) + 1
+            cuts = [0, *new.tolist()] if batch is not None else [0, *new.tolist(), len(held["a"])]
+            for lo, hi in zip(cuts, cuts[1:]):
+                found = list(near({c: v[lo:hi] for c, v in held.items()}))
+                if found and (pairs := np.concatenate(found, axis=1)).size:
+                    yield pa.record_batch([pa.array(x) for x in pairs], names=["a", "b", "na", "nb"])
+            held = {c: v[cuts[-1] :] for c, v in held.items()}
+
+    return each
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
-    """Pairs (a, b, na, nb) with their distance and whether they link; compared by their whole sets."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), docs, classes, k, work)
-    left, right = (sets.select(F.col("cid").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
-    got = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_compare, "a long, b long, na long, nb long, common long")
-    union = F.expr("na + nb - common")
-    got = work.keep(got.select("a", "b", "na", "nb", F.expr("na + nb - 2 * common").alias("d"), (100 * F.col("common") >= percent * union).alias("linked")), "pairs")
-    work.drop(sets)
-    return got
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _tile_links(percent: int):
@@ -206,22 +265,20 @@ def _tile_links(percent: int):
     return links
 
 
-def _links(group: DataFrame, classes: DataFrame, meets: DataFrame, docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+def _links(group: DataFrame, meets: DataFrame, sets: _Sets, work: Workspace) -> DataFrame:
     """cid and links: how many rows of other classes link to each class of a component (``group``: node, component)."""
-    parts = classes.join(group.withColumnRenamed("node", "cid").hint("merge"), "cid").join(meets.withColumnRenamed("a", "cid").hint("merge"), "cid", "left")
+    parts = sets.classes.join(group.withColumnRenamed("node", "cid").hint("merge"), "cid").join(meets.withColumnRenamed("a", "cid").hint("merge"), "cid", "left")
     parts = work.keep(parts.select("cid", "n", "size", "component", F.coalesce("meets", F.lit(0)).alias("meets")), "parts")
     roots = parts.groupBy("component").agg(F.max_by("cid", F.struct("meets", -F.col("cid"))).alias("root"), F.count("*").alias("many"))
     parts = work.keep(parts.join(roots.hint("merge"), "component").drop("meets"), "rooted")
-    sets = _sets_of(parts.select("cid"), docs, classes, k, work)
-    left, right = (sets.select(F.col("cid").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+    left, right = (sets.table().select(F.col("cid").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
     pairs = parts.select(F.col("cid").alias("a"), F.col("root").alias("b"))
-    diffs = pairs.join(left.hint("merge"), "a").join(right.join(roots.select(F.col("root").alias("b")).hint("merge"), "b", "left_semi").dropDuplicates(["b"]).hint("merge"), "b").select("a", "b", "ma", "mb")
-    diffs = work.keep(diffs.mapInArrow(_differences, "a long, b long, diff binary").select(F.col("a").alias("cid"), "diff").dropDuplicates(["cid"]), "differences")
-    work.drop(sets)
+    diffs = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ma", "mb")
+    diffs = work.keep(diffs.mapInArrow(_differences, "a long, b long, diff binary").select(F.col("a").alias("cid"), "diff"), "differences")
     blocks = F.expr(f"cast(ceil(many / {TILE}) as int)")
     tiles = parts.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = tiles.select("cid", "n", "size", "block", "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")).join(diffs.hint("merge"), "cid")
-    return tiles.groupBy("component", "first", "second").applyInArrow(_tile_links(percent), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    return tiles.groupBy("component", "first", "second").applyInArrow(_tile_links(sets.percent), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, count_links: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,64 +299,68 @@ def _joined(base: DataFrame, words: int, percent: int, count_links: bool, work:
     known = base.where("doc_id IS NOT NULL")
     index = work.keep(base.mapInArrow(_index(words, percent), "doc_id long, n long, cid long, sketch array<long>, sigs array<long>"), "index")
     rows = work.keep(index.select("doc_id", "n", "cid"), "rows")
-    filled = index.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "cid", "sketch")
-    classes = work.keep(filled.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("size")), "class")
-    sketches = filled.withColumnRenamed("doc_id", "rep").join(classes.select("cid", "rep"), ["cid", "rep"], "left_semi").select(F.col("cid").alias("a"), "sketch")
-    sketches = work.keep(sketches.dropDuplicates(["a"]), "sketches")
-
-    # every list with two members or more, by class; then its members but the centre, and the centre
-    lists = index.where("doc_id IS NOT NULL AND n > 0").select(F.col("cid").alias("a"), F.col("n").alias("na"), F.explode("sigs").alias("sig"))
-    lists = lists.withColumn("many", F.count("*").over(Window.partitionBy("sig"))).where("many > 1")
-    lists = work.keep(lists.select("sig", "a", "na").distinct(), "lists")
+    # one row for each content: copies are gone before anything is listed
+    kinds = index.where("doc_id IS NOT NULL AND n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("size"), F.first(F.struct("sketch", "sigs")).alias("x"))
+    kinds = work.keep(kinds.select("cid", "rep", "n", "size", "x.sketch", "x.sigs"), "classes")
     work.drop(index)
-    sized = lists.join(lists.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").hint("merge"), "sig")
-    meets = work.keep(sized.groupBy("a").agg(F.sum("size").alias("meets")), "meets")
-    centre = F.max(F.struct("meets", (-F.col("a")).alias("less"), F.col("na").alias("nb"))).over(Window.partitionBy("sig"))
-    met = sized.join(meets.hint("merge"), "a").withColumn("c", centre).select("sig", "a", "na", (-F.col("c.less")).alias("b"), F.col("c.nb").alias("nb"), F.col("c.meets").alias("meets"))
-    met = work.keep(met.where("a <> b"), "met")
+    classes, sketches = kinds.select("cid", "rep", "n", "size"), kinds.select(F.col("cid").alias("a"), "sketch")
+
+    # members of lists with two classes or more; a set needs SHARED of them to have a partner
+    lists = kinds.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.explode("sigs").alias("sig"))
+    counts = work.keep(lists.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1"), "counts")
+    lists = work.keep(lists.join(counts.hint("merge"), "sig"), "lists")
+    meets = work.keep(lists.groupBy("a").agg(F.sum("many").alias("meets"), F.count("*").alias("listed")).where(f"listed >= {SHARED}"), "meets")
+    lists = work.keep(lists.join(meets.select("a", "meets").hint("merge"), "a"), "members")
+    centres = lists.groupBy("sig").agg(F.max(F.struct("meets", (-F.col("a")).alias("less"), F.col("na").alias("nb"))).alias("c"), F.count("*").alias("left")).where("left > 1")
+    centres = work.keep(centres.select("sig", (-F.col("c.less")).alias("b"), F.col("c.nb").alias("nb"), F.col("c.meets").alias("most")), "centres")
+    pair = ["a", "b", "na", "nb"]
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    most = f"(na + nb) * {100 - percent} >= (100 + {percent})"
     differ = " + ".join(f"bit_count(sketch[{i}] ^ other[{i}])" for i in range(SKETCH))
-    centres = sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other"))
-    pair = ["a", "b", "na", "nb"]
-    hopeful = met.where(near).select(*pair, "meets").distinct().join(sketches.hint("merge"), "a").join(centres.hint("merge"), "b").where(f"{most} * ({differ})")
-    hopeful = work.keep(hopeful.select(*pair, "meets"), "hopeful")
+    hopeful = lists.join(centres.hint("merge"), "sig").where(f"a <> b AND {near}").select(*pair, "most").distinct()
+    hopeful = hopeful.join(sketches.hint("merge"), "a").join(sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other")).hint("merge"), "b")
+    hopeful = work.keep(hopeful.where(f"(na + nb) * {100 - percent} >= {100 + percent} * ({differ})").select(*pair, "most"), "hopeful")
+
     # first each set with its best centre, then with the centres it is not yet connected with
-    best = F.max_by(F.struct("b", "na", "nb"), F.struct("meets", -F.col("b")))
-    stars = _verified(hopeful.groupBy("a").agg(best.alias("c")).select("a", "c.*").select(*pair), known, classes, words, percent, work)
-    links = stars.where("linked").select("a", "b")
-    group = connected_components(links, work)
-    name = lambda df, c, g: df.join(group.select(F.col("node").alias(c), F.col("component").alias(g)), c, "left").withColumn(g, F.coalesce(g, c))
-    apart = work.keep(name(name(hopeful, "a", "g"), "b", "h").where("g <> h").join(stars.select("a", "b"), ["a", "b"], "left_anti").select(*pair).distinct(), "apart")
-    if not apart.isEmpty():
-        more = _verified(apart, known, classes, words, percent, work)
-        stars, links = stars.unionByName(more), links.unionByName(more.where("linked").select("a", "b"))
-        group = connected_components(links, work)
-    found = [links]
-
-    # what the centres' answers leave open: lists with a member that is not connected with their centre
-    judged = name(name(met.join(stars.select("a", "b", "d"), ["a", "b"], "left"), "a", "g"), "b", "h").withColumn("linked", F.expr("g = h"))
-    judged = work.keep(judged.select("sig", "a", "na", "d", "linked", "g"), "judged")
-    open_sigs = judged.where("NOT linked").select("sig").distinct()
-    left_over = work.keep(
-        judged.join(open_sigs.hint("merge"), "sig", "left_semi").join(sketches.hint("merge"), "a"),
-        "open",
-    )
-    p = left_over.where("NOT linked").select("sig", "a", "na", "d", "g", "sketch")
-    q = left_over.select("sig", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("d").alias("e"), F.col("g").alias("h"), F.col("linked").alias("done"), F.col("sketch").alias("other"))
-    bound = f"(d IS NULL OR e IS NULL OR {most} * abs(d - e)) AND {most} * ({differ})"
-    pairs = p.join(q.hint("merge"), "sig").where(f"g <> h AND (done OR a < b) AND a <> b AND {near} AND {bound}")
-    pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("IF(a < b, na, nb)").alias("nx"), F.expr("IF(a < b, nb, na)").alias("ny"), "sig")
-    pairs = pairs.groupBy("x", "y", "nx", "ny").agg(F.count_distinct("sig").alias("shared")).where(f"shared >= {SHARED}")
-    pairs = work.keep(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")), "rest")
-    if not pairs.isEmpty():
-        found.append(_verified(pairs, known, classes, words, percent, work).where("linked").select("a", "b"))
-        group = connected_components(reduce(DataFrame.unionByName, found), work)
-    links = reduce(DataFrame.unionByName, found)
+    sets = _Sets(known, classes, words, percent, work)
+    group = work.keep(known.sparkSession.createDataFrame([], "node long, component long"), "nobody")
+    found: list[DataFrame] = []
+    named = lambda df, c, g: df.join(group.select(F.col("node").alias(c), F.col("component").alias(g)).hint("merge"), c, "left").withColumn(g, F.coalesce(g, c))
+    if not hopeful.isEmpty():
+        best = F.max_by(F.struct("b", "na", "nb"), F.struct("most", -F.col("b")))
+        stars = sets.verified(work.keep(hopeful.groupBy("a").agg(best.alias("c")).select("a", "c.*").select(*pair), "best"))
+        found.append(stars.where("linked").select("a", "b"))
+        group = connected_components(found[0], work)
+        apart = work.keep(named(named(hopeful, "a", "g"), "b", "h").where("g <> h").join(stars.select("a", "b").hint("merge"), ["a", "b"], "left_anti").select(*pair).distinct(), "apart")
+        if not apart.isEmpty():
+            found.append(sets.verified(apart).where("linked").select("a", "b"))
+            group = connected_components(reduce(DataFrame.unionByName, found), work)
+
+    # what the centres' answers leave open: members that are not connected with the centre of a list
+    order = F.row_number().over(Window.partitionBy("a").orderBy(F.col("many").desc(), F.col("sig").desc()))
+    short = lists.withColumn("back", order).where(f"back >= {SHARED}").select("sig", "a", "na")
+    judged = named(named(short.join(centres.select("sig", "b").hint("merge"), "sig"), "a", "g"), "b", "h")
+    judged = work.keep(judged.select("sig", "a", F.col("na").alias("n"), "g", (F.col("g") != F.col("h")).alias("open")), "judged")
+    blocks = lambda c: F.expr(f"cast(ceil({c} / {TILE}) as int)")
+    sizes = work.keep(judged.groupBy("sig").agg(F.count_if("open").alias("open_rows"), F.count("*").alias("all_rows")).where("open_rows > 0 AND all_rows > 1").select("sig", blocks("open_rows").alias("firsts"), blocks("all_rows").alias("seconds")), "open")
+    if not sizes.isEmpty():
+        laid = judged.join(sizes.hint("merge"), "sig")
+        place = lambda many: F.pmod(F.xxhash64("a"), F.col(many)).cast("int")
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+        asking = laid.where("open").withColumn("first", place("firsts")).withColumn("second", every("seconds")).withColumn("asks", F.lit(True))
+        asked = laid.withColumn("second", place("seconds")).withColumn("first", every("firsts")).withColumn("asks", F.lit(False))
+        tiles = asking.unionByName(asked).join(sketches.hint("merge"), "a").select("sig", "first", "second", "a", "n", "g", "asks", "sketch")
+        tiles = tiles.repartition("sig", "first", "second").sortWithinPartitions("sig", "first", "second")
+        rest = work.keep(tiles.mapInArrow(_sketch_tiles(percent), "a long, b long, na long, nb long").distinct(), "rest")
+        if not rest.isEmpty():
+            found.append(sets.verified(rest).where("linked").select("a", "b"))
+            group = connected_components(reduce(DataFrame.unionByName, found), work)
+    links = reduce(DataFrame.unionByName, found) if found else known.sparkSession.createDataFrame([], "a long, b long")
     told = classes.select("cid", "rep")
     if count_links:
-        counted = _links(work.keep(group, "linked"), classes, meets, known, words, percent, work)
-        told = classes.join(counted.hint("merge"), "cid", "left").select("cid", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        told = classes.withColumn("links", F.lit(None).cast("long"))
+        if found:
+            told = classes.join(_links(work.keep(group, "linked"), meets, sets, work).hint("merge"), "cid", "left")
+        told = told.select("cid", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
 
     # a document with several texts connects their classes
     filled = rows.where("doc_id IS NOT NULL AND n > 0")
