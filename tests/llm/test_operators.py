@@ -384,11 +384,55 @@ def test_op5_learns_words_it_has_not_seen(spark):
 
 
 def test_op5_features_by_definition():
-    texts = [b"Ab  cd\nAB", None, b"", b"x"]
-    owner, hashed = toxicity.grams(texts)
-    once = toxicity.grams([b" ab cd "])[1]
-    assert hashed[owner == 0].tolist() == once.tolist() and set(owner.tolist()) == {0, 3}
-    assert len(once) == sum(max(0, 4 - n + 1) for n in toxicity.ORDERS) * 2
+    texts = ["Äb  cdé\nÄB ÄB".encode(), None, b"", b"x"]
+    owner, hashed, share = toxicity.grams(texts)
+    assert set(owner.tolist()) == {0, 3}
+    want = collections.Counter()
+    for word in (" äb ", " cdé ", " äb ", " äb "):
+        want.update(word[i : i + n] for n in toxicity.ORDERS for i in range(len(word) - n + 1))
+    assert len(hashed[owner == 0]) == len(want)
+    assert sorted(share[owner == 0].tolist()) == pytest.approx(sorted(1000 * n / want.total() for n in want.values()))
+    only = np.zeros(toxicity.SPACE, bool)
+    only[hashed[2]] = True
+    assert toxicity.grams(texts, only)[2].tolist() == [share[2]]
+
+
+def test_op5_scores_by_definition():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "böse", "idiot", "tree", "x"]) for _ in range(rng.randrange(30))).encode() for _ in range(20)]
+    owner, hashed, share = toxicity.grams(texts)
+    model = toxicity.Model(np.unique(hashed), np.linspace(-1, 1, len(np.unique(hashed))), 0.1)
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist()))
+    for i, score in enumerate(model.scores(texts).tolist()):
+        z = 0.1 + sum(weight[h] * s for o, h, s in zip(owner.tolist(), hashed.tolist(), share.tolist()) if o == i)
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-5, 5), st.integers(0, 1)), min_size=2, max_size=30).filter(lambda x: len({b for _, b in x}) == 2))
+def test_op5_the_parting_place_loses_least(rows):
+    z, y = (np.array(x, float) for x in zip(*rows))
+    loss = lambda c: ((z < c) & (y == 1)).sum() / y.sum() + toxicity.ALARM * ((z >= c) & (y == 0)).sum() / (1 - y).sum()
+    assert loss(toxicity.parting(z, y)) == pytest.approx(min(loss(c) for c in np.arange(-6, 7) + 0.5))
+
+
+def test_op5_labels_of_held_out_rows_change_nothing(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scores = []
+    for turn in (False, True):
+        own = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))) if turn else labels
+        model = toxicity.train(docs, own.where(~toxicity.held_out(F.col("doc_id"))))
+        scores.append((model.ids.tolist(), model.weights.tolist(), model.bias))
+    assert scores[0] == scores[1] and len(scores[0][0]) > 100
+
+
+def test_op5_of_several_labels_the_toxic_one_holds(spark):
+    docs = spark.createDataFrame([(i, f"text {'bad' if i % 2 else 'fine'} number{i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 0) for i in range(40)] + [(3, None), (None, 1), (99, 1), (5, 7)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.toxicity_scores(docs, model).collect())
+    few = toxicity.train(docs, labels, fit_bytes=1)
+    assert not len(few.ids)
 
 
 def test_op5_edges(spark, edge, empty):

@@ -1,39 +1,45 @@
 """Operator 5, toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams (three to six bytes) of a text's words, the space at either end included, each once, hashed. Fitting: a bounded sample of
-labelled rows gives presence counts of each feature in both classes, the log ratio of the smoothed shares scales the
-feature, and logistic regression on the scaled features gives the weights. Only the sample's hashed features reach the
-driver. Scoring is one pass over all texts without a shuffle; the weights, at most ``kept`` of them, go to the executors.
+Features are the n-grams (three to six characters) of a text's lower-cased words, the space at either end included, hashed.
+A feature's value is its share: how often it stands in the text for each thousand n-grams, so that a long text is not toxic by
+length. Fitting: a bounded sample of labelled rows gives both classes' sums of each feature; the log ratio of their smoothed
+shares scales it, and logistic regression on the scaled features gives the weights. Folds of the same sample (equal texts in
+one fold) give scores of texts that were not fitted; the place among these that parts the classes best becomes score 0.7.
+Only the sample's hashed features reach the driver. Scoring is one pass over all texts without a shuffle; the weights, at
+most ``kept`` of them, go to the executors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, materialize, table, text_chunks
+from ._common import Workspace, id_and_text, table, text_chunks
 
 ORDERS, SPACE = (3, 4, 5, 6), 1 << 20
+THRESHOLD = 0.7
+FOLDS = 4
+ALARM = 3.0  # what a false alarm costs, a miss costing 1, both as shares of their class
 
+_SPACES = dict.fromkeys(b"\t\n\x0b\x0c\r", " ")
 
-_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
+def grams(texts: list[bytes | None], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hashed n-gram, times it stands there for each thousand n-grams of the text), each pair once and in order.
 
-def grams(texts: list[bytes | None], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hashed n-gram), each pair once and in order. An n-gram may have a space at its ends, none within.
-
-    only: a flag for each hash; the others are left out.
+    An n-gram may have a space at its ends, none within. only: a flag for each hash; the others are left out.
     """
-    parts = [b" " + (t or b"").lower().translate(_SPACES) + b" " for t in texts]
-    row = np.frombuffer(b"".join(parts), np.uint8)
+    parts = [" " + (t or b"").decode("utf-8", "replace").lower().translate(_SPACES) + " " for t in texts]
+    row = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     spaces = np.concatenate([[0], np.cumsum(row == 32, dtype=np.int32)])
-    wide = row.astype(np.uint64)
+    wide, total = row.astype(np.uint64), np.zeros(len(parts), np.int64)
     rolled, found = np.zeros(len(row), np.uint64), []
     for n in range(1, max(ORDERS) + 1):
         count = len(row) - n + 1
@@ -43,13 +49,14 @@ def grams(texts: list[bytes | None], only: np.ndarray | None = None) -> tuple[np
         if n not in ORDERS:
             continue
         at = np.flatnonzero(spaces[n - 1 : n - 1 + count] == spaces[1 : count + 1])  # no space within
+        total += np.bincount(owner[at], minlength=len(parts))
         hashed = ((rolled[at] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * n)) >> np.uint64(44)).astype(np.int64)
         if only is not None:
             use = only[hashed]
             at, hashed = at[use], hashed[use]
         found.append((owner[at] << 20) | hashed)
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return pairs >> 20, pairs & (SPACE - 1)
+    pairs, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
+    return pairs >> 20, pairs & (SPACE - 1), 1000 * times / total[pairs >> 20]
 
 
 @dataclass(frozen=True)
@@ -66,48 +73,87 @@ class Model:
 
     def scores(self, texts: list[bytes | None], table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         known, weight = table or self.table()
-        owner, hashed = grams(texts, known)
-        z = np.bincount(owner, weight[hashed], len(texts)) + self.bias
+        owner, hashed, share = grams(texts, known)
+        z = np.bincount(owner, weight[hashed] * share, len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, *, smoothing: float = 1.0, least: int = 3, ridge: float = 3e-2, steps: int = 200, kept: int = 50_000) -> Model:
-    """Weights for presence features: log-count ratios times logistic regression weights (full-batch Adam)."""
-    if not len(features) or labels.min() == labels.max():  # one class or none: nothing to tell apart
-        share = float(labels.mean()) if len(labels) else 0.0
-        return Model(np.empty(0, np.int64), np.empty(0), 30.0 if share == 1 else -30.0)
-    y = labels.astype(float)
-    pos, neg = np.zeros(SPACE), np.zeros(SPACE)
-    for f, label in zip(features, labels, strict=True):
-        (pos if label else neg)[f] += 1  # each feature once in a text
-    ratio = np.log(((pos + smoothing) / (y.sum() + 2 * smoothing)) / ((neg + smoothing) / ((1 - y).sum() + 2 * smoothing)))
-    use = (pos + neg >= least) & (np.abs(ratio) > 0.7)
-    used = [f[use[f]] for f in features]
-    rows = np.repeat(np.arange(len(used), dtype=np.int32), [len(f) for f in used])
-    ids, cols = np.unique(np.concatenate(used), return_inverse=True)
-    scale = ratio[ids]
-    x = scale[cols]
+@dataclass(frozen=True)
+class Sample:
+    """Labelled rows as sparse features: of entry k the row, the hash and the share."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    share: np.ndarray
+    labels: np.ndarray
+
+    def pick(self, flags: np.ndarray) -> Sample:
+        number, use = np.cumsum(flags) - 1, flags[self.rows]
+        return Sample(number[self.rows[use]], self.cols[use], self.share[use], self.labels[flags])
+
+
+def fit(sample: Sample, *, smoothing: float = 1.0, least: int = 4, ratio_least: float = 0.7, ridge: float = 0.3, steps: int = 120, kept: int = 50_000) -> Model:
+    """Log-count ratios times logistic regression weights (full-batch Adam). Features of under ``least`` rows are left out."""
+    y = sample.labels.astype(float)
+    if not len(y) or y.min() == y.max():  # one class or none: nothing to tell apart
+        return Model(np.empty(0, np.int64), np.empty(0), 30.0 if len(y) and y[0] else -30.0)
+    toxic = y[sample.rows] == 1
+    pos, neg = (np.bincount(sample.cols[side], sample.share[side], SPACE) + smoothing for side in (toxic, ~toxic))
+    ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
+    use = ((np.bincount(sample.cols, minlength=SPACE) >= least) & (np.abs(ratio) > ratio_least))[sample.cols]
+    rows = sample.rows[use].astype(np.int32)
+    ids, cols = np.unique(sample.cols[use], return_inverse=True)
+    cols, scale = cols.astype(np.int32), ratio[ids]
+    x = sample.share[use] * scale[cols]
     w, bias = np.zeros(len(ids)), 0.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, steps + 1):
         z = np.bincount(rows, w[cols] * x, len(y)) + bias
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.append(np.bincount(cols, e[rows] * x, len(ids)) + ridge * w / len(ids) ** 0.5, e.sum())
+        grad = np.append(np.bincount(cols, e[rows] * x, len(ids)) + ridge * w / max(1, len(ids)) ** 0.5, e.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         change = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - change[:-1], bias - change[-1]
     final = w * scale
     top = np.argsort(-np.abs(final), kind="stable")[:kept]
-    top = top[np.abs(final[top]) > 1e-3]
+    top = top[np.abs(final[top]) > 1e-4]
     return Model(ids[top], final[top], float(bias))
 
 
+def parting(z: np.ndarray, labels: np.ndarray) -> float:
+    """The place that loses least: the share of toxic rows below it plus ALARM times the share of clean rows above it."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], labels[order].astype(float)
+    missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
+    alarms = np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]]) / max(1, (1 - y).sum())
+    edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
+    loss = np.where(edges[1:] > edges[:-1], missed + ALARM * alarms, np.inf)
+    at = int(np.argmin(loss))
+    return float((edges[at] + edges[at + 1]) / 2)
+
+
+def fit_and_place(sample: Sample, folds: np.ndarray) -> Model:
+    """The model of the whole sample, its bias moved so that the place that parts the folds' left-out rows has THRESHOLD."""
+    model = fit(sample)
+    z = np.zeros(len(sample.labels))
+    for fold in range(FOLDS):
+        out = folds == fold
+        part = sample.pick(~out)
+        if not out.any() or not len(part.labels) or part.labels.min() == part.labels.max():
+            return model  # too few rows to judge by
+        other = fit(part)
+        weight = other.table()[1]
+        z[out] = (np.bincount(sample.rows, weight[sample.cols] * sample.share, len(z)) + other.bias)[out]
+    return replace(model, bias=model.bias - parting(z, sample.labels) + math.log(THRESHOLD / (1 - THRESHOLD)))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in text_chunks(batches, max_bytes=1 << 20):
-        owner, hashed = grams(chunk.column("text").to_pylist())
+        owner, hashed, share = grams(chunk.column("text").to_pylist())
         cuts = np.searchsorted(owner, np.arange(chunk.num_rows + 1))
-        got = [hashed[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.record_batch([chunk.column("doc_id"), chunk.column("label"), pa.array(got, pa.binary())], names=["doc_id", "label", "grams"])
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        got = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (hashed.astype(np.int32), share.astype(np.float32))]
+        yield pa.record_batch([*(chunk.column(c) for c in ("place", "version", "label")), *got], names=["place", "version", "label", "grams", "shares"])
 
 
 def _score(model: Model):
@@ -123,22 +169,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class, the smallest by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_000, fit_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on labelled rows: of each class at most ``per_class`` ids, the smallest by a hash of the id, and of their texts as
+    many (in that order) as have ``fit_bytes`` of features, which is what the driver holds.
 
-    Rows with a null id, a label other than 0 and 1, or no document are left out; repeated ids count once.
+    Rows with a null id, a label other than 0 and 1, or no document are left out. Of several labels for one id the toxic one
+    holds. An id with several texts gives its label to each of them; equal rows count once.
     """
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["doc_id"])
-    parts = [marked.where(f"label = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    marked = marked.withColumn("place", F.xxhash64("doc_id"))
+    parts = [marked.where(f"label = {k}").orderBy("place", "doc_id").limit(per_class) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # 2 x per_class rows of two numbers
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = materialize(texts.select("doc_id", "label", "text").mapInArrow(_features, f"doc_id {kind}, label int, grams binary"), "op5-features")
-    rows = sorted((r["doc_id"], r["label"], bytes(r["grams"])) for r in found.coalesce(8).toLocalIterator())  # the sample, an eighth at a time
-    return fit([np.frombuffer(g, np.int32) for _, _, g in rows], np.array([label for _, label, _ in rows]))
-
-
-def toxicity_scores(docs: DataFrame, model: Model, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # 2 x per_class rows of three numbers
+    texts = texts.select("place", "label", F.coalesce("text", F.lit(b"")).alias("text")).distinct().withColumn("version", F.xxhash64("text"))
+    rows, labelled, folds, held = [], [], [], 0
+    with Workspace(docs.sparkSession, "op5") as work:
+        found = work.keep(texts.mapInArrow(_features, "place long, version long, label int, grams binary, shares binary").repartitionByRange(8, "place"), "features")
+        for r in found.orderBy("place", "version").toLocalIterator():
+            held += 2 * len(r["grams"])
+            if rows and held > fit_bytes:
+                break
+            rows.append((np.frombuffer(r["grams"], np.int32).astype(np.int64), np.frombuffer(r["shares"], np.float32).astype(float)))
+            labelled.append(r["label"])
+            folds.append(r["version"] % FOLDS)
+    entry = lambda k: np.concatenate([x[k] for x in rows]) if rows else np.empty(0, int)
+    return fit_and_place(Sample(np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows]), entry(0), entry(1), np.array(labelled, int)), np.array(folds))
+
+
+def toxicity_scores(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from ``threshold``) for each row. Null and empty texts have the score of the
     bias alone. Repeated and null ids keep their rows. Other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()
