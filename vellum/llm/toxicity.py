@@ -92,14 +92,17 @@ class Sample:
         return Sample(number[self.rows[use]], self.cols[use], self.share[use], self.labels[flags])
 
 
-def fit(sample: Sample, *, smoothing: float = 1.0, least: int = 4, ratio_least: float = 0.7, ridge: float = 0.3, steps: int = 120, kept: int = 50_000) -> Model:
-    """Log-count ratios times logistic regression weights (full-batch Adam). Features of under ``least`` rows are left out."""
+def fit(sample: Sample, *, smoothing: float = 4.0, least: int = 4, ratio_least: float = 0.7, ridge: float = 0.3, steps: int = 120, kept: int = 50_000) -> Model:
+    """Log-count ratios times logistic regression weights (full-batch Adam). Features of under ``least`` rows are left out, and
+    those whose log ratio says little. Each class is smoothed in proportion to its mass: a feature never seen has ratio 0."""
     y = sample.labels.astype(float)
     if not len(y) or y.min() == y.max():  # one class or none: nothing to tell apart
         return Model(np.empty(0, np.int64), np.empty(0), 30.0 if len(y) and y[0] else -30.0)
     toxic = y[sample.rows] == 1
-    pos, neg = (np.bincount(sample.cols[side], sample.share[side], SPACE) + smoothing for side in (toxic, ~toxic))
-    ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
+    pos, neg = (np.bincount(sample.cols[side], sample.share[side], SPACE) for side in (toxic, ~toxic))
+    part = pos.sum() / max(1e-9, pos.sum() + neg.sum())
+    pos, neg = pos + smoothing * part, neg + smoothing * (1 - part)
+    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
     use = ((np.bincount(sample.cols, minlength=SPACE) >= least) & (np.abs(ratio) > ratio_least))[sample.cols]
     rows = sample.rows[use].astype(np.int32)
     ids, cols = np.unique(sample.cols[use], return_inverse=True)
