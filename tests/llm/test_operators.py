@@ -426,6 +426,19 @@ def test_op5_labels_of_held_out_rows_change_nothing(spark):
     assert scores[0] == scores[1] and len(scores[0][0]) > 100
 
 
+def test_op5_features_that_are_not_worth_it_change_nothing():
+    rng = np.random.default_rng(2)
+    rows = [{"version": i, "label": int(i % 3 == 0), "grams": np.unique(rng.integers(0, 60, 30) + 40 * (i % 3 == 0) * (rng.random() < 0.7)).astype(np.int32)} for i in range(200)]
+    for r in rows:
+        share = rng.random(len(r["grams"]))
+        r["shares"] = (1000 * share / share.sum()).astype(np.float32)
+    whole = toxicity.Sample(np.repeat(np.arange(200), [len(r["grams"]) for r in rows]), np.concatenate([r["grams"] for r in rows]), np.concatenate([r["shares"] for r in rows]), np.array([r["label"] for r in rows]))
+    sample, folds = toxicity._sample(lambda: iter([r | {"grams": r["grams"].tobytes(), "shares": r["shares"].tobytes()} for r in rows]), 1 << 30)
+    assert 0 < len(sample.rows) < len(whole.rows)
+    a, b = toxicity.fit_and_place(sample, folds), toxicity.fit_and_place(whole, np.arange(200) % toxicity.FOLDS)
+    assert a.ids.tolist() == b.ids.tolist() and a.weights == pytest.approx(b.weights) and a.bias == pytest.approx(b.bias)
+
+
 def test_op5_of_several_labels_the_toxic_one_holds(spark):
     docs = spark.createDataFrame([(i, f"text {'bad' if i % 2 else 'fine'} number{i}") for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 0) for i in range(40)] + [(3, None), (None, 1), (99, 1), (5, 7)], "doc_id long, toxic int")

@@ -12,7 +12,7 @@ most ``kept`` of them, go to the executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -92,18 +92,25 @@ class Sample:
         return Sample(number[self.rows[use]], self.cols[use], self.share[use], self.labels[flags])
 
 
-def fit(sample: Sample, *, smoothing: float = 4.0, least: int = 4, ratio_least: float = 0.7, ridge: float = 0.3, steps: int = 120, kept: int = 50_000) -> Model:
-    """Log-count ratios times logistic regression weights (full-batch Adam). Features of under ``least`` rows are left out, and
-    those whose log ratio says little. Each class is smoothed in proportion to its mass: a feature never seen has ratio 0."""
+def worth(pos: np.ndarray, neg: np.ndarray, seen: np.ndarray, toxic: float, clean: float, *, smoothing: float = 4.0, least: int = 4, ratio_least: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of each feature, and whether it is used, from both classes' sums of it, the rows that have it and the
+    number of rows of both classes. Features of under ``least`` rows are left out, and those whose log ratio says little. Each
+    class is smoothed in proportion to its mass (1,000 a row): a feature never seen has ratio 0."""
+    part = toxic / max(1.0, toxic + clean)
+    ratio = np.log(pos + smoothing * part) - np.log(1000 * toxic + smoothing * part * SPACE) - np.log(neg + smoothing * (1 - part)) + np.log(1000 * clean + smoothing * (1 - part) * SPACE)
+    return ratio, (seen >= least) & (np.abs(ratio) > ratio_least)
+
+
+def fit(sample: Sample, *, ridge: float = 0.3, steps: int = 120, kept: int = 50_000) -> Model:
+    """Log-count ratios times logistic regression weights (full-batch Adam). Features that are not ``worth`` it may be left
+    out of the sample: they change nothing."""
     y = sample.labels.astype(float)
     if not len(y) or y.min() == y.max():  # one class or none: nothing to tell apart
         return Model(np.empty(0, np.int64), np.empty(0), 30.0 if len(y) and y[0] else -30.0)
     toxic = y[sample.rows] == 1
     pos, neg = (np.bincount(sample.cols[side], sample.share[side], SPACE) for side in (toxic, ~toxic))
-    part = pos.sum() / max(1e-9, pos.sum() + neg.sum())
-    pos, neg = pos + smoothing * part, neg + smoothing * (1 - part)
-    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    use = ((np.bincount(sample.cols, minlength=SPACE) >= least) & (np.abs(ratio) > ratio_least))[sample.cols]
+    ratio, good = worth(pos, neg, np.bincount(sample.cols, minlength=SPACE), y.sum(), (1 - y).sum())
+    use = good[sample.cols]
     rows = sample.rows[use].astype(np.int32)
     ids, cols = np.unique(sample.cols[use], return_inverse=True)
     cols, scale = cols.astype(np.int32), ratio[ids]
@@ -185,18 +192,40 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 2_000, fit_byt
     sample = parts[0].unionByName(parts[1])
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # 2 x per_class rows of three numbers
     texts = texts.select("place", "label", F.coalesce("text", F.lit(b"")).alias("text")).distinct().withColumn("version", F.xxhash64("text"))
-    rows, labelled, folds, held = [], [], [], 0
     with Workspace(docs.sparkSession, "op5") as work:
         found = work.keep(texts.mapInArrow(_features, "place long, version long, label int, grams binary, shares binary").repartitionByRange(8, "place"), "features")
-        for r in found.orderBy("place", "version").toLocalIterator():
-            held += 2 * len(r["grams"])
-            if rows and held > fit_bytes:
-                break
-            rows.append((np.frombuffer(r["grams"], np.int32).astype(np.int64), np.frombuffer(r["shares"], np.float32).astype(float)))
-            labelled.append(r["label"])
-            folds.append(r["version"] % FOLDS)
-    entry = lambda k: np.concatenate([x[k] for x in rows]) if rows else np.empty(0, int)
-    return fit_and_place(Sample(np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows]), entry(0), entry(1), np.array(labelled, int)), np.array(folds))
+        return fit_and_place(*_sample(lambda: found.orderBy("place", "version").toLocalIterator(), fit_bytes))
+
+
+def _sample(read: Callable[[], Iterator], fit_bytes: int) -> tuple[Sample, np.ndarray]:
+    """The sample and its folds. Read twice: the first pass sums the features of each fold and class, the second keeps those
+    that some fit may use."""
+    sums, labels, folds, held = np.zeros((2, FOLDS, SPACE), np.float32), [], [], 0
+    seen = np.zeros((FOLDS, SPACE), np.int32)
+    for r in read():
+        held += 2 * len(r["grams"])
+        if labels and held > fit_bytes:
+            break
+        fold, cols = r["version"] % FOLDS, np.frombuffer(r["grams"], np.int32)
+        sums[r["label"], fold, cols] += np.frombuffer(r["shares"], np.float32)  # a row has each hash once
+        seen[fold, cols] += 1
+        labels.append(r["label"])
+        folds.append(fold)
+    y, fold = np.array(labels, int), np.array(folds, int)
+    count = lambda label, out: float(((y == label) & (fold != out)).sum())
+    good = np.zeros(SPACE, bool)
+    for out in range(-1, FOLDS):
+        use = [k for k in range(FOLDS) if k != out]
+        good |= worth(sums[1, use].sum(axis=0, dtype=float), sums[0, use].sum(axis=0, dtype=float), seen[use].sum(axis=0), count(1, out), count(0, out))[1]
+    entries = []
+    for i, r in enumerate(read()):
+        if i >= len(y):
+            break
+        cols = np.frombuffer(r["grams"], np.int32)
+        use = good[cols]
+        entries.append((np.full(int(use.sum()), i, np.int32), cols[use], np.frombuffer(r["shares"], np.float32)[use]))
+    rows, cols, share = (np.concatenate([e[k] for e in entries]) if entries else np.empty(0, int) for k in range(3))
+    return Sample(rows, cols, share, y), fold
 
 
 def toxicity_scores(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
