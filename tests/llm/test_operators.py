@@ -86,6 +86,42 @@ def test_op1_original_layout_keeps_what_stands_between_words(spark):
     assert got[1] == (p, []) and got[2][0] == "a\n b\tc  " and [(s["first"], s["end"]) for s in got[2][1]] == [(1, 51)]
 
 
+def test_op1_every_span_comes_from_the_automata(spark, documents, monkeypatch):
+    """Small shards and copies of them; and without passages nothing is cut."""
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(substring_dedup, "STREAM", 3)
+    got = substring_dedup.substring_dedup(documents[0], layout="words").select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert collections.Counter(tuple(r) for r in got) == removed(documents[1])
+    confirmed = substring_dedup._confirmed
+    monkeypatch.setattr(substring_dedup, "_confirmed", lambda *a: (lambda passages, routes: (passages.limit(0), routes))(*confirmed(*a)))
+    assert substring_dedup.substring_dedup(documents[0]).where("n_removed > 0").count() == 0
+
+
+def test_op1_a_shard_has_no_bound_on_its_words(monkeypatch):
+    words = [b"%d" % i for i in range(1_200_000)]
+    shard = substring_dedup.Shard([(1, words)], 50)
+    assert shard.locate(2, [b"x", *words[1_150_000:1_150_060], b"y"]) == [(1, 61)] and shard.locate(1, words[:60]) == []
+    monkeypatch.setattr(substring_dedup.Shard, "LETTERS", 3)  # words that share a letter are told apart
+    rng = random.Random(1)
+    text = [b"%d" % rng.randrange(50) for _ in range(300)]
+    shard = substring_dedup.Shard([(1, text)], 10)
+    assert shard.locate(2, [*text[100:130], b"x", *text[40:49]]) == [(0, 30)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b"]), min_size=4, max_size=30), min_size=1, max_size=4), st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=60))
+def test_op1_locate_by_definition(passages, words):
+    got = substring_dedup.Shard([(i, p) for i, p in enumerate(passages)], 4).locate(99, words)
+    windows = {tuple(p[i : i + 4]) for p in passages for i in range(len(p) - 3)}
+    assert got == substring_dedup.joined_spans((i, i + 4) for i in range(len(words) - 3) if tuple(words[i : i + 4]) in windows)
+
+
+def test_op1_carried_columns_with_the_operator_s_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "s")], "doc_id long, text string, n_words int, spans string")
+    row = substring_dedup.substring_dedup(df, carry=["n_words", "spans", "text"]).first()
+    assert (row["n_words"], row["n_words_in"], row["spans_in"], row["text"]) == (2, 7, "s", "a b")
+
+
 # ---------------------------------------------------------------- 2
 
 

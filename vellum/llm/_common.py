@@ -176,6 +176,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return have
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name of a carried column: its own, or with ``_in`` behind it where an operator's column has that name."""
+    return f"{name}_in" if name.lower() in {t.lower() for t in taken} else name
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str] = ()) -> DataFrame:
     """Only what an operator needs, under fixed names: doc_id, text as bytes, and carried columns."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
@@ -215,6 +220,19 @@ class Sieve:
         return ok
 
 
+def sifted(rows: DataFrame, sieve: Sieve, column: str = "doc_id", passing: bool = True) -> DataFrame:
+    """The rows whose ``column`` passes the sieve, or the others. Null passes never."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(column)
+            ok = sieve.passes(pc.fill_null(values, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(values).to_numpy(zero_copy_only=False)
+            if (ok == passing).any():
+                yield batch.filter(pa.array(ok == passing))
+
+    return rows.mapInArrow(each, rows.schema)
+
+
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a long, b long): columns node, component.
 

@@ -3,14 +3,19 @@
 1. Seeds. Every 50-word window is known by the smallest hash among its 35 16-word grams (winnowing), so equal windows
    share their seed wherever they stand. Consecutive windows with one seed form a *run*; a document has about one run for
    every 18 words, and only runs are shuffled.
-2. Confirm. Runs of equal content are settled at once: all but the smallest document's recur whole. Where a seed has
-   several contents, the windows of the first of each are hashed (twice 64 bits) and grouped.
-3. Compile and stream. The confirmed passages of a block of documents become one Aho-Corasick automaton (a shard: its size
-   is bounded by the block's text), and all documents of the block are streamed through it. A place counts when the
-   passage's every window starts in a document with a smaller id than the one read.
-
-Nothing is gathered by key: owners are sums (smallest and largest id of a content, a seed, a window), made before the shuffle
-where rows allow it, and go back to the rows by merge joins, whose hot keys Spark splits. Memory follows the block size.
+2. Confirm. A passage is kept once, where its owner, the smallest document that has it, has it first. Runs of equal content
+   that stand in several documents are passages as they are. Where a seed has several contents, the windows of the owner of
+   each are hashed (twice 64 bits) and summed: a window that stands in two documents is a passage of the smallest. The same
+   hashes say which owners' passages a document must be looked through for, not where in it they stand.
+3. Compile. The passages are dealt by owner into shards of about SHARD_BYTES. A passage is compiled as its consecutive blocks of
+   half a window: a window inside a passage always holds a whole block, and blocks do not overlap, so an Aho-Corasick automaton
+   is as large as its passages.
+4. Stream. Every document that has a recurring seed is streamed through the automata of its owners' shards. Each block found
+   is extended word by word, both ways, as far as document and passage agree; from 50 words on that is an occurrence.
+
+Owners are sums (the least place of a content, of a window), made before the shuffle where rows allow it and written before
+they are joined, so that hot keys can be split. A shard that many documents name is copied for each STREAM of them. Nothing
+is gathered by key but the spans of one document; memory follows the shard size and the longest text.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BASE_A, BASE_B, WordHashes, Workspace, flat_words, gram_hashes, id_and_text, materialize, prefix_sums, sliding_min, span_hashes, table, text_chunks
+from ._common import BASE_A, BASE_B, Sieve, WordHashes, Workspace, flat_words, free_name, gram_hashes, materialize, prefix_sums, sifted, sliding_min, span_hashes, table, text_chunks
 
+SHARD_BYTES, STREAM = 1 << 20, 4096  # of passages in an automaton; documents that go through one copy of it
 _RUN = "seed long, content long, doc_id long, version int, first int, last int"
 _WINDOW = "h1 long, h2 long, doc_id long, version int, first int"
 
@@ -89,52 +95,113 @@ def _window_hashes(width: int):
     return each
 
 
-def _passages(spans: list[dict], width: int) -> list[tuple[int, int, int]]:
-    """Spans of window starts, joined where they touch: (first word, word after the last, largest owner)."""
+def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans [first, end) joined where they overlap or touch."""
     out: list[list[int]] = []
-    for s in sorted(spans, key=lambda s: (s["first"], s["last"])):
-        if out and s["first"] <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], s["last"])
-            out[-1][2] = max(out[-1][2], s["owner"])
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([s["first"], s["last"], s["owner"]])
-    return [(a, b + width, o) for a, b, o in out]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+class Shard:
+    """The automaton of some passages: (owner, words) each."""
+
+    LETTERS = 1_100_000  # code points there are; words beyond share letters, which the extension tells apart
+
+    def __init__(self, passages: list[tuple[int, list[bytes]]], width: int):
+        self.width, self.block = width, width // 2
+        self.numbers: dict[bytes, int] = {}
+        numbers = self.numbers
+        flat = [numbers.setdefault(w, len(numbers)) for _, words in passages for w in words]
+        self.flat = np.array(flat, np.int64)
+        self.ends = np.cumsum([len(words) for _, words in passages])
+        self.owners = [owner for owner, _ in passages]
+        blocks: dict[str, list[tuple[int, int]]] = {}
+        at = 0
+        for number, (_, words) in enumerate(passages):
+            for start in range(at, at + len(words) - self.block + 1, self.block):
+                blocks.setdefault("".join(map(self.letter, flat[start : start + self.block])), []).append((start, number))
+            at += len(words)
+        self.automaton = ahocorasick.Automaton()
+        for block, places in blocks.items():
+            self.automaton.add_word(block, places)
+        if blocks:
+            self.automaton.make_automaton()
+
+    @classmethod
+    def letter(cls, number: int) -> str:
+        code = number % cls.LETTERS + 2
+        return chr(code if code < 0xD800 else code + 0x800)
+
+    @staticmethod
+    def agree(x: np.ndarray, y: np.ndarray) -> int:
+        """How many values from the start on are equal."""
+        n, at, step = min(len(x), len(y)), 0, 64
+        while at < n:
+            apart = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
+            if len(apart):
+                return at + int(apart[0])
+            at, step = at + step, 2 * step
+        return n
+
+    def locate(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
+        """Spans of the words in which a passage of a smaller document stands, of ``width`` words at least."""
+        if not len(self.automaton):
+            return []
+        get, out = self.numbers.get, []
+        numbers = [get(w, -1) for w in words]
+        own, reached = np.array(numbers, np.int64), {}
+        for end, places in self.automaton.iter("".join(["\x01" if n < 0 else self.letter(n) for n in numbers])):
+            start = end - self.block + 1
+            for place, number in places:
+                if self.owners[number] >= doc_id or reached.get((number, start - place), 0) > start:
+                    continue
+                low, high = int(self.ends[number - 1]) if number else 0, int(self.ends[number])
+                left = self.agree(own[:start][::-1], self.flat[low:place][::-1])
+                right = self.agree(own[start:], self.flat[place:high])
+                reached[number, start - place] = start + max(right, 1)
+                if left + right >= self.width:
+                    out.append((start - left, start + right))
+        return joined_spans(out)
+
+
+def _extract(width: int):
+    """Of owners' texts and the window starts of their passages: the passages' words, joined by a space."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            rows = []
+            for doc_id, version, text, spans in zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "version", "text", "spans")), strict=True):
+                words = text.split()
+                rows += [(doc_id, version, b" ".join(words[a:b])) for a, b in joined_spans((s["first"], s["last"] + width) for s in spans)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "version", "text"])
 
-def _code(i: int) -> str:
-    return chr(i + 2 if i + 2 < 0xD800 else i + 2 + 0x800)
+    return each
 
 
-def locate(docs: list[tuple[int | None, list[bytes], list[tuple[int, int, int]]]]) -> list[np.ndarray]:
-    """One shard: compile the passages of these documents and mark the words each document has of any of them.
+def _stream(width: int):
+    """Rows in order of shard, copy and kind: the passages of a shard (kind 0), then the documents that go through it (kind 1)."""
 
-    docs: (id, words, passages as (first word, end, largest owner)). A word of the passages is one letter of the
-    automaton; other words share a letter that no passage has.
-    """
-    letters: dict[bytes, str] = {}
-    patterns: dict[str, int] = {}
-    for _, words, passages in docs:
-        for a, b, owner in passages:
-            for w in words[a:b]:
-                if w not in letters:
-                    letters[w] = _code(len(letters))
-            key = "".join([letters[w] for w in words[a:b]])
-            patterns[key] = min(patterns.get(key, owner), owner)
-    marks = [np.zeros(len(words) + 1, np.int32) for _, words, _ in docs]
-    if patterns:
-        shard = ahocorasick.Automaton()
-        for key, owner in patterns.items():
-            shard.add_word(key, (len(key), owner))
-        shard.make_automaton()
-        get = letters.get
-        for (doc_id, words, _), mark in zip(docs, marks, strict=True):
-            if doc_id is None:
-                continue
-            for end, (size, owner) in shard.iter("".join([get(w, "\x01") for w in words])):
-                if owner < doc_id:
-                    mark[end - size + 1] += 1
-                    mark[end + 1] -= 1
-    return [np.cumsum(m[:-1]) > 0 for m in marks]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, passages, shard = None, [], None
+        for chunk in text_chunks(batches):
+            rows = []
+            for now, copy, kind, doc_id, version, text in zip(*(chunk.column(c).to_pylist() for c in ("shard", "copy", "kind", "doc_id", "version", "text")), strict=True):
+                if key != (now, copy):
+                    key, passages, shard = (now, copy), [], None
+                if kind == 0:
+                    passages.append((doc_id, text.split()))
+                    continue
+                if shard is None:
+                    shard, passages = Shard(passages, width), []
+                rows += [(doc_id, version, a, b) for a, b in shard.locate(doc_id, text.split())]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "version", "first", "end"])
+
+    return each
 
 
 def _kept(text: bytes, words: list[bytes], gone: np.ndarray, layout: str) -> bytes:
@@ -156,46 +223,77 @@ def _kept(text: bytes, words: list[bytes], gone: np.ndarray, layout: str) -> byt
     return b"".join(out)
 
 
-def _cut(width: int, layout: str, carry: list[str]):
+def _cut(width: int, layout: str, carried: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            texts = [t or b"" for t in chunk.column("text").to_pylist()]
-            docs = [(i, t.split(), _passages(s or [], width)) for i, t, s in zip(chunk.column("doc_id").to_pylist(), texts, chunk.column("spans").to_pylist(), strict=True)]
-            gone = locate(docs)
-            flips = [np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8))).reshape(-1, 2).tolist() if g.any() else [] for g in gone]
-            kept = []
-            for was, t, (_, words, _), g, f in zip(chunk.column("text").to_pylist(), texts, docs, gone, flips, strict=True):
-                kept.append(None if was is None and layout != "words" else t if not f and layout != "words" else _kept(t, words, g, layout))
+            sizes, gone, out, kept = [], [], [], []
+            for text, spans in zip(chunk.column("text").to_pylist(), chunk.column("spans").to_pylist(), strict=True):
+                words = (text or b"").split()
+                cut = joined_spans((s["first"], s["end"]) for s in spans or [])
+                mark = np.zeros(len(words), bool)
+                for a, b in cut:
+                    mark[a:b] = True
+                sizes.append(len(words))
+                gone.append(int(mark.sum()))
+                out.append([{"first": a, "end": b} for a, b in cut])
+                kept.append(_kept(text or b"", words, mark, layout) if layout == "words" or cut else text)
             yield pa.record_batch(
                 [
                     chunk.column("doc_id"),
-                    pa.array([len(d[1]) for d in docs], pa.int64()),
-                    pa.array([int(g.sum()) for g in gone], pa.int64()),
-                    pa.array([[{"first": a, "end": b} for a, b in f] for f in flips], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(gone, pa.int64()),
+                    pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                     pa.array(kept, pa.binary()),
-                    *[chunk.column(c) for c in carry],
+                    *[chunk.column(f"_carried{k}") for k in range(carried)],
                 ],
-                names=["doc_id", "n_words", "n_removed", "spans", "kept_text", *carry],
+                names=["doc_id", "n_words", "n_removed", "spans", "kept_text", *(f"_carried{k}" for k in range(carried))],
             )
 
     return each
 
 
-def _confirmed(known: DataFrame, width: int, gram: int, work: Workspace) -> DataFrame:
-    """For each document the spans of window starts that recur, with the smallest document that has them."""
+def _confirmed(known: DataFrame, width: int, gram: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The passages (owner's id and version, window starts first to last), and which documents are looked through for which
+    owners' passages (doc_id, version, owner, owner_version)."""
+    here = F.struct("doc_id", "version", "first", "last")
     runs = work.keep(known.mapInArrow(_runs(width, gram), _RUN), "runs")
-    contents = runs.groupBy("seed", "content").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"))
-    seeds = contents.groupBy("seed").agg(F.min("owner").alias("lo"), F.max("top").alias("hi"), F.count("*").alias("contents")).where("lo < hi")
-    recurring = contents.join(seeds.hint("merge"), "seed").where("contents > 1 OR owner < top").select("seed", "content", "owner", "contents")
-    found = runs.join(recurring.hint("merge"), ["seed", "content"]).where("contents > 1 OR owner < doc_id")
-    found = work.keep(found.select("doc_id", "version", "first", "last", "owner"), "found")
+    contents = runs.groupBy("seed", "content").agg(F.min(here).alias("own"), F.max("doc_id").alias("top"))
+    contents = work.keep(contents, "contents")
+    seeds = contents.groupBy("seed").agg(F.min("own.doc_id").alias("lo"), F.max("top").alias("hi"), F.count("*").alias("contents")).where("lo < hi").select("seed", "contents")
+    recurring = work.keep(contents.join(seeds.hint("merge"), "seed").where("contents > 1 OR own.doc_id < top").select("seed", "content", "own", "top", "contents"), "recurring")
+    work.drop(contents)
+    found = runs.join(recurring.select("seed", "content", F.col("own.doc_id").alias("owner"), F.col("own.version").alias("owner_version"), (F.col("contents") > 1).alias("several")).hint("merge"), ["seed", "content"])
+    found = work.keep(found.where("owner < doc_id OR several").select("doc_id", "version", "first", "last", "owner", "owner_version"), "found")
     work.drop(runs)
-    partial = found.where("owner = doc_id").groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    windows = work.keep(known.join(partial.hint("merge"), ["doc_id", "version"]).mapInArrow(_window_hashes(width), _WINDOW), "windows")
-    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top")
-    owned = windows.join(owners.hint("merge"), ["h1", "h2"]).where("owner < doc_id")
-    confirmed = found.where("owner < doc_id").unionByName(owned.select("doc_id", "version", "first", F.col("first").alias("last"), "owner"))
-    return confirmed.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last", "owner")).alias("spans"))
+    partial = found.where("owner = doc_id").groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    partial = work.keep(partial, "partial")
+    texts = sifted(known, Sieve(partial.select("doc_id"))).join(partial.hint("merge"), ["doc_id", "version"])
+    windows = work.keep(texts.mapInArrow(_window_hashes(width), _WINDOW), "windows")
+    owners = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version", "first")).alias("own"), F.max("doc_id").alias("top")).where("own.doc_id < top")
+    owners = work.keep(owners.select("h1", "h2", "own"), "owners")
+    named = windows.join(owners.hint("merge"), ["h1", "h2"]).where("own.doc_id < doc_id").select("doc_id", "version", F.col("own.doc_id").alias("owner"), F.col("own.version").alias("owner_version"))
+    routes = found.where("owner < doc_id").select("doc_id", "version", "owner", "owner_version").unionByName(named).distinct()
+    routes = work.keep(routes, "routes")
+    passages = recurring.where("own.doc_id < top").select("own.doc_id", "own.version", "own.first", "own.last").unionByName(owners.select("own.doc_id", "own.version", "own.first", F.col("own.first").alias("last")))
+    return passages, routes
+
+
+def _located(known: DataFrame, passages: DataFrame, routes: DataFrame, width: int, work: Workspace) -> DataFrame:
+    """The spans of each document (doc_id, version, spans of first and end) in which passages of smaller documents stand."""
+    spans = work.keep(passages.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    owned = sifted(known, Sieve(spans.select("doc_id"))).dropDuplicates(["doc_id", "version"]).join(spans.hint("merge"), ["doc_id", "version"])
+    owned = work.keep(owned.select("doc_id", "version", "text", "spans").mapInArrow(_extract(width), "doc_id long, version int, text binary"), "passages")
+    shards = max(1, -(-int(owned.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // SHARD_BYTES))
+    shard = lambda owner, version: F.pmod(F.xxhash64(owner, version), F.lit(shards))
+    asked = work.keep(routes.select("doc_id", "version", shard("owner", "owner_version").alias("shard")).distinct(), "asked")
+    copies = work.keep(asked.groupBy("shard").agg(F.expr(f"cast(ceil(count(*) / {STREAM}) as int)").alias("copies")), "copies")
+    laid = owned.withColumn("shard", shard("doc_id", "version")).join(copies.hint("merge"), "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    texts = sifted(known, Sieve(asked.select("doc_id"))).dropDuplicates(["doc_id", "version"]).join(asked.hint("merge"), ["doc_id", "version"])
+    texts = texts.join(copies.hint("merge"), "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "version"), F.col("copies")).cast("int"))
+    columns = ["shard", "copy", "kind", "doc_id", "version", "text"]
+    rows = laid.withColumn("kind", F.lit(0)).select(columns).unionByName(texts.withColumn("kind", F.lit(1)).select(columns))
+    rows = rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    return rows.mapInArrow(_stream(width), "doc_id long, version int, first int, end int").groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, *, width: int = 50, gram: int = 16, layout: str = "original", id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:
@@ -206,16 +304,22 @@ def substring_dedup(docs: DataFrame, *, width: int = 50, gram: int = 16, layout:
 
     Windows are judged on the input. A null text has no words (kept_text null, or empty with layout "words"); a row with a
     null id stays as it is and owns nothing; rows with one id and one text are alike; rows with one id and several texts
-    are judged each on its own. Other columns of ``docs`` are ignored unless carried.
+    are judged each on its own. Other columns of ``docs`` are ignored unless carried; a carried column whose name is one of
+    the operator's own comes back as ``name_in``. An empty table gives no rows.
     """
     carry = list(carry)
-    base = id_and_text(docs, id_col, text_col, carry).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("version", F.hash("text"))
-    known = base.where("doc_id IS NOT NULL").select("doc_id", "version", "text")
+    own = {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("binary")}
+    base = docs.select(*(c.alias(n) for n, c in own.items()), *(F.col(c).alias(f"_carried{k}") for k, c in enumerate(carry))).withColumn("version", F.hash("text"))
+    known = base.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "version", "text")
     with Workspace(docs.sparkSession, "op1") as work:
-        per_doc = materialize(_confirmed(known, width, gram, work), "op1-spans")
-    out = f"doc_id long, n_words long, n_removed long, spans array<struct<first:int,end:int>>, kept_text binary{''.join(f', `{f.name}` {f.dataType.simpleString()}' for f in docs.select(*carry).schema)}"
-    cut = base.join(per_doc.hint("merge"), ["doc_id", "version"], "left").select("doc_id", "text", "spans", *carry).mapInArrow(_cut(width, layout, carry), out)
-    return cut.withColumn("kept_text", F.col("kept_text").cast("string"))
+        per_doc = materialize(_located(known, *_confirmed(known, width, gram, work), width, work), "op1-spans")
+    sieve = Sieve(per_doc.select("doc_id"))  # texts without a span stay where they are
+    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,end:int>>, kept_text binary" + "".join(f", _carried{k} {docs.select(c).schema[0].dataType.simpleString()}" for k, c in enumerate(carry))
+    some = sifted(base, sieve).join(per_doc.hint("merge"), ["doc_id", "version"], "left").drop("version")
+    none = sifted(base, sieve, passing=False).drop("version").withColumn("spans", F.lit(None).cast(per_doc.schema["spans"].dataType))
+    cut = some.select(none.columns).unionByName(none).mapInArrow(_cut(width, layout, len(carry)), schema)
+    taken = ["doc_id", "n_words", "n_removed", "spans", "kept_text"]
+    return cut.select(*taken[:4], F.col("kept_text").cast("string").alias("kept_text"), *(F.col(f"_carried{k}").alias(free_name(c, taken)) for k, c in enumerate(carry)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,9 @@ def worth(pos: np.ndarray, neg: np.ndarray, seen: np.ndarray, toxic: float, clea
     """Log-count ratio of each feature, and whether it is used, from both classes' sums of it, the rows that have it and the
     number of rows of both classes. Features of under ``least`` rows are left out, and those whose log ratio says little. Each
     class is smoothed in proportion to its mass (1,000 a row): a feature never seen has ratio 0."""
-    part = toxic / max(1.0, toxic + clean)
+    if not toxic or not clean:
+        return np.zeros(SPACE), np.zeros(SPACE, bool)
+    part = toxic / (toxic + clean)
     ratio = np.log(pos + smoothing * part) - np.log(1000 * toxic + smoothing * part * SPACE) - np.log(neg + smoothing * (1 - part)) + np.log(1000 * clean + smoothing * (1 - part) * SPACE)
     return ratio, (seen >= least) & (np.abs(ratio) > ratio_least)
 
