@@ -113,18 +113,25 @@ class Shard:
 
     def __init__(self, passages: list[tuple[int, list[bytes]]], width: int):
         self.width, self.block = width, width // 2
-        self.numbers: dict[bytes, int] = {}
-        numbers = self.numbers
-        flat = [numbers.setdefault(w, len(numbers)) for _, words in passages for w in words]
-        self.flat = np.array(flat, np.int64)
+        self.letters: dict[bytes, str] = {}
+        self.numbers: dict[bytes, int] | None = None  # only where words share letters
+        for _, words in passages:
+            for w in words:
+                if w not in self.letters:
+                    self.letters[w] = self.letter(len(self.letters))
+        if len(self.letters) > self.LETTERS:
+            self.numbers = {w: i for i, w in enumerate(self.letters)}
         self.ends = np.cumsum([len(words) for _, words in passages])
         self.owners = [owner for owner, _ in passages]
         blocks: dict[str, list[tuple[int, int]]] = {}
-        at = 0
+        at, flat = 0, []
         for number, (_, words) in enumerate(passages):
-            for start in range(at, at + len(words) - self.block + 1, self.block):
-                blocks.setdefault("".join(map(self.letter, flat[start : start + self.block])), []).append((start, number))
+            row, own = self.codes(words)
+            for start in range(0, len(words) - self.block + 1, self.block):
+                blocks.setdefault(row[start : start + self.block], []).append((at + start, number))
             at += len(words)
+            flat.append(own)
+        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int64)
         self.automaton = ahocorasick.Automaton()
         for block, places in blocks.items():
             self.automaton.add_word(block, places)
@@ -136,6 +143,14 @@ class Shard:
         code = number % cls.LETTERS + 2
         return chr(code if code < 0xD800 else code + 0x800)
 
+    def codes(self, words: list[bytes]) -> tuple[str, np.ndarray]:
+        """The words as letters, and as numbers that are equal only for equal words; a word of no passage is letter 1."""
+        get = self.letters.get
+        row = "".join([get(w, "\x01") for w in words])
+        if self.numbers is not None:
+            return row, np.array([self.numbers.get(w, -1) for w in words], np.int64)
+        return row, np.frombuffer(row.encode("utf-32-le"), np.uint32)
+
     @staticmethod
     def agree(x: np.ndarray, y: np.ndarray) -> int:
         """How many values from the start on are equal."""
@@ -151,10 +166,9 @@ class Shard:
         """Spans of the words in which a passage of a smaller document stands, of ``width`` words at least."""
         if not len(self.automaton):
             return []
-        get, out = self.numbers.get, []
-        numbers = [get(w, -1) for w in words]
-        own, reached = np.array(numbers, np.int64), {}
-        for end, places in self.automaton.iter("".join(["\x01" if n < 0 else self.letter(n) for n in numbers])):
+        out, reached = [], {}
+        row, own = self.codes(words)
+        for end, places in self.automaton.iter(row):
             start = end - self.block + 1
             for place, number in places:
                 if self.owners[number] >= doc_id or reached.get((number, start - place), 0) > start:
