@@ -302,12 +302,68 @@ def test_op3_reaches_its_recall_and_invents_nothing(spark):
     assert blocks == got
 
 
+def best_distance(item, text):
+    """By the definition: the least edits that turn the item into a part of the text."""
+    last = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        now = [i]
+        for j, x in enumerate(text, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (w != x)))
+        last = now
+    return min(last)
+
+
+@pytest.mark.parametrize("size", [5, 8, 15, 30, 59, 120, 700])
+def test_op3_recall_by_size_up_to_the_bound(size):
+    """Edits of every number that is allowed: at least nine in ten are found, with their exact distance."""
+    rng = random.Random(size)
+    word = lambda: b"v%d" % rng.randrange(3000)
+    items = [[word() for _ in range(size)] for _ in range(8)]
+    index = decontamination.Items([(i, b" ".join(x)) for i, x in enumerate(items)], 0.8, 6, 8, 2, 3)
+    tried = found = 0
+    for k in sorted({0, 1, size // 10, size // 5}):
+        for i, item in enumerate(items):
+            for _ in range(5):
+                text = [word() for _ in range(rng.randrange(20))] + [x.encode() if isinstance(x, str) else x for x in edited(rng, item, min(k, size // 5))] + [word() for _ in range(rng.randrange(20))]
+                flat, starts = decontamination.flat_words([b" ".join(text)], decontamination.WordHashes())
+                got = {y: far for _, y, _, _, far in decontamination.find(index, flat, starts)}
+                want = best_distance(item, text)
+                tried, found = tried + 1, found + (i in got)
+                assert set(got) <= {i} and (i not in got or got[i] == want <= size // 5)
+    assert found >= 0.9 * tried
+
+
+def test_op3_nothing_is_found_but_through_the_buckets(spark, documents, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    assert decontamination.benchmark_matches(documents[0], bench).count() > 0
+    assert decontamination.benchmark_matches(documents[0], bench, walks=0).count() == 0
+
+
+def test_op3_a_long_item_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    rows = [(i, b" ".join(b"w%d" % rng.randrange(10**6) for _ in range(60))) for i in range(1000)] + [(1000, b" ".join(b"w%d" % rng.randrange(10**6) for _ in range(200_000)))]
+    tracemalloc.start()
+    index = decontamination.Items(rows, 0.8, 6, 8, 2, 3)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    text = rows[1000][1].split()[:3000]
+    tracemalloc.stop()
+    short = decontamination.Items([(1, b" ".join(text)), rows[5]], 0.8, 6, 8, 2, 3)
+    flat, starts = decontamination.flat_words([b"x y " + b" ".join(text[:100] + text[120:]) + b" " + rows[5][1]], decontamination.WordHashes())
+    assert [(i, far) for _, i, _, _, far in decontamination.find(short, flat, starts)] == [(0, 20), (1, 0)] and len(index.ids) == 1001
+
+
 def test_op3_edges(spark, edge, empty):
     df, _ = edge
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, " ".join(f"p{i}" for i in range(5, 30))), (4, " ".join(f"p{i}" for i in range(5, 30)))], "item_id long, text string")
     got = decontamination.benchmark_matches(df, bench).collect()
-    assert collections.Counter(r["doc_id"] for r in got) == {8: 2, 9: 4, 10: 2, None: 2}
+    assert collections.Counter(r["doc_id"] for r in got) == {4: 1, 5: 1, 8: 2, 9: 4, 10: 2, None: 2}
     assert decontamination.benchmark_matches(empty, bench).count() == decontamination.benchmark_matches(df, bench.limit(0)).count() == 0
+    han = "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c\u7684\u6587\u672c\u5728\u8fd9\u91cc"
+    docs = spark.createDataFrame([(1, f"x {han}y"), (2, han[:4]), (3, "one"), (4, "One!"), (5, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, han[1:]), (2, "one")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.benchmark_matches(docs, items).collect()} == {(1, 1, 0), (3, 2, 0), (4, 2, 0)}
 
 
 # ---------------------------------------------------------------- 4 and 6
