@@ -308,3 +308,63 @@ def test_bm25_joins_large_query_sets_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "FEW_TERMS", 3)
     assert sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect())) == few and len(few) == 48
     assert all(i == qi for i, qi, _, rank in few if rank == 1)
+
+
+def _table(spark, tmp_path):
+    make = lambda *ids: spark.createDataFrame([(i, "n", "p", 1) for i in ids], "id string, note_id string, path string, quality int")
+    return store.Snapshots(spark, f"file://{tmp_path}/t", "id string, note_id string, path string, quality int"), make, lambda s: sorted(r["id"] for r in s.read().collect())
+
+
+def test_of_two_writers_from_one_version_none_is_lost(spark, tmp_path):
+    s, make, ids = _table(spark, tmp_path)
+    s.overwrite(make("a"))
+    was = s.pointer()
+    s.append(make("b"))
+    with pytest.raises(store.Conflict):
+        s._commit(was, ["part-of-a-slow-writer"])
+    assert ids(s) == ["a", "b"]
+    # a writer that was overtaken while it worked starts again from what the other left
+    other, turns = store.Snapshots(spark, s.root, s.schema), []
+    write = s._write
+
+    def slow(rows):
+        name = write(rows)
+        if not turns:
+            turns.append(1)
+            other.append(make("c"))
+        return name
+
+    s._write = slow
+    assert s.delete(make("a"), "id") == 1 and ids(s) == ["b", "c"]
+    s.append(make("d"))
+    assert ids(s) == ["b", "c", "d"]
+
+
+@pytest.mark.parametrize("dies_at", ["create temp", "create claim", "rename"])
+def test_a_writer_that_dies_leaves_the_table_as_it_was(spark, tmp_path, dies_at, monkeypatch):
+    s, make, ids = _table(spark, tmp_path)
+    s.overwrite(make("a"))
+
+    class Dead(BaseException):
+        pass
+
+    create, steps = s._create, []
+
+    def dying(path, text):
+        steps.append(path.getName())
+        if dies_at == "create temp" and steps[-1].startswith(".v") or dies_at == "create claim" and steps[-1].startswith("_v"):
+            raise Dead
+        create(path, text)
+        if dies_at == "rename" and steps[-1].startswith("_v"):
+            raise Dead
+
+    s._create = dying
+    with pytest.raises(Dead):
+        s.append(make("b"))
+    left = store.Snapshots(spark, s.root, s.schema)
+    assert ids(left) == ["a"]
+    monkeypatch.setattr(store.Snapshots, "CLAIM_S", -1)  # the dead writer's claim is old by now
+    left.append(make("c"))
+    assert ids(left) == ["a", "c"]
+    left.drop()
+    assert left.pointer() is None and ids(left) == []

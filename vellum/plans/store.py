@@ -1,17 +1,24 @@
-"""A table of Parquet snapshots: every commit writes a new snapshot and then moves a pointer, so readers see whole commits.
+"""A table of Parquet snapshots: every commit writes a new snapshot and then publishes a version, so readers see whole commits.
 
-Files are reached through Spark's file system layer only, so the table may live in any store Spark reads.
+A version is a file of its own and never changes: the table is what the largest version says. A writer claims the next
+number by creating a file that must not exist, and publishes by a rename; of two writers from one version one gets
+``Conflict``, and the operations here start again from what the other left. A writer that dies leaves files nobody
+reads. Files are reached through Spark's file system layer only, so the table may live in any store Spark reads.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMPACT_FILES, COMPACT_ROWS = 64, 2_000
+T = TypeVar("T")
+COMPACT_FILES = 64
 MIN_RETAIN_S = 600
 
 
@@ -19,8 +26,14 @@ class DimMismatch(RuntimeError):
     """Vectors have another width than the index was made with."""
 
 
+class Conflict(RuntimeError):
+    """Another writer has published, or is about to publish, the version this one began to write."""
+
+
 class Snapshots:
-    """One writer at a time; a read resolves the pointer once."""
+    """Any number of readers and writers; a read resolves the version once."""
+
+    CLAIM_S, TRIES = 600, 8  # a claim of that age without a version is a dead writer's; how often an operation starts again
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
@@ -44,86 +57,143 @@ class Snapshots:
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        """Written beside and renamed over: a reader sees the old pointer or the new one."""
-        fs, temp = self._fs(), self._path(f".{name}.new")
-        stream = fs.create(temp, True)
+    def _create(self, path, text: str) -> None:
+        stream = self._fs().create(path, False)  # fails where the file is there already
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        fs.delete(self._path(name), False)
-        if not fs.rename(temp, self._path(name)):
-            raise OSError(f"cannot move the pointer of {self.root}")
+
+    def _numbers(self, suffix: str) -> dict[int, int]:
+        """The numbers of the files _v<number><suffix>, and when each was made (ms)."""
+        fs, top = self._fs(), self._path()
+        if not fs.exists(top):
+            return {}
+        names = ((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(top))
+        return {int(n[2 : -len(suffix)]): at for n, at in names if n.startswith("_v") and n.endswith(suffix)}
 
     # ---- snapshots
     def pointer(self) -> dict | None:
-        text = self._read_text("_CURRENT")
-        return json.loads(text) if text else None
+        while versions := self._numbers(".json"):
+            text = self._read_text(f"_v{max(versions)}.json")
+            if text is not None:  # else it went between listing and reading: a newer one is there
+                return json.loads(text)
+        return None
 
     def read(self) -> DataFrame:
-        at = self.pointer()
+        return self._rows(self.pointer())
+
+    def _rows(self, at: dict | None) -> DataFrame:
         if at is None:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{d}" for d in at["dirs"]])
 
-    def _commit(self, dirs: list[str], meta: dict | None = None) -> None:
-        was = self.pointer() or {"version": 0, "meta": {}}
-        self._write_text("_CURRENT", json.dumps({"version": was["version"] + 1, "dirs": dirs, "meta": {**was["meta"], **(meta or {})}, "at": time.time()}))
-
-    def _name(self) -> str:
-        return f"part-{time.time_ns()}"
+    def _commit(self, was: dict | None, dirs: list[str], meta: dict | None = None) -> None:
+        """Publish the version after ``was``, the version the writer began from."""
+        fs, version = self._fs(), (was["version"] if was else 0) + 1
+        claims, published = self._numbers(".claim"), self._numbers(".json")
+        if any(v >= version for v in published):
+            raise Conflict(f"version {version} of {self.root} is there already")
+        while version in claims and time.time() - claims[version] / 1000 > self.CLAIM_S:
+            version += 1  # its writer died before it published
+        text = json.dumps({"version": version, "dirs": dirs, "meta": {**(was["meta"] if was else {}), **(meta or {})}, "at": time.time()})
+        temp = self._path(f".v{version}-{uuid.uuid4().hex}")
+        self._create(temp, text)
+        try:
+            self._create(self._path(f"_v{version}.claim"), "")
+        except Exception as e:  # py4j wraps what the file system throws
+            fs.delete(temp, False)
+            raise Conflict(f"another writer is at version {version} of {self.root}") from e
+        if any(v >= version for v in self._numbers(".json")) or not fs.rename(temp, self._path(f"_v{version}.json")):
+            raise Conflict(f"version {version} of {self.root} was overtaken")
+
+    def _again(self, step: Callable[[dict | None], T]) -> T:
+        """Run ``step`` from the current version; where another writer was faster, from what it left."""
+        for turn in range(self.TRIES):
+            try:
+                return step(self.pointer())
+            except Conflict:
+                if turn == self.TRIES - 1:
+                    raise
+                time.sleep(0.05 * 2**turn)
+        raise AssertionError
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"part-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return name
 
     def overwrite(self, rows: DataFrame, meta: dict | None = None) -> None:
-        name = self._name()
-        rows.write.parquet(f"{self.root}/{name}")
-        self._commit([name], meta)
+        """The rows are all there is from now on, whatever other writers left."""
+        name = self._write(rows)
+        self._again(lambda at: self._commit(at, [name], meta))
 
     def append(self, rows: DataFrame) -> None:
-        at, name = self.pointer(), self._name()
-        rows.write.parquet(f"{self.root}/{name}")
-        self._commit([*(at["dirs"] if at else []), name])
+        name = self._write(rows)
+        self._again(lambda at: self._commit(at, [*(at["dirs"] if at else []), name]))
 
     def replace_scope(self, new: DataFrame, scope: DataFrame, on: str) -> None:
         """Within the scope (column ``on``) the new rows are all there is; rows outside stay. One commit."""
-        base = self.read()
-        kept = base.join(scope.select(on).distinct(), on, "left_anti").select(base.columns)
-        self.overwrite(kept.unionByName(new.select(base.columns)))
+        keys = scope.select(on).distinct()
+
+        def step(at: dict | None) -> None:
+            base = self._rows(at)
+            self._commit(at, [self._write(base.join(keys, on, "left_anti").select(base.columns).unionByName(new.select(base.columns)))])
+
+        self._again(step)
 
     def delete(self, keys: DataFrame, on: str) -> int:
         """Rows whose key is listed go; nothing is written if there are none. Returns how many went."""
-        base = self.read()
-        n = base.join(keys.select(on).distinct(), on, "left_semi").count()
-        if n:
-            self.overwrite(base.join(keys.select(on).distinct(), on, "left_anti").select(base.columns))
-        return n
+        keys = keys.select(on).distinct()
+
+        def step(at: dict | None) -> int:
+            base = self._rows(at)
+            n = base.join(keys, on, "left_semi").count()
+            if n:
+                self._commit(at, [self._write(base.join(keys, on, "left_anti").select(base.columns))])
+            return n
+
+        return self._again(step)
 
     def rescore(self, scores: DataFrame) -> int:
         """New quality (note_id, quality) where it differs, kept within 0 and 100. Returns how many notes changed."""
-        base = self.read()
-        rows = rescored(base, scores)
-        changed = rows.where("changed").select("note_id").distinct().count()
-        if changed:
-            self.overwrite(rows.drop("changed").select(base.columns))
-        return changed
+
+        def step(at: dict | None) -> int:
+            base = self._rows(at)
+            rows = rescored(base, scores)
+            changed = rows.where("changed").select("note_id").distinct().count()
+            if changed:
+                self._commit(at, [self._write(rows.drop("changed").select(base.columns))])
+            return changed
+
+        return self._again(step)
 
     def optimize(self, *, force: bool = False, retain_s: float = 3600) -> dict:
         """Small files into few, old snapshots away (not younger than ten minutes)."""
-        files = len(self.read().inputFiles()) if self.pointer() else 0
-        compacted = bool(files > COMPACT_FILES or force and files > 1)
-        if compacted:
-            self.overwrite(self.read().repartition(max(1, files // COMPACT_FILES), "id"))
-        return {"files": files, "compacted": compacted, "removed": self.vacuum(retain_s)}
+
+        def step(at: dict | None) -> dict:
+            files = len(self._rows(at).inputFiles()) if at else 0
+            compacted = bool(files > COMPACT_FILES or force and files > 1)
+            if compacted:
+                self._commit(at, [self._write(self._rows(at).repartition(max(1, files // COMPACT_FILES), "id"))])
+            return {"files": files, "compacted": compacted}
+
+        return {**self._again(step), "removed": self.vacuum(retain_s)}
 
     def vacuum(self, retain_s: float = 3600) -> int:
         fs, at = self._fs(), self.pointer()
         if at is None:
             return 0
         old = time.time() - max(MIN_RETAIN_S, retain_s)
-        gone = [s.getPath() for s in fs.listStatus(self._path()) if s.isDirectory() and s.getPath().getName().startswith("part-") and s.getPath().getName() not in at["dirs"] and s.getModificationTime() / 1000 < old]
+        current = f"_v{at['version']}."
+        gone = []
+        for s in fs.listStatus(self._path()):
+            name = s.getPath().getName()
+            if s.getModificationTime() / 1000 < old and not name.startswith(current) and (name.startswith("part-") and name not in at["dirs"] or name.startswith(("_v", ".v"))):
+                gone.append(s.getPath())
         for path in gone:
             fs.delete(path, True)
-        return len(gone)
+        return sum(p.getName().startswith("part-") for p in gone)
 
     def drop(self) -> None:
         self._fs().delete(self._path(), True)

@@ -202,10 +202,40 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunks(notes_of(spark, sf_dir), window=256)
 
 
-@query()
+@query("SELECT doc_id, 0 AS lost, 0 AS invented, 0 AS too_long, true AS numbered FROM documents WHERE regexp_matches(text, '[^ \\t-\\r]')")
+def chunk_invariants(spark, sf_dir):
+    """Of the chunks of each document: words that no chunk has, words that the text does not have, chunks beyond the window, and
+    whether they are numbered from 0 without a gap."""
+    spaces = "[ \\t-\\r]+"
+    body = table(spark, sf_dir, "documents").select(F.format_string("doc-%d", "doc_id").alias("note_id"), "doc_id", F.array_remove(F.array_distinct(F.split(F.translate(F.coalesce("text", F.lit("")), "#", " "), spaces)), "").alias("words"))
+    cut = chunking.chunks(notes_of(spark, sf_dir), window=256)
+    context = F.concat(F.col("title"), F.lit("\n"), F.when(F.col("heading") != "", F.concat("heading", F.lit("\n"))).otherwise(""))
+    rows = cut.select("note_id", "chunk_index", F.array_remove(F.split(F.translate("text", "#", " "), spaces), "").alias("words"), F.split(F.translate("heading", "#", " "), spaces).alias("head"), (chunking.token_estimate(F.col("text")) + chunking.token_estimate(context) + 2 > 256).alias("long"))
+    told = rows.groupBy("note_id").agg(
+        F.array_distinct(F.flatten(F.collect_list("words"))).alias("seen"), F.array_distinct(F.flatten(F.collect_list(F.concat("words", "head")))).alias("shown"), F.count_if("long").cast("int").alias("too_long"), ((F.max("chunk_index") + 1 == F.count("*")) & (F.min("chunk_index") == 0) & (F.count_distinct("chunk_index") == F.count("*"))).alias("numbered")
+    )  # the chunks of one document, whose words are the document's
+    return told.join(body, "note_id").select("doc_id", F.size(F.array_except("words", "shown")).alias("lost"), F.size(F.array_except("seen", "words")).alias("invented"), "too_long", "numbered")
+
+
+_W = "CASE WHEN len({0}) = 1 THEN 100 WHEN len({0}) >= 15 THEN 50 * len({0}) ELSE 114 + 8 * len({0}) END"
+
+
+@query(f"""
+WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]+|[^ \\t-\\rA-Za-z0-9]')) AS r FROM documents),
+p AS (SELECT doc_id, r, regexp_extract_all(regexp_replace(r, '([A-Z][a-z])', ' \\1', 'g'), '[A-Z]?[a-z]+|[A-Z]+') AS parts FROM runs),
+q AS (SELECT *, regexp_full_match(coalesce(parts[1], ''), '[A-Z]{{1,5}}') AS named FROM p),
+c AS (SELECT *, CASE WHEN named THEN parts[2:] ELSE parts END AS words FROM q),
+d AS (SELECT doc_id, CASE WHEN regexp_matches(r, '^[0-9]') THEN 40 + 60 * len(r) WHEN NOT regexp_matches(r, '^[A-Za-z]') THEN 100
+    WHEN regexp_full_match(r, '[A-Z][A-Z]+') THEN greatest(150, 50 + 35 * len(r))
+    WHEN regexp_full_match(r, '[A-Za-z][a-z]*') THEN CASE WHEN len(r) >= 8 AND 4 * len(regexp_extract_all(r, '[aeiouyAEIOUY]')) < len(r) THEN 70 * len(r) ELSE {_W.format("r")} END
+    WHEN len(list_filter(words, lambda x: len(x) < 3 OR regexp_full_match(x, '[A-Z]+') OR NOT regexp_matches(x, '[aeiouyAEIOUY]'))) = 0
+    THEN coalesce(list_sum(list_transform(words, lambda x: {_W.format("x")})), 0) + CASE WHEN NOT named THEN 0 WHEN len(parts[1]) = 1 THEN 100 ELSE greatest(150, 50 + 35 * len(parts[1])) END
+    ELSE 50 + 60 * len(r) END AS cost FROM c),
+t AS (SELECT doc_id, sum(cost) AS total FROM d GROUP BY doc_id)
+SELECT doc_id, CAST(ceil(coalesce(total, 0) * 12 / 1000) AS INTEGER) AS tokens FROM documents LEFT JOIN t USING (doc_id)
+""")
 def estimate_tokens(spark, sf_dir):
-    estimate = F.pandas_udf(lambda s: s.fillna("").map(chunking.estimate_tokens), "int")
-    return table(spark, sf_dir, "documents").select("doc_id", estimate("text").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query()
