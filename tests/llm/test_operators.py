@@ -454,6 +454,23 @@ def test_op6_many_nested_rules(spark):
         assert got[i] == (max(fits)[1:] if fits else (None, "allow"))
 
 
+def test_op6_ten_thousand_rules_of_one_host(spark):
+    rng = random.Random(12)
+    path = lambda: "/" + "/".join(rng.choice(["a", "b", "cd", "e\u00e9"]) for _ in range(rng.randrange(0, 9)))
+    rules = {("h.org", path() + rng.choice(["", "/", str(rng.randrange(999))])): rng.choice(["allow", "block"]) for _ in range(11_000)}
+    rules |= {("org", "/a"): "block", ("x.h.org", "/a/b"): "allow"}
+    urls = [(i, f"https://{rng.choice(['h.org', 'x.h.org', 'y.x.h.org', 'org', 'g.org'])}{path()}{rng.randrange(99)}") for i in range(800)] * 2 + [(None, "https://h.org/a")]
+    table = url_filter.rule_table(spark, [(v, h, p) for (h, p), v in rules.items()] + [("block", *next(iter(rules)))])
+    rules[next(iter(rules))] = "block"
+    got = collections.Counter((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.url_filter(spark.createDataFrame(urls, "page_id long, url string"), table).collect())
+    want = collections.Counter()
+    for i, u in urls:
+        host, _, rest = u.removeprefix("https://").partition("/")
+        fits = [(len(h) + n, h + ("/" + rest)[:n], rules[h, ("/" + rest)[:n]]) for h in (host.split(".", k)[-1] for k in range(host.count(".") + 1)) for n in range(len(rest) + 2) if (h, ("/" + rest)[:n]) in rules]
+        want[(i, *(max(fits)[1:] if fits else (None, "allow")))] += 1
+    assert got == want
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -576,6 +593,19 @@ def test_op7_round_trip_with_segments(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_op7_archives_are_bounded_however_long_the_pages(spark, tmp_path):
+    import gzip
+
+    rng = random.Random(5)
+    pages = [(i, "u", "".join(rng.choice("abcdef \n") for _ in range(4096)) * 1280, "clash", 7) for i in range(3)] + [(9, "u", "small", "clash", 7)]  # 5 MB each
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, payload string, digest int").coalesce(1)
+    warc.write_warc(df, f"file://{tmp_path}/a", records_per_file=50)
+    sizes = [len(gzip.open(f).read()) for f in (tmp_path / "a").glob("*.gz")]
+    assert len(sizes) >= 9 and max(sizes) <= 50 * (33 << 10)
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read_warc(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {str(i): h.encode() for i, _, h, _, _ in pages}
+
+
 def test_op7_faults_raise():
     assert warc.unchunked(warc.chunked(b"hello world", 4)) == b"hello world" and warc.unchunked(b"5;x=y\r\nhello\r\n0\r\nT: v\r\n\r\n") == b"hello"
     with pytest.raises(ValueError):
@@ -700,6 +730,52 @@ def test_op9(documents, edge, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def own_verdict(t):
+    """kept, by the definition of the method's own rules."""
+    w = words(t)
+    best = [0] * len(w)
+    for i in range(len(w)):
+        for j in range(i + 1, len(w)):
+            n = 0
+            while j + n < len(w) and w[i + n] == w[j + n]:
+                n += 1
+            best[i], best[j] = max(best[i], n), max(best[j], n)
+    marked = {i + d for i, n in enumerate(best) if n >= 12 for d in range(n)}
+    return not base_counts(t)[-1] and 100 * len(marked) <= 15 * len(w) and max(best, default=0) <= 100
+
+
+def test_op9_kept_by_definition(spark):
+    rng = random.Random(3)
+    texts = []
+    for i in range(120):
+        w = [f"w{rng.randrange(2000)}" for _ in range(rng.randrange(8, 200))]
+        for _ in range(rng.randrange(3)):
+            a, n = rng.randrange(len(w)), rng.randrange(3, 40)
+            w[rng.randrange(len(w)) :][:0] = w[a : a + n]
+            w += w[a : a + n]
+        texts.append(" ".join(w))
+    texts.append(" ".join([*(f"x{i}" for i in range(2000)), *(f"x{i}" for i in range(101))]))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: own_verdict(t) for i, t in enumerate(texts)} and not got[120] and 20 < sum(got.values()) < 110
+
+
+def test_op9_memory_of_a_text_that_repeats_itself():
+    import tracemalloc
+
+    half = np.random.default_rng(1).integers(0, 2**62, 500_000).astype(np.uint64)
+    tracemalloc.start()
+    got = quality_rules.longest_repeats(np.concatenate([half, half]), np.array([0, 1_000_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == got[500_000] == 500_000 and peak < 130 * 1_000_000
+
+
+def test_op9_carried_columns_with_the_operator_s_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "s", 2)], "doc_id long, text string, n_words int, kept string, key int")
+    row = quality_rules.quality_rules(df, carry=["n_words", "kept", "text", "doc_id", "key"]).first()
+    assert (row["n_words"], row["n_words_in"], row["kept"], row["kept_in"], row["text"], row["doc_id_in"], row["key"]) == (2, 7, False, "s", "a b", 1, 2)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=5))
 def test_op9_longest_repeats(docs):

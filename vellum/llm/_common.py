@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_within: ContextVar[str] = ContextVar("within", default="")
+
+
+@contextmanager
+def tables_within(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write in this block go when it ends: what they returned must have been written by then."""
+    name = f"tables-{uuid.uuid4().hex}"
+    token = _within.set(f"{name}/")
+    try:
+        yield
+    finally:
+        _within.reset(token)
+        remove(spark, f"{shared_dir(spark)}/{name}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and nothing runs twice."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and nothing runs twice. The table stays
+    for whoever reads the result; ``tables_within`` removes it where that is known to be over."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_within.get()}{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,11 +84,8 @@ class Workspace:
 
     def drop(self, df: DataFrame | None = None) -> None:
         """Remove the folder, or the files of one table that nothing reads any more."""
-        context = self.spark.sparkContext
-        paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else {self.path}
-        for path in paths:
-            path = context._jvm.org.apache.hadoop.fs.Path(path)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else {self.path}:
+            remove(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

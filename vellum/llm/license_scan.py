@@ -4,7 +4,8 @@ A block is a line, or a run of consecutive words a quarter longer than the templ
 (a notice may be wrapped), as the set of its words. It matches a template if it holds at least ``containment`` of the template's
 words. The words of all templates are counted over the whole corpus and each template is ordered by them, rarest first. A
 matching block must hold one of the template's first |T| - need + 1 words (prefix filter) and have at least ``need`` words
-(length filter). There is no positional filter: blocks that pass are intersected with the template in full.
+(length filter). The words of all templates have a rank in that order; a line is also held as its sorted ranks, and where the first
+word it shares with a template's prefix stands in both says how many more they can share (positional filter).
 A document without a prefix word of any template, nearly all, is left after one search; only in the others are blocks made
 and compared. The templates are a list of bounded size, so the join needs no shuffle; only their words' counts (a row for
 each word) are shuffled.
@@ -37,11 +38,12 @@ TEMPLATES = (
 )
 MAX_TEMPLATES = 500
 SLACK = 4  # a run of words has 1 / SLACK more of them than the template: comment marks may stand between its lines
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def template_words(text: str) -> list[str]:
-    return sorted(set(re.split(_NOT_WORD, text.lower())) - {""})
+    return sorted(set(re.split(_NOT_WORD, text.translate(str.maketrans(_UPPER, _LOWER)))) - {""})
 
 
 def need(size: int, percent: int) -> int:
@@ -50,13 +52,13 @@ def need(size: int, percent: int) -> int:
 
 def run_length(text: str) -> int:
     """Words of the runs that are compared with a template."""
-    n = len([w for w in re.split(_NOT_WORD, text.lower()) if w])
+    n = len([w for w in re.split(_NOT_WORD, text.translate(str.maketrans(_UPPER, _LOWER))) if w])
     return n + n // SLACK
 
 
 def plain(text: Column) -> Column:
-    """Lower-cased words with one space between them."""
-    return F.trim(F.regexp_replace(F.lower(text), _NOT_WORD, " "))
+    """Words, A-Z lower-cased, with one space between them."""
+    return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _NOT_WORD, " "))
 
 
 def word_counts(texts: DataFrame, words: Sequence[str]) -> DataFrame:
@@ -101,13 +103,17 @@ def license_scan(docs: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMP
 
     prefixes = sorted({w for _, words, n, _ in ordered for w in words[: len(words) - n + 1]})
     # every template against the blocks of a row: (label, containment) of those that match
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.array(*map(F.lit, words[: len(words) - n + 1])).alias("prefix"), F.lit(n).alias("need"), F.lit(run).alias("run")) for label, words, n, run in ordered])
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
+    ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
+    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.array(*[F.lit(rank[w]) for w in words]).alias("ranks"), F.array(*[F.lit(rank[w]) for w in words[: len(words) - n + 1]]).alias("first"), F.array(*map(F.lit, words[: len(words) - n + 1])).alias("prefix"), F.lit(n).alias("need"), F.lit(run).alias("run")) for label, words, n, run in ordered])
     blocks = F.transform(F.split(F.col("text"), "\n"), lambda line: F.array_distinct(F.split(plain(line), " ")))
     blocks = F.filter(blocks, lambda b: (F.size(b) >= min(n for _, _, n, _ in ordered)) & F.arrays_overlap(b, F.array(*map(F.lit, prefixes))))
+    blocks = F.transform(blocks, lambda b: F.array_sort(F.filter(F.transform(b, lambda w: F.try_element_at(ranks, w)), lambda r: r.isNotNull())))
 
     def held(block: Column, t: Column) -> Column:
-        passes = (F.size(block) >= t["need"]) & F.arrays_overlap(block, t["prefix"])
-        return F.when(passes, F.size(F.array_intersect(t["words"], block))).otherwise(0)
+        shared = F.array_min(F.array_intersect(t["first"], block))  # the first word of the prefix that the block has
+        left = F.least(F.size(t["ranks"]) - F.array_position(t["ranks"], shared), F.size(block) - F.array_position(block, shared)) + 1
+        return F.when((F.size(block) >= t["need"]) & (left >= t["need"]), F.size(F.array_intersect(t["ranks"], block))).otherwise(0)
 
     # the places of prefix words; every run that matches holds one, so only runs around them are looked at
     places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(F.array(*map(F.lit, prefixes)), w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
@@ -152,12 +158,12 @@ def _sql() -> str:
     )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM d),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM d),
 p AS ({places}),
 b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM p GROUP BY doc_id),
 t(label, tw, need) AS (VALUES {lists}),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-sets AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS s FROM lines),
+sets AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(translate(line, '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS s FROM lines),
 m AS (SELECT doc_id, label, len(list_intersect(tw, s)) / len(tw) AS share FROM sets, t WHERE len(list_intersect(tw, s)) >= need),
 g AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share FROM m GROUP BY doc_id)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,

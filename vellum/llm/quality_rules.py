@@ -1,10 +1,10 @@
 """Operator 9, quality rules by suffix-array repetition.
 
-The words of a block of documents stand in one row, each word ranked together with its document, so that no suffix meets
-one of another document. Prefix doubling sorts the suffixes; only those whose prefix still has an equal stay in the race.
-Longest common prefixes of neighbours in the suffix array come from the ranks of each doubling, and give for every place
-the longest passage that starts there and stands in the document twice. The union of these spans is what is repeated; the
-rules limit its share of the words and the longest repeat.
+The words of a block of documents stand in one row, each word mixed with its document, so that no suffix meets one of another
+document. Prefix doubling sorts the suffixes; only those whose prefix still has an equal stay in the race. Longest common prefixes of neighbours in the suffix array are measured by content hashes
+(the longest length at which both agree), so no rank but the last is kept. They give for every place the longest passage that
+starts there and stands in the document twice. The union of these spans is what is repeated; the rules limit its share of the
+words and the longest repeat.
 """
 
 from __future__ import annotations
@@ -14,65 +14,76 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._common import WordHashes, flat_words, id_and_text, mix, table, text_chunks
+from ._common import BASE_A, WordHashes, flat_words, free_name, mix, prefix_sums, span_hashes, table, text_chunks
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
 
 def longest_repeats(flat: np.ndarray, starts: np.ndarray, least: int = 4) -> np.ndarray:
-    """For each place the length of the longest passage that starts there and also elsewhere in its document.
+    """For each place the length of the longest passage that starts there and also elsewhere in its document, 0 below ``least``.
 
-    Lengths below ``least`` (a power of two) may read 0.
+    Memory: about 130 bytes a word where all of a text repeats, however often; less where little does.
     """
     n = len(flat)
-    out = np.zeros(n, np.int64)
-    if n < 2:
+    out = np.zeros(n, np.int32)
+    if n < least:
         return out
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    end = starts[1:][doc]
-    _, first, rank, size = np.unique(mix(flat + mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True, return_counts=True)
-    begin = np.cumsum(size) - size
-    rank = begin[rank]  # the rank of a group is the place of its first suffix in the array
-    size_of = np.ones(n, np.int64)
-    size_of[:] = np.repeat(size, size)[rank]
-    active = np.flatnonzero(size_of > 1)
-    levels, h, kept = [rank.astype(np.int32)], 1, None
+    sizes = np.diff(starts)
+    salt = mix(np.arange(1, len(starts), dtype=np.uint64))
+    own = mix(flat + np.repeat(salt, sizes))  # a word of this document
+    end = np.repeat(starts[1:], sizes).astype(np.int32)
+    sums = prefix_sums(own, BASE_A)
+    # a rank is the place in the suffix array of the first suffix that begins with the same h words
+    order = np.argsort(own)
+    key, active = own[order], order.astype(np.int32)
+    del own, order
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
+    del key
+    many = np.diff(begin, append=np.int32(n))
+    rank = np.empty(n, np.int32)
+    rank[active] = np.repeat(begin, many)
+    active = active[np.repeat(many > 1, many)]
+    kept, h = None, 1
     while True:
         if h == least:
-            kept = active
+            kept = active.copy()
         if not len(active):
             break
-        after = active + h
-        inside = after < end[active]
-        key = (rank[active] << 32) | np.where(inside, rank[np.minimum(after, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        key = rank[active].astype(np.int64) << 32
+        after = np.minimum(active.astype(np.int64) + h, n - 1)
+        key |= np.where(active + np.int64(h) < end[active], rank[after] + 1, 0)
+        del after
+        order = np.argsort(key, kind="stable").astype(np.int32)
         key, active = key[order], active[order]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        old = np.ones(len(key), bool)
-        old[1:] = (key[1:] >> 32) != (key[:-1] >> 32)
-        at = np.arange(len(key))
-        offset = np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(old, at, 0))
-        rank = rank.copy()
-        rank[active] = (key >> 32) + offset
+        del order
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # of the groups from now on
+        key = key[begin] >> 32
+        old = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), begin, 0))
+        many = np.diff(begin, append=len(active))
+        rank[active] = np.repeat((key + begin - old).astype(np.int32), many)
+        active = active[np.repeat(many > 1, many)]
         h *= 2
-        levels.append(rank.astype(np.int32))
-        group = np.cumsum(head) - 1
-        active = active[np.bincount(group)[group] > 1]
     if kept is None or not len(kept):
         return out
     suffixes = kept[np.argsort(rank[kept], kind="stable")]
-    i, j = suffixes[:-1], suffixes[1:]
-    lcp = np.zeros(len(i), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        a, b = i + lcp, j + lcp
-        fits = (a < end[i]) & (b < end[j])
-        same = fits & (doc[i] == doc[j]) & (levels[level][np.minimum(a, n - 1)] == levels[level][np.minimum(b, n - 1)])
-        lcp += np.where(same, 1 << level, 0)
-    np.maximum.at(out, i, lcp)
-    np.maximum.at(out, j, lcp)
+    for lo in range(0, len(suffixes) - 1, 1 << 17):
+        i, j = suffixes[lo : lo + (1 << 17)], suffixes[lo + 1 : lo + 1 + (1 << 17)]
+        i = i[: len(j)].astype(np.int64)
+        j = j.astype(np.int64)
+        lcp, most = np.zeros(len(i), np.int64), np.minimum(end[i] - i, end[j] - j)
+        step = 1 << int(most.max()).bit_length()
+        while step:
+            more = np.flatnonzero(lcp + step <= most)
+            x, y, far = i[more], j[more], lcp[more] + step
+            same = span_hashes(sums, BASE_A, x, x + far) == span_hashes(sums, BASE_A, y, y + far)
+            lcp[more[same]] += step
+            step >>= 1
+        lcp[lcp < least] = 0
+        np.maximum.at(out, i, lcp)
+        np.maximum.at(out, j, lcp)
     return out
 
 
@@ -86,7 +97,7 @@ def _covered(repeats: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def _rules(window: int, long: int, carry: list[str]):
+def _rules(window: int, long: int, carried: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for chunk in text_chunks(batches, max_bytes=2 << 20):
@@ -105,9 +116,9 @@ def _rules(window: int, long: int, carry: list[str]):
                     pa.array(_covered(repeats, starts, window)),
                     pa.array(_covered(repeats, starts, long)),
                     pa.array([x if x >= window else 0 for x in longest], pa.int64()),
-                    *[chunk.column(c) for c in carry],
+                    *[chunk.column(f"_carried{k}") for k in range(carried)],
                 ],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_long_repeat_words", "longest_repeat", *carry],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_long_repeat_words", "longest_repeat", *(f"_carried{k}" for k in range(carried))],
             )
 
     return each
@@ -134,18 +145,22 @@ def quality_rules(
 
     One row per row of ``docs`` in one pass without a shuffle: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_long_repeat_words, longest_repeat, base_failed, kept and the carried columns. Null counts as empty,
-    which base_failed rejects. Repeated and null ids keep their rows. Other columns are ignored.
+    which base_failed rejects. Repeated and null ids keep their rows. Other columns are ignored unless carried; a carried column whose
+    name is one of the operator's own comes back as ``name_in``. Empty tables give no rows; texts may be of any length.
     """
     carry = list(carry)
     kind = docs.schema[id_col].dataType.simpleString()
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    got = id_and_text(docs, id_col, text_col, carry).mapInArrow(
-        _rules(window, long, carry),
+    more = "".join(f", _carried{k} {docs.select(c).schema[0].dataType.simpleString()}" for k, c in enumerate(carry))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).alias(f"_carried{k}") for k, c in enumerate(carry)))
+    got = rows.mapInArrow(
+        _rules(window, long, len(carry)),
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_long_repeat_words long, longest_repeat long{more}",
     )
     failed = f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"
     kept = f"NOT ({failed}) AND 100 * n_long_repeat_words <= {max_long_percent} * n_words AND longest_repeat <= {max_longest}"
-    return got.selectExpr("*", f"{failed} AS base_failed", f"{kept} AS kept")
+    own = [c for c in got.columns if not c.startswith("_carried")]
+    taken = [*own, "base_failed", "kept"]
+    return got.select(*own, F.expr(failed).alias("base_failed"), F.expr(kept).alias("kept"), *(F.col(f"_carried{k}").alias(free_name(c, taken)) for k, c in enumerate(carry)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

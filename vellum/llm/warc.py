@@ -2,7 +2,8 @@
 
 Writing. The smallest rows (id, digest, length) decide which record of each payload is the response (the largest id) and
 which revisit it. A record's block is an HTTP message in chunked transfer framing; a block over ``segment_bytes`` is split
-into a first record and continuation records. Spark's text writer puts the records into gzip files in any file system,
+into a first record and continuation records, so a record is never longer than that and its headers, and an archive has
+``records_per_file`` times that at most (64 MB by default), however long the pages are. Spark's text writer puts the records into gzip files in any file system,
 with the WARC record end as its line end.
 
 Reading. Each file is parsed by record headers. Whole records are decoded where they are. Segments are grouped by origin
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, table, text_chunks
+from ._common import materialize, shared_dir, table, text_chunks
 
 _END = b"\r\n\r\n"
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -171,7 +172,7 @@ def _checked(fields_digest: str | None, payload: bytes) -> str:
 _SCHEMA = pa.schema([("page_id", pa.string()), ("record_type", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("block", pa.binary())])
 
 
-def _read(segments: bool, payloads: bool):
+def _read(payloads: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
@@ -179,9 +180,9 @@ def _read(segments: bool, payloads: bool):
                 for fields, block in parse(content.as_py()):
                     kind, number = fields["warc-type"], int(fields.get("warc-segment-number", 0))
                     digest = fields.get("warc-payload-digest", "").partition(":")[2] or None
-                    if (number > 0) != segments or kind not in ("response", "revisit", "continuation"):
+                    if kind not in ("response", "revisit", "continuation"):
                         continue
-                    if segments:
+                    if number:
                         origin = fields["warc-record-id"] if number == 1 else fields["warc-segment-origin-id"]
                         total = fields.get("warc-segment-total-length")
                         rows.append((_page(origin), "response", origin, number, int(total) if total else None, None, digest, None, None, block))
@@ -218,10 +219,11 @@ def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataF
     """The pages of all archives below ``path``: page_id (string), record_type, refers_to, payload_bytes, payload_digest (bare
     base32 SHA-1) and, if asked for, the payload (null for revisits). No archives, no rows."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    parts = files.mapInArrow(_read(True, payloads), RECORD).groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "total", "payload_digest", "block"))).alias("parts"))
+    records = materialize(files.mapInArrow(_read(payloads), RECORD), "op7-records")  # each archive is parsed once
+    parts = records.where("origin IS NOT NULL").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "total", "payload_digest", "block"))).alias("parts"))
     joined = parts.mapInArrow(_reassemble(payloads), RECORD)
     names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads]
-    found = files.mapInArrow(_read(False, payloads), RECORD).unionByName(joined).select(*names)
+    found = records.where("origin IS NULL").unionByName(joined).select(*names)
     responses = found.where("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("full")).where("to IS NOT NULL").dropDuplicates(["to", "of"])
     out = found.join(responses, F.expr("refers_to = to AND payload_digest = of"), "left")
     return out.select(*[F.coalesce("payload_bytes", "full").alias("payload_bytes") if c == "payload_bytes" else c for c in names])
