@@ -96,7 +96,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``max_bytes`` of text each (a longer text has a slice of its own)."""
     for batch in batches:
         if not batch.num_rows:
@@ -113,7 +113,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_byt
 class WordHashes(dict):
     """bytes -> 64-bit hash, kept for words seen before; ``trim`` bounds what is kept."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -240,16 +240,21 @@ class Sieve:
             ok &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
         return ok
 
+    def ok(self, batch: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
+        values = batch.column(column)
+        return self.passes(pc.fill_null(values, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(values).to_numpy(zero_copy_only=False)
 
-def sifted(rows: DataFrame, sieve: Sieve, column: str = "doc_id", passing: bool = True) -> DataFrame:
-    """The rows whose ``column`` passes the sieve, or the others. Null passes never."""
+    def others(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows whose doc_id does not pass."""
+        return batch.filter(pa.array(~self.ok(batch)))
+
+
+def sifted(rows: DataFrame, sieve: Sieve, column: str = "doc_id") -> DataFrame:
+    """The rows whose ``column`` passes the sieve. Null passes never."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(column)
-            ok = sieve.passes(pc.fill_null(values, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(values).to_numpy(zero_copy_only=False)
-            if (ok == passing).any():
-                yield batch.filter(pa.array(ok == passing))
+            yield batch.filter(pa.array(sieve.ok(batch, column)))
 
     return rows.mapInArrow(each, rows.schema)
 

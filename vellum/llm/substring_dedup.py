@@ -237,11 +237,14 @@ def _kept(text: bytes, words: list[bytes], gone: np.ndarray, layout: str) -> byt
     return b"".join(out)
 
 
-def _cut(width: int, layout: str, carried: int):
+def _cut(layout: str, carried: int, without: Sieve | None = None):
+    """Texts without their spans; with ``without``, only of rows that do not pass it, which have none."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches if without is None else map(without.others, batches)):
             sizes, gone, out, kept = [], [], [], []
-            for text, spans in zip(chunk.column("text").to_pylist(), chunk.column("spans").to_pylist(), strict=True):
+            spanned = chunk.column("spans").to_pylist() if without is None else [None] * chunk.num_rows
+            for text, spans in zip(chunk.column("text").to_pylist(), spanned, strict=True):
                 words = (text or b"").split()
                 cut = joined_spans((s["first"], s["end"]) for s in spans or [])
                 mark = np.zeros(len(words), bool)
@@ -329,9 +332,8 @@ def substring_dedup(docs: DataFrame, *, width: int = 50, gram: int = 16, layout:
         per_doc = materialize(_located(known, *_confirmed(known, width, gram, work), width, work), "op1-spans")
     sieve = Sieve(per_doc.select("doc_id"))  # texts without a span stay where they are
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,end:int>>, kept_text binary" + "".join(f", _carried{k} {docs.select(c).schema[0].dataType.simpleString()}" for k, c in enumerate(carry))
-    some = sifted(base, sieve).join(per_doc.hint("merge"), ["doc_id", "version"], "left").drop("version")
-    none = sifted(base, sieve, passing=False).drop("version").withColumn("spans", F.lit(None).cast(per_doc.schema["spans"].dataType))
-    cut = some.select(none.columns).unionByName(none).mapInArrow(_cut(width, layout, len(carry)), schema)
+    some = sifted(base, sieve).join(per_doc.hint("merge"), ["doc_id", "version"], "left").drop("version").mapInArrow(_cut(layout, len(carry)), schema)
+    cut = some.unionByName(base.drop("version").mapInArrow(_cut(layout, len(carry), sieve), schema))
     taken = ["doc_id", "n_words", "n_removed", "spans", "kept_text"]
     return cut.select(*taken[:4], F.col("kept_text").cast("string").alias("kept_text"), *(F.col(f"_carried{k}").alias(free_name(c, taken)) for k, c in enumerate(carry)))
 
