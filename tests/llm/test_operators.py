@@ -303,14 +303,15 @@ def test_op3_reaches_its_recall_and_invents_nothing(spark):
 
 
 def best_distance(item, text):
-    """By the definition: the least edits that turn the item into a part of the text."""
-    last = [0] * (len(text) + 1)
+    """By the definition: the least edits that turn the item into a part of the text (a row of the table at a time: a step to
+    the right costs one, so the row less its column numbers is a running minimum)."""
+    text = np.array(text, object)
+    columns = np.arange(len(text) + 1)
+    last = np.zeros(len(text) + 1, np.int64)
     for i, w in enumerate(item, 1):
-        now = [i]
-        for j, x in enumerate(text, 1):
-            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (w != x)))
-        last = now
-    return min(last)
+        now = np.concatenate([[i], np.minimum(last[1:] + 1, last[:-1] + (text != w))])
+        last = np.minimum.accumulate(now - columns) + columns
+    return int(last.min())
 
 
 @pytest.mark.parametrize("size", [5, 8, 15, 30, 59, 120, 700])
