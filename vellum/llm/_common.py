@@ -53,13 +53,27 @@ def remove(spark: SparkSession, path: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back. Its shuffle files go as soon as the table is there (until then a lost
+    executor's share can be made again), not when the driver next collects garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and nothing runs twice. The table stays
     for whoever reads the result; ``tables_within`` removes it where that is known to be over."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{_within.get()}{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(spark)}/{_within.get()}{tag}-{uuid.uuid4().hex}")
 
 
 class Workspace:
@@ -78,9 +92,7 @@ class Workspace:
         self.drop()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _write(df, f"{self.path}/{name}-{uuid.uuid4().hex[:8]}")
 
     def drop(self, df: DataFrame | None = None) -> None:
         """Remove the folder, or the files of one table that nothing reads any more."""
