@@ -16,47 +16,32 @@ from . import SQL, query
 NOW = 1706745600.0  # 2024-02-01
 
 _DIST = "list_sum(list_transform(list_zip(e.embedding, q.qv), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))"
-_EVERY = "vec_id % 50 = 0"  # the questions of the queries named _all
-_LISTS = f"""q AS (SELECT vec_id AS qi, embedding AS qv FROM embeddings WHERE vec_id IN (0, 1)),
+_EVERY = "vec_id % 50 = 0"  # the questions asked of the vectors: every row whose id is divisible by 50
+_LISTS = f"""q AS (SELECT vec_id AS qi, embedding AS qv FROM embeddings WHERE {_EVERY}),
 d AS (SELECT q.qi, e.vec_id AS chunk, e.label AS note, {_DIST} AS dist FROM embeddings e CROSS JOIN q),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY dist, chunk) AS rk FROM d) WHERE rk <= 40)"""
 _NOTES = f"""WITH {_LISTS},
-c AS (SELECT chunk, note, sum(1.0::DOUBLE / (60 + rk)) AS sc, min(qi * 1000 + rk) AS first_seen FROM p GROUP BY chunk, note),
+c AS (SELECT chunk, note, sum(1.0::DOUBLE / (60 + rk)) AS sc, min(qi * 1000000 + rk) AS first_seen FROM p GROUP BY chunk, note),
 n AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY sc DESC, first_seen) AS crk FROM c),
 s AS (SELECT note, count(*) AS matched_chunks, max(CASE WHEN crk = 1 THEN chunk END) AS best_chunk,
   sum(CASE WHEN crk = 1 THEN sc WHEN crk <= 4 THEN 0.25::DOUBLE * sc ELSE 0 END) AS score FROM n GROUP BY note)"""
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
 
-def _every(sql: str) -> str:
-    """The statement over all questions: every row whose id is divisible by 50, with its whole text."""
-    sql = sql.replace("vec_id IN (0, 1)", _EVERY).replace("item_id < 3", "item_id % 50 = 0").replace("qi * 1000 + rk", "qi * 1000000 + rk")
-    return sql.replace(f"list_slice({_TOK}, 1, 6)", _TOK)
-
-
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("note"))
 
 
-def _lists(spark: SparkSession, sf_dir: str, pool: int = 40, which: str = "id IN (0, 1)") -> DataFrame:
+def _lists(spark: SparkSession, sf_dir: str, pool: int = 40) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    asked = v.where(which).select(F.col("id").alias("qi"), F.col("vector").alias("qv"))  # the two questions, unless stated
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("qi"), F.col("vector").alias("qv"))
     return retrieval.knn(v, asked, pool).select("qi", F.col("qi").alias("list_no"), "rank", F.col("id").alias("chunk"), "note")
 
 
-@query(f"""WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
-d AS (SELECT e.vec_id, {_DIST} AS dist FROM embeddings e CROSS JOIN q)
-SELECT vec_id, row_number() OVER (ORDER BY dist, vec_id) AS rank FROM d ORDER BY dist, vec_id LIMIT 10""")
-def knn_topk(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    asked = v.where("id = 0").select(F.lit(0).alias("qi"), F.col("vector").alias("qv"))
-    return retrieval.knn(v, asked, 10).select(F.col("id").alias("vec_id"), "rank")
-
-
 @query(f"""WITH q AS (SELECT vec_id AS qi, embedding AS qv FROM embeddings WHERE {_EVERY}),
 d AS (SELECT q.qi, e.vec_id, {_DIST} AS dist FROM embeddings e CROSS JOIN q)
 SELECT * FROM (SELECT qi, vec_id, row_number() OVER (PARTITION BY qi ORDER BY dist, vec_id) AS rank FROM d) WHERE rank <= 10""")
-def knn_topk_all(spark, sf_dir):
+def knn_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     asked = v.where("id % 50 = 0").select(F.col("id").alias("qi"), F.col("vector").alias("qv"))
     return retrieval.knn(v, asked, 10).select("qi", F.col("id").alias("vec_id"), "rank")
@@ -68,12 +53,6 @@ def rrf_two_queries(spark, sf_dir):
     return fused.select("note", "matched_chunks", "best_chunk", F.round("score", 6).alias("score"))
 
 
-@query(_every(SQL["rrf_two_queries"]))
-def rrf_all(spark, sf_dir):
-    fused = retrieval.collapse(retrieval.fuse(_lists(spark, sf_dir, which="id % 50 = 0")))
-    return fused.select("note", "matched_chunks", "best_chunk", F.round("score", 6).alias("score"))
-
-
 @query(f"""WITH {_LISTS},
 c AS (SELECT qi, chunk, note, 1.0::DOUBLE / (60 + rk) AS sc, rk FROM p),
 n AS (SELECT *, row_number() OVER (PARTITION BY qi, note ORDER BY sc DESC, rk) AS crk FROM c),
@@ -85,13 +64,7 @@ def rrf_attribution(spark, sf_dir):
     return got.select("note", F.array_join(F.col("matched_queries").cast("array<string>"), ",").alias("matched_queries"))
 
 
-@query(_every(SQL["rrf_attribution"]))
-def rrf_attribution_all(spark, sf_dir):
-    got = retrieval.attribute(_lists(spark, sf_dir, which="id % 50 = 0"), 5)
-    return got.select("note", F.array_join(F.col("matched_queries").cast("array<string>"), ",").alias("matched_queries"))
-
-
-@query(f"""WITH q AS (SELECT vec_id AS qi, embedding AS qv FROM embeddings WHERE vec_id IN (0, 1)),
+@query(f"""WITH q AS (SELECT vec_id AS qi, embedding AS qv FROM embeddings WHERE {_EVERY}),
 d AS (SELECT q.qi, e.vec_id AS chunk, e.label AS note, {_DIST} AS dist FROM embeddings e CROSS JOIN q),
 r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY dist, chunk) AS rk FROM d),
 w AS (SELECT CASE WHEN (SELECT count(DISTINCT note) FROM r WHERE rk <= 40) < 50 AND (SELECT max(n) FROM (SELECT count(*) AS n FROM r WHERE rk <= 40 GROUP BY qi)) >= 40 THEN 120 ELSE 40 END AS pool)
@@ -104,15 +77,6 @@ def pool_widening(spark, sf_dir):
     return lists.groupBy("note").agg(F.count_distinct("chunk").alias("matched_chunks")).withColumn("pool", F.lit(pool))
 
 
-@query(_every(SQL["pool_widening"]))
-def pool_widening_all(spark, sf_dir):
-    lists = _lists(spark, sf_dir, which="id % 50 = 0")
-    found, fullest = lists.select("note").distinct().count(), lists.groupBy("qi").count().agg(F.max("count")).first()[0]
-    pool = retrieval.widened_pool(50, 40, found, fullest)
-    lists = _lists(spark, sf_dir, pool, "id % 50 = 0") if pool != 40 else lists
-    return lists.groupBy("note").agg(F.count_distinct("chunk").alias("matched_chunks")).withColumn("pool", F.lit(pool))
-
-
 @query(f"""{_NOTES}, m AS (SELECT *, (note * 7) % 101 AS quality, CASE WHEN note % 5 = 0 THEN 0.0 ELSE 1577836800.0 + note * 8640000.0 END AS ts FROM s)
 SELECT note, round(score * (1 + (0.8 * (quality / 100.0::DOUBLE) - 0.4)) * CASE WHEN ts = 0 THEN 1.0
   ELSE 1 + greatest(-0.25::DOUBLE, least(0.15::DOUBLE, 0.15 - 0.06 * greatest(0.0::DOUBLE, ({NOW}::DOUBLE - ts) / 31557600.0::DOUBLE))) END, 6) AS score FROM m""")
@@ -122,22 +86,13 @@ def search_reweighted(spark, sf_dir):
     return retrieval.reweigh(notes, NOW).select("note", F.round("score", 6).alias("score"))
 
 
-@query(_every(SQL["search_reweighted"]))
-def search_reweighted_all(spark, sf_dir):
-    notes = retrieval.collapse(retrieval.fuse(_lists(spark, sf_dir, which="id % 50 = 0")))
-    notes = notes.withColumn("quality", F.expr("(note * 7) % 101")).withColumn("created_ts", F.expr("CASE WHEN note % 5 = 0 THEN 0.0D ELSE 1577836800.0D + note * 8640000.0D END"))
-    return retrieval.reweigh(notes, NOW).select("note", F.round("score", 6).alias("score"))
-
-
-def _questions(spark, sf_dir, every: bool = False) -> DataFrame:
-    words = F.slice(retrieval.tokens(F.col("text")), 1, 6)
-    if every:
-        return table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("qi"), F.col("text").alias("query"))
-    return table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.col("item_id").alias("qi"), F.array_join(words, " ").alias("query"))  # the three questions asked
+def _questions(spark, sf_dir) -> DataFrame:
+    """Every benchmark item whose id is divisible by 50, with its whole text."""
+    return table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("qi"), F.col("text").alias("query"))
 
 
 def _bm25_sql(docs: str) -> str:
-    return f"""WITH q AS (SELECT item_id AS qi, unnest(list_distinct(list_slice({_TOK}, 1, 6))) AS term FROM benchmark WHERE item_id < 3),
+    return f"""WITH q AS (SELECT item_id AS qi, unnest(list_distinct({_TOK})) AS term FROM benchmark WHERE item_id % 50 = 0),
 d AS (SELECT doc_id, {_TOK} AS w FROM {docs}),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
@@ -153,12 +108,6 @@ def bm25_topk(spark, sf_dir):
     return top.select("qi", F.col("id").alias("doc_id"), "rank")
 
 
-@query(_every(SQL["bm25_topk"]))
-def bm25_topk_all(spark, sf_dir):
-    top = retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir, every=True), 10, key="doc_id", text="text")
-    return top.select("qi", F.col("id").alias("doc_id"), "rank")
-
-
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) SELECT term, count(*) AS df FROM t GROUP BY term")
 def bm25_stats(spark, sf_dir):
     return retrieval.postings(table(spark, sf_dir, "documents"), key="doc_id", text="text").groupBy("term").agg(F.count("*").alias("df"))
@@ -170,12 +119,6 @@ def min_quality_prefilter(spark, sf_dir):
     return retrieval.bm25(docs, _questions(spark, sf_dir), 10, key="doc_id", text="text").select("qi", F.col("id").alias("doc_id"), "rank")
 
 
-@query(_every(SQL["min_quality_prefilter"]))
-def min_quality_prefilter_all(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("quality", F.expr("n_chars % 101")).where(search.where({}, 60))
-    return retrieval.bm25(docs, _questions(spark, sf_dir, every=True), 10, key="doc_id", text="text").select("qi", F.col("id").alias("doc_id"), "rank")
-
-
 @query("SELECT doc_id FROM documents WHERE list_contains(string_split('CWE-' || (doc_id % 90) || ' CWE-' || (n_chars % 700), ' '), 'CWE-7')")
 def filter_exact_token(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("cwe_str", F.expr("concat('CWE-', doc_id % 90, ' CWE-', n_chars % 700)"))
@@ -240,23 +183,15 @@ def estimate_tokens(spark, sf_dir):
 
 @query()
 def hybrid_search(spark, sf_dir):
+    """Each question is a search of its own. Questions without text find nothing."""
     from ..session import scratch
 
     path = scratch(spark)
     search.index_rows(notes_of(spark, sf_dir)).write.parquet(path)
-    asked = [r["query"] for r in _questions(spark, sf_dir).orderBy("qi").collect()]
-    return search.search(spark, spark.read.parquet(path), asked, now=NOW, k=8).select("note_id", "title", "score", "matched_chunks", "matched_queries", "quality")
-
-
-@query()
-def hybrid_search_all(spark, sf_dir):
-    """Each question is a search of its own."""
-    from ..session import scratch
-
-    path = scratch(spark)
-    search.index_rows(notes_of(spark, sf_dir)).write.parquet(path)
+    index = spark.read.parquet(path)
     found = [
-        search.search(spark, spark.read.parquet(path), r["query"], now=NOW, k=8).select(F.lit(r["qi"]).cast("long").alias("qi"), "note_id", "title", "score", "matched_chunks", "matched_queries", "quality")
-        for r in _questions(spark, sf_dir, every=True).orderBy("qi").collect()
+        search.search(spark, index, r["query"], now=NOW, k=8).select(F.lit(r["qi"]).cast("long").alias("qi"), "note_id", "title", "score", "matched_chunks", "matched_queries", "quality")
+        for r in _questions(spark, sf_dir).where("trim(query) <> ''").orderBy("qi").collect()
     ]
-    return reduce(DataFrame.unionByName, found)
+    none = spark.createDataFrame([], "qi long, note_id string, title string, score double, matched_chunks long, matched_queries array<int>, quality int")
+    return reduce(DataFrame.unionByName, found, none)
