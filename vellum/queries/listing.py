@@ -16,10 +16,10 @@ def count_by_type(spark, sf_dir):
     return reports.counts_by(table(spark, sf_dir, "documents").withColumnRenamed("lang", "type"), "type")
 
 
-@query("""WITH n AS (SELECT md5(substr(coalesce(text, ''), 1, 40)) AS id, concat('doc/', doc_id) AS path, trim(coalesce(text, '')) AS body FROM documents)
+@query("""WITH n AS (SELECT md5(concat_ws('/', source, n_chars)) AS id, concat('doc/', doc_id) AS path, trim(coalesce(text, '')) AS body FROM documents)
 SELECT id, count(*) AS files, string_agg(path, ',' ORDER BY path) AS paths, count(DISTINCT sha1(body)) = 1 AS identical FROM n GROUP BY id HAVING count(*) > 1""")
 def duplicate_ids(spark, sf_dir):
-    notes = table(spark, sf_dir, "documents").select(F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 40).cast("binary")).alias("id"), F.format_string("doc/%d", "doc_id").alias("path"), F.col("text").alias("body"))
+    notes = table(spark, sf_dir, "documents").select(F.md5(F.concat_ws("/", "source", F.col("n_chars").cast("string")).cast("binary")).alias("id"), F.format_string("doc/%d", "doc_id").alias("path"), F.col("text").alias("body"))
     return reports.duplicate_ids(notes).select("id", "files", F.array_join("paths", ",").alias("paths"), "identical")
 
 

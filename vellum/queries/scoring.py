@@ -68,10 +68,10 @@ def prune_reasons(spark, sf_dir):
     return scoring.prune_reasons(scoring.prune_plan(notes(spark, sf_dir)))
 
 
-@query("""WITH k AS (SELECT doc_id, coalesce(text, '') AS body, md5(substr(coalesce(text, ''), 1, 200)) AS key FROM documents)
+@query("""WITH k AS (SELECT doc_id, coalesce(text, '') AS body, md5(concat_ws('/', source, n_chars)) AS key FROM documents)
 SELECT 'https://site.example/' || key AS url_key, arg_max(doc_id, (length(body), -doc_id)) AS doc_id, count(*) AS copies FROM k GROUP BY key""")
 def best_copy_per_key(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.lit("t").alias("title"), F.concat(F.lit("https://Site.example/"), F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 200).cast("binary")), F.lit("/?source=rss")).alias("url"), F.col("text").alias("body"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.lit("t").alias("title"), F.concat(F.lit("https://Site.example/"), F.md5(F.concat_ws("/", "source", F.col("n_chars").cast("string")).cast("binary")), F.lit("/?source=rss")).alias("url"), F.col("text").alias("body"))
     return curation.best_copies(docs).select("url_key", F.col("id").alias("doc_id"), "copies")
 
 

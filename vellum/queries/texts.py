@@ -75,9 +75,9 @@ def extract_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.extract_cwes(blob), " ").alias("cwes"))
 
 
-@query(rf"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(replace(translate(coalesce(substr(text, 1, 60), ''), '{text._MARKED}', '{text._FOLDED}'), 'ß', 'ss'), '[''’]', '-', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+@query(rf"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(replace(translate(coalesce(text, ''), '{text._MARKED}', '{text._FOLDED}'), 'ß', 'ss'), '[''’]', '-', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 _TITLE = "CASE p_size % 5 WHEN 0 THEN concat('Introducing ', p_name) WHEN 1 THEN concat('Nominations open: ', p_name) WHEN 2 THEN concat('Coming to ', p_name, ' at Black Hat') ELSE p_name END"
