@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cwe_filter_token, has_token
 from ..operators import chunking, retrieval
 from ..plans import search
-from ..session import table
+from ..plans.keyword_index import KeywordIndex
+from ..session import scratch, table
 from . import SQL, query
 
 NOW = 1706745600.0  # 2024-02-01
@@ -108,6 +109,15 @@ def bm25_topk(spark, sf_dir):
     return top.select("qi", F.col("id").alias("doc_id"), "rank")
 
 
+@query(_bm25_sql("documents"))
+def bm25_indexed(spark, sf_dir):
+    """The index is written in two segments, and answered from the blocks that can matter."""
+    docs, index = table(spark, sf_dir, "documents"), KeywordIndex(spark, scratch(spark), "long")
+    index.add(docs.where("doc_id % 2 = 0"), key="doc_id", text="text")
+    index.add(docs.where("doc_id % 2 <> 0"), key="doc_id", text="text")
+    return index.search(_questions(spark, sf_dir), 10).select("qi", F.col("id").alias("doc_id"), "rank")
+
+
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) SELECT term, count(*) AS df FROM t GROUP BY term")
 def bm25_stats(spark, sf_dir):
     return retrieval.postings(table(spark, sf_dir, "documents"), key="doc_id", text="text").groupBy("term").agg(F.count("*").alias("df"))
@@ -184,8 +194,6 @@ def estimate_tokens(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """Each question is a search of its own. Questions without text find nothing."""
-    from ..session import scratch
-
     path = scratch(spark)
     search.index_rows(notes_of(spark, sf_dir)).write.parquet(path)
     index = spark.read.parquet(path)

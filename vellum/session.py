@@ -49,12 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder every node reaches: below spark.checkpoint.dir, or of our own where that is unset."""
+    """A new folder that every node reaches, below spark.checkpoint.dir. Where that is unset and all runs in one process, below a
+    folder of our own; on a cluster that is an error."""
     import tempfile
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/vellum-{uuid.uuid4().hex}"
