@@ -123,18 +123,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, key: str = "id", text:
     return top_per_query(scored, k, [F.col("score").desc(), F.col("id")])
 
 
-def fuse(lists: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists (list_no, rank, chunk, note): one credit for a chunk in a list."""
-    once = lists.groupBy("list_no", "chunk", "note").agg(F.min("rank").alias("rank"))
-    return once.groupBy("chunk", "note").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("first_seen"))
+def fuse(lists: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion of ranked lists (list_no, rank, chunk, note): one credit for a chunk in a list. ``by``: columns
+    that tell questions apart."""
+    once = lists.groupBy(*by, "list_no", "chunk", "note").agg(F.min("rank").alias("rank"))
+    return once.groupBy(*by, "chunk", "note").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("first_seen"))
 
 
-def collapse(fused: DataFrame) -> DataFrame:
+def collapse(fused: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Chunks to notes: the best chunk's score and a quarter of each of the next three; ties go to what was seen first."""
-    order = Window.partitionBy("note").orderBy(F.col("score").desc(), F.col("first_seen"))
+    order = Window.partitionBy(*by, "note").orderBy(F.col("score").desc(), F.col("first_seen"))
     ranked = fused.withColumn("place", F.row_number().over(order))
     credit = F.when(F.col("place") == 1, F.col("score")).when(F.col("place") <= 1 + MAX_EXTRA, EXTRA_CREDIT * F.col("score")).otherwise(0.0)
-    return ranked.groupBy("note").agg(
+    return ranked.groupBy(*by, "note").agg(
         F.count("*").alias("matched_chunks"),
         F.max(F.when(F.col("place") == 1, F.col("chunk"))).alias("best_chunk"),
         F.max(F.when(F.col("place") == 1, F.col("score"))).alias("best_score"),
@@ -143,12 +144,20 @@ def collapse(fused: DataFrame) -> DataFrame:
     )
 
 
+def pooled(lists: DataFrame, k: int, pool: int) -> DataFrame:
+    """Of the lists of each question (qi), cut at the wider pool, what the question's own pool keeps: ``pool``, or the wider one
+    where a list was full and gave too few notes."""
+    wider = min(pool * 3, MAX_POOL) if pool < MAX_POOL else pool
+    told = lists.groupBy("qi").agg(F.count_distinct(F.when(F.col("rank") <= pool, F.col("note"))).alias("found"), F.max("rank").alias("fullest"))
+    limit = F.when((F.col("found") < k) & (F.col("fullest") >= pool), wider).otherwise(pool)
+    return lists.join(told.select("qi", limit.alias("limit")), "qi").where("rank <= limit").drop("limit")
+
+
 def reweigh(notes: DataFrame, now: float, quality_weight: float = 1.0, recency_weight: float = 1.0) -> DataFrame:
     """score times the multipliers of the columns quality and created_ts."""
     return notes.withColumn("score", F.col("score") * quality_multiplier(F.coalesce("quality", F.lit(0)), quality_weight) * recency_multiplier(F.col("created_ts"), now, recency_weight))
 
 
-
 def final_order() -> list[Column]:
     return [F.col("score").desc(), F.col("best_score").desc(), F.col("first_seen")]
 

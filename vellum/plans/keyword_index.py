@@ -94,6 +94,8 @@ class KeywordIndex:
                 sizes = words.select(F.lit("").alias("term"), "id", F.lit(0).alias("tf"), "dl")
                 tf = words.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
                 parts.append(self._blocks(sizes.unionByName(tf.select("term", "id", "tf", "dl")).withColumn("segment", F.lit(segment).cast("long"))))
+            if docs is None and (not parts or replaced.isEmpty()):
+                return
             rows = parts[0]
             for part in parts[1:]:
                 rows = rows.unionByName(part)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import cwe_filter_token, cwe_tokens, epoch_day, has_token
 from ..functions.text import note_slug
 from ..operators import chunking, retrieval, scoring
 from ..session import Settings
+from .keyword_index import KeywordIndex
 
 
 def hashed_words(texts: Iterable[str | None], dim: int = 64) -> np.ndarray:
@@ -122,14 +125,9 @@ def search(spark: SparkSession, chunks: DataFrame, query: str | list[str], *, no
     allowed = chunks.where(where(filters, min_quality))
     if not queries:
         return chunks.limit(0).select("note_id", "title")
-    for _ in range(2):
-        lists = ranked_lists(spark, allowed, queries, pool, embed).persist()
-        found, fullest = lists.select("note").distinct().count(), lists.groupBy("list_no").count().agg(F.max("count")).first()[0] or 0
-        wider = retrieval.widened_pool(k, pool, found, fullest)
-        if wider == pool:
-            break
-        lists.unpersist()
-        pool = wider
+    wide = min(3 * pool, retrieval.MAX_POOL)
+    lists = retrieval.pooled(ranked_lists(spark, allowed, queries, wide, embed).withColumnRenamed("qi", "asked").withColumn("qi", F.lit(0)), k, pool)
+    lists = lists.drop("qi").withColumnRenamed("asked", "qi")
     notes = retrieval.collapse(retrieval.fuse(lists))
     shown = allowed.select(F.col("id").alias("best_chunk"), "note_id", "slug", "title", "type", "url", "source", "severity", "program", "path", "heading", F.substring("text", 1, 600).alias("excerpt"), "quality", "created_ts")
     hits = retrieval.reweigh(notes.join(shown, "best_chunk"), now, settings.quality_weight, settings.recency_weight)
@@ -138,3 +136,73 @@ def search(spark: SparkSession, chunks: DataFrame, query: str | list[str], *, no
         hits = retrieval.rerank(top, scorer, now, settings.quality_weight, settings.recency_weight)
     best = hits.orderBy(*retrieval.final_order()).limit(k)
     return best.join(retrieval.attribute(lists, k), "note", "left").drop("note").orderBy(F.col("score").desc(), F.col("best_score").desc(), "first_seen")
+
+
+def embedded(rows: DataFrame, embed: Embedder = hashed_words, column: str = "search_text") -> DataFrame:
+    """The rows with ``vector``, the embedding of a text column (null: empty)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                got = embed([t or "" for t in part.column(column).to_pylist()]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(got), pa.list_(pa.float32()))], names=[*part.schema.names, "vector"])
+
+    return rows.mapInArrow(each, T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+
+
+def _asked(questions: DataFrame, embed: Embedder) -> DataFrame:
+    """qi, query and qv of the questions (qi, query) that have text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                got = embed(batch.column("query").to_pylist()).astype(np.float64)
+                yield pa.record_batch([batch.column("qi"), batch.column("query"), pa.array(list(got), pa.list_(pa.float64()))], names=["qi", "query", "qv"])
+
+    rows = questions.where(F.trim(F.coalesce("query", F.lit(""))) != "").select("qi", F.trim("query").alias("query"))
+    return rows.mapInArrow(each, f"qi {rows.schema['qi'].dataType.simpleString()}, query string, qv array<double>")
+
+
+def keyword_list(chunks: DataFrame, asked: DataFrame, pool: int, index: KeywordIndex | None) -> DataFrame | None:
+    """qi, id and rank by words: from the index, or from the chunks themselves where there is none. An index that cannot be read
+    leaves the vectors to answer alone, with a warning: then the list is None."""
+    if index is None:
+        return retrieval.bm25(chunks.select("id", "search_text"), asked.select("qi", "query"), pool).select("qi", "id", "rank")
+    try:
+        if index.store.pointer() is None:
+            raise FileNotFoundError("it was never written")
+        return index.search(asked.select("qi", "query"), pool).select("qi", "id", "rank")
+    except Exception as e:
+        warnings.warn(f"the keyword index gives no answer ({str(e).splitlines()[0][:200]}): vectors only", RuntimeWarning, stacklevel=2)
+        return None
+
+
+def search_many(chunks: DataFrame, questions: DataFrame, *, now: float, k: int = 8, filters: dict | None = None, min_quality: int = 0, pool: int = 40, index: KeywordIndex | None = None, embed: Embedder = hashed_words, settings: Settings = Settings()) -> DataFrame:
+    """What ``search`` finds for each of many questions (qi, query), in one plan: qi, note_id, title, type, excerpt, heading, score,
+    matched_chunks, best_chunk, quality, matched_queries and rank.
+
+    The lists are made once, as long as a widened pool needs them; each question then keeps its own pool. ``index`` holds the
+    words of all chunks, so it serves where no filter stands below the retrievers; with a filter the words are read from
+    what the filter leaves. Questions without text find nothing.
+    """
+    if not 1 <= k <= 50:
+        raise ValueError("k must be within 1 and 50")
+    pool = max(pool, min(retrieval.MAX_POOL, max(80, 10 * k)))
+    wide = min(3 * pool, retrieval.MAX_POOL)
+    bare = not any((filters or {}).values()) and min_quality <= 0
+    allowed = chunks if bare else chunks.where(where(filters, min_quality))
+    asked = _asked(questions, embed)
+    near = retrieval.knn(allowed.select("id", "note_id", "vector"), asked.select("qi", "qv"), wide).select("qi", F.lit(0).alias("list_no"), "rank", F.col("id").alias("chunk"), F.col("note_id").alias("note"))
+    words = keyword_list(allowed, asked, wide, index if bare else None)
+    lists = near
+    if words is not None:
+        lists = near.unionByName(words.join(allowed.select("id", F.col("note_id").alias("note")), "id").select("qi", F.lit(1).alias("list_no"), "rank", F.col("id").alias("chunk"), "note"))
+    notes = retrieval.collapse(retrieval.fuse(retrieval.pooled(lists, k, pool), ("qi",)), ("qi",))
+    # before weights: whether the question alone puts the note among its first k
+    alone = F.row_number().over(Window.partitionBy("qi").orderBy(F.col("score").desc(), F.col("first_seen")))
+    notes = notes.withColumn("matched_queries", F.when(alone <= k, F.array(F.lit(0))))
+    shown = allowed.select(F.col("id").alias("best_chunk"), "note_id", "title", "type", "heading", F.substring("text", 1, 600).alias("excerpt"), "quality", "created_ts")
+    hits = retrieval.reweigh(notes.join(shown, "best_chunk"), now, settings.quality_weight, settings.recency_weight)
+    best = retrieval.top_per_query(hits, k, retrieval.final_order())
+    return best.select("qi", "note_id", "title", "type", "excerpt", "heading", "score", "matched_chunks", "best_chunk", "quality", "matched_queries", "rank")

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import identity, listing, retrieval, scoring, streams, texts  # noqa: E402, F401
+from . import identity, listing, retrieval, scoring, streams, texts, upkeep  # noqa: E402, F401

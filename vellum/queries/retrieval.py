@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,13 +191,59 @@ def estimate_tokens(spark, sf_dir):
 
 @query()
 def hybrid_search(spark, sf_dir):
-    """Each question is a search of its own. Questions without text find nothing."""
+    """All questions in one plan, over a stored index of chunks. Questions without text find nothing."""
     path = scratch(spark)
     search.index_rows(notes_of(spark, sf_dir)).write.parquet(path)
-    index = spark.read.parquet(path)
-    found = [
-        search.search(spark, index, r["query"], now=NOW, k=8).select(F.lit(r["qi"]).cast("long").alias("qi"), "note_id", "title", "score", "matched_chunks", "matched_queries", "quality")
-        for r in _questions(spark, sf_dir).where("trim(query) <> ''").orderBy("qi").collect()
-    ]
-    none = spark.createDataFrame([], "qi long, note_id string, title string, score double, matched_chunks long, matched_queries array<int>, quality int")
-    return reduce(DataFrame.unionByName, found, none)
+    chunks, index = spark.read.parquet(path), KeywordIndex(spark, scratch(spark))
+    index.add(chunks)
+    found = search.search_many(chunks, _questions(spark, sf_dir), now=NOW, k=8, index=index)
+    return found.select("qi", "note_id", "title", "score", "matched_chunks", "matched_queries", "quality")
+
+
+#: The default embedder in SQL: words by crc32 (no function of DuckDB: stepped through the bytes) in 64 dimensions, unit length.
+_HASHED = """texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id % 50 = 0 AND trim(text) <> ''),
+words AS (SELECT side, id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS word FROM texts),
+counted AS (SELECT side, id, word, count(*) AS n FROM words GROUP BY ALL),
+bits AS (SELECT range AS byte, range AS c, 0 AS k FROM range(256) UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+lookup AS MATERIALIZED (SELECT byte, c FROM bits WHERE k = 8),
+steps AS (SELECT word, hex(encode(word)) AS bytes, 0 AS pos, 4294967295::BIGINT AS crc FROM (SELECT DISTINCT word FROM counted)
+  UNION ALL SELECT s.word, s.bytes, s.pos + 1, xor(s.crc // 256, l.c) FROM steps s JOIN lookup l ON l.byte = xor(s.crc % 256, ('0x' || substr(s.bytes, 2 * s.pos + 1, 2))::BIGINT) WHERE 2 * s.pos < length(s.bytes)),
+hashed AS MATERIALIZED (SELECT word, xor(crc, 4294967295) % 64 AS dim FROM steps WHERE 2 * pos = length(bytes)),
+cells AS (SELECT side, id, dim, sum(n) AS n FROM counted JOIN hashed USING (word) GROUP BY ALL),
+norms AS (SELECT side, id, sqrt(sum(n * n)::DOUBLE)::FLOAT AS norm FROM cells GROUP BY ALL),
+vectors AS MATERIALIZED (SELECT t.side, t.id, list((coalesce(c.n, 0)::FLOAT / coalesce(m.norm, 1::FLOAT))::FLOAT ORDER BY d.range) AS v
+  FROM texts t CROSS JOIN range(64) d LEFT JOIN cells c ON c.side = t.side AND c.id = t.id AND c.dim = d.range LEFT JOIN norms m ON m.side = t.side AND m.id = t.id GROUP BY t.side, t.id)"""
+
+
+@query(f"""WITH RECURSIVE {_HASHED},
+near AS (SELECT q.id AS qi, d.id::VARCHAR AS chunk, list_sum(list_transform(list_zip(d.v, q.v), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS dist FROM vectors d, vectors q WHERE d.side = 0 AND q.side = 1),
+asked AS (SELECT id AS qi, unnest(list_distinct({_TOK})) AS term FROM texts WHERE side = 1),
+d AS (SELECT id, {_TOK} AS w FROM texts WHERE side = 0),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+tf AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+said AS (SELECT qi, id::VARCHAR AS chunk, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+  FROM tf JOIN asked USING (term) JOIN df USING (term), st GROUP BY qi, id),
+lists AS (SELECT l.*, source AS note FROM (
+  SELECT qi, 0 AS list_no, chunk, row_number() OVER (PARTITION BY qi ORDER BY dist, chunk) AS rk FROM near
+  UNION ALL SELECT qi, 1, chunk, row_number() OVER (PARTITION BY qi ORDER BY score DESC, chunk) FROM said) l JOIN documents ON doc_id::VARCHAR = chunk WHERE rk <= 240),
+pools AS (SELECT qi, CASE WHEN count(DISTINCT CASE WHEN rk <= 80 THEN note END) < 8 AND max(rk) >= 80 THEN 240 ELSE 80 END AS pool FROM lists GROUP BY qi),
+fused AS (SELECT qi, chunk, note, sum(1.0::DOUBLE / (60 + rk)) AS sc, min(list_no * 1000 + rk) AS seen FROM lists JOIN pools USING (qi) WHERE rk <= pool GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qi, note ORDER BY sc DESC, seen) AS crk FROM fused),
+notes AS (SELECT qi, note, count(*) AS matched_chunks, max(CASE WHEN crk = 1 THEN chunk END) AS best_chunk, max(CASE WHEN crk = 1 THEN sc END) AS best_score, min(CASE WHEN crk = 1 THEN seen END) AS seen,
+  sum(CASE WHEN crk = 1 THEN sc WHEN crk <= 4 THEN 0.25::DOUBLE * sc ELSE 0 END) AS score FROM ranked GROUP BY ALL),
+weighed AS (SELECT n.*, score * (1 + (0.8 * ((n_chars % 101) / 100.0::DOUBLE) - 0.4)) AS worth FROM notes n JOIN documents ON doc_id::VARCHAR = best_chunk)
+SELECT qi, note, best_chunk, matched_chunks, round(worth, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY worth DESC, best_score DESC, seen) AS rank FROM weighed) WHERE rank <= 8""")
+def hybrid_documents(spark, sf_dir):
+    """Hybrid search with each document as one chunk of its source's note, from a stored table of vectors and a stored index."""
+    docs = table(spark, sf_dir, "documents")
+    empty = F.lit("")
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("note_id"), F.coalesce("text", empty).alias("search_text"), F.coalesce("text", empty).alias("text"), empty.alias("title"), empty.alias("type"), empty.alias("heading"), F.expr("n_chars % 101").cast("int").alias("quality"), F.lit(0.0).alias("created_ts")
+    )
+    path = scratch(spark)
+    search.embedded(rows).write.parquet(path)
+    chunks, index = spark.read.parquet(path), KeywordIndex(spark, scratch(spark))
+    index.add(chunks)
+    found = search.search_many(chunks, _questions(spark, sf_dir), now=NOW, k=8, index=index)
+    return found.select("qi", F.col("note_id").alias("note"), "best_chunk", "matched_chunks", F.round("score", 6).alias("score"), "rank")
