@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from vellum.llm import near_dups
 from vellum.llm._common import Workspace
-from vellum.llm.near_dups import Bounds, least_common, near_duplicates, overlaid
+from vellum.llm.near_dups import Bounds, Parities, least_common, near_duplicates, overlaid, parity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, cid long, n string, sketch int"
@@ -92,7 +92,7 @@ def test_a_common_passage_makes_no_lists(spark):
     passage = [f"p{i}" for i in range(60)]
     rows = [(i, " ".join(passage + [f"u{rng.randrange(10**9)}" for _ in range(20)])) for i in range(200)]
     with Workspace(spark, "test") as work:
-        index = table(spark, rows).selectExpr("doc_id", "cast(text as binary) text").mapInArrow(near_dups._index(5, 256), "doc_id long, n long, cid long, also long, sketch array<long>")
+        index = table(spark, rows).selectExpr("doc_id", "cast(text as binary) text").mapInArrow(near_dups._index(5, 256), "doc_id long, n long, cid long, also long, sketch array<long>, parity binary")
         assert near_dups._sketch_lists(work.keep(index, "index"), 85, 256, work).count() == 0
     assert near_duplicates(table(spark, rows)).where("kept").count() == 200
 
@@ -123,7 +123,9 @@ def test_overlays_connect_what_links(seed, percent, size):
     sets = [set(base[rng.randrange(4) :]) | set(rng.sample(range(10**13, 10**14), rng.randrange(0, 12))) for _ in range(14)]
     members = [np.array(sorted(s), np.uint64) for s in sets]
     n, g = np.array([len(m) for m in members]), np.arange(14)
-    found = list(overlaid(np.arange(14), n, g, g > 0, [m[:size].view(np.int64) for m in members], Bounds(percent, size)))
+    args = np.arange(14), n, g, g > 0, [m[:size].view(np.int64) for m in members], [parity(m) for m in members], Bounds(percent, size)
+    found, trusted = (list(overlaid(*args, trust)) for trust in (False, True))
+    assert len(trusted) < 14 and set(trusted) <= set(found) | set(trusted)
     linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
 
     def parts(pairs):
@@ -139,6 +141,18 @@ def test_overlays_connect_what_links(seed, percent, size):
         assert {tuple(sorted(f[:2])) for f in found} <= {(i, j) for j in range(14) for i in range(j)}
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.choice(2**62, 6000, replace=False).astype(np.uint64)
+    sets = [np.unique(pool[rng.permutation(6000)[: rng.integers(300, 4000)]]) for _ in range(20)]
+    bits = Parities([parity(s) for s in sets])
+    for i, x in enumerate(sets):
+        at = np.array([j for j, y in enumerate(sets) if 2 * len(x) > len(y) and 2 * len(y) > len(x)])
+        assert (bits.apart(i, at) <= [len(np.setxor1d(x, sets[j])) for j in at]).all()
+    near = np.sort(np.concatenate([sets[0][20:], rng.choice(2**62, 20, replace=False).astype(np.uint64)]))
+    assert 34 <= Parities([parity(sets[0]), parity(near)]).apart(0, np.array([1]))[0] <= 40
+
+
 def test_bounds_hold_for_sets_at_the_threshold():
     rng, bounds = np.random.default_rng(5), Bounds(85)
     assert least_common(256, 85) == bounds.sampled < 0.85 * 256

@@ -13,11 +13,12 @@ many values of its own is in no list, and what very many texts share is last in
 Overlaps. Sets of equal content are one class before anything is listed. In each list all members meet its centre, the member with the
 longest lists; members that link to it are one component already and need no further look. What stays open is a list that holds
 sets of several components; in lists over LONG rows further centres, from outside of the largest component, are met first. Then a task
-overlays the sketches of a list of at most LONG rows (of a longer one, a block of members outside of the largest component and
-a block of all): parities of 1,024 classes of their values bound every difference from below, and only sets that are not connected
-yet and pass are laid side by side. Where both sketches are whole sets that settles the pair, and only pairs that connect two
-components leave the task: fewer than it has rows. Other pairs leave it by their estimate. Every pair that leaves is confirmed by
-exact Jaccard on the full sets.
+overlays the members of a list of at most LONG rows (of a longer one, a block of members outside of the largest component and
+a block of all): parities of at least 2 n classes of a set's values bound every difference from below, and only sets that are not
+connected yet and pass are laid side by side. Where both sketches are whole sets that settles the pair; other pairs go by the estimate from
+the sketch of the union, are taken as links for the time being, and the lists that stay open are overlaid once more without
+doing so. So a task sends fewer pairs than it has rows, and then the few that are near the bound and not connected. Every pair that
+leaves is confirmed by exact Jaccard on the full sets.
 
 Classes. Two sets are held equal if their 63-bit number and a second, independent 64-bit number agree; should two classes have
 one number, all but one of them get numbers of their own. Classes, not ids, are what is linked: a document with several
@@ -40,7 +41,7 @@ from .ngram_join import _and_end, _compare, set_class, shingle_sets
 
 SKETCH = 256
 MISS = 7  # a linked pair of large sets falls below the bound once in 10^7
-BITS = 1024
+BITS = 1024  # classes of values at least
 LONG = 4096  # rows of a list that are settled in one task
 CENTRES = 4  # of lists with more rows
 
@@ -79,6 +80,14 @@ def check_number(members: np.ndarray) -> int:
         return int(mix(np.array([total + np.uint64(len(members))], np.uint64)).view(np.int64)[0])
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """Whether each of a power of two of classes of values, 2 n or more, has an odd number of members, as words of 64 bits. The
+    bits of half as many classes are those of both halves, one over the other."""
+    bits = max(BITS, 1 << (2 * len(members) - 1).bit_length()) if len(members) else BITS
+    odd = np.bincount((mix(members) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _index(words: int, size: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -94,8 +103,9 @@ def _index(words: int, size: int):
                     pa.array([set_class(s) for s in sets], pa.int64()),
                     pa.array([check_number(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array([parity(s).tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "cid", "also", "sketch"],
+                names=["doc_id", "n", "cid", "also", "sketch", "parity"],
             )
 
     return each
@@ -136,28 +146,39 @@ def _estimates(percent: int, size: int):
     return each
 
 
-def parities(sketches: list[np.ndarray]) -> np.ndarray:
-    """Of each sketch, whether each of BITS classes of values has an odd number of them: 16 words a row."""
-    sizes = np.array([len(s) for s in sketches], np.int64)
-    place = (mix(np.concatenate(sketches).view(np.uint64)) >> np.uint64(20)).astype(np.int64) % BITS
-    odd = np.bincount(np.repeat(np.arange(len(sketches)), sizes) * BITS + place, minlength=len(sketches) * BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(sketches), -1)
+class Parities:
+    """Lower bounds of the differences of sets of a tile, from parities of any widths (of sets of like size, at most twice another's)."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.width = np.array([len(r) for r in rows], np.int64)
+        self.place, self.whole, self.half = np.zeros(len(rows), np.int64), {}, {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.whole[w] = np.stack([rows[i] for i in at])
+            self.half[w] = self.whole[w][:, : w // 2] ^ self.whole[w][:, w // 2 :]
 
+    def apart(self, i: int, at: np.ndarray) -> np.ndarray:
+        w, k, out = int(self.width[i]), self.place[i], np.zeros(len(at), np.int64)
+        for other, mine, theirs in ((w, self.whole, self.whole), (2 * w, self.whole, self.half), (w // 2, self.half, self.whole)):
+            some = self.width[at] == other
+            if some.any():
+                out[some] = np.bitwise_count(theirs[other][self.place[at[some]]] ^ mine[w][k]).sum(axis=1, dtype=np.int64)
+        return out
 
-def overlaid(a: np.ndarray, n: np.ndarray, g: np.ndarray, asks: np.ndarray, sketches: list[np.ndarray], bounds: Bounds) -> Iterator[tuple[int, int, int, int]]:
-    """Pairs (a, b, na, nb) of rows that ask and rows of other components ``g`` by which all links between them follow: certain links
-    only where they connect two components, and every uncertain pair that the estimate leaves."""
-    bits, held = parities(sketches), np.minimum(n, bounds.size)
+
+def overlaid(a: np.ndarray, n: np.ndarray, g: np.ndarray, asks: np.ndarray, sketches: list[np.ndarray], parities: list[np.ndarray], bounds: Bounds, trust: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Pairs (a, b, na, nb) of rows that ask and rows of other components ``g``. Certain links come only where they connect two
+    components, and so that all links between these rows follow from them; so do likely ones if they are to be trusted, else all."""
+    bits = Parities(parities)
     group = np.unique(g, return_inverse=True)[1]
     asks = np.flatnonzero(asks)
     for k, i in enumerate(asks.tolist()):
         open_ = (group != group[i]) & (100 * np.minimum(n, n[i]) >= bounds.percent * np.maximum(n, n[i]))
         open_[asks[:k]] = False  # these have asked
         at = np.flatnonzero(open_)
-        whole = (n[at] <= bounds.size) & (n[i] <= bounds.size)
-        least = np.where(whole, -(-bounds.percent * (n[at] + n[i]) // (100 + bounds.percent)), bounds.sampled)
-        apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        keep = apart <= held[at] + held[i] - 2 * least
+        apart = bits.apart(i, at)
+        keep = apart * (100 + bounds.percent) <= (n[at] + n[i]) * (100 - bounds.percent)
         order = np.argsort(apart[keep], kind="stable")
         for j in at[keep][order].tolist():
             if group[j] == group[i]:
@@ -165,11 +186,11 @@ def overlaid(a: np.ndarray, n: np.ndarray, g: np.ndarray, asks: np.ndarray, sket
             near, certain = _likely(bounds, sketches[i], sketches[j], int(n[i]), int(n[j]))
             if near:
                 yield int(a[i]), int(a[j]), int(n[i]), int(n[j])
-                if certain:
+                if certain or trust:
                     group[group == group[j]] = group[i]
 
 
-def _overlays(percent: int, size: int):
+def _overlays(percent: int, size: int, trust: bool):
     """``overlaid`` for tiles in a row (rows in order of key, first, second)."""
     bounds = Bounds(percent, size)
 
@@ -186,7 +207,8 @@ def _overlays(percent: int, size: int):
             for lo, hi in zip(cuts, cuts[1:]):
                 tile = rows.slice(lo, hi - lo)
                 sketches = [x.values.to_numpy() for x in tile.column("sketch").combine_chunks()]
-                found += overlaid(*(tile.column(c).to_numpy() for c in ("a", "n", "g", "asks")), sketches, bounds)
+                parities = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("parity").combine_chunks()]
+                found += overlaid(*(tile.column(c).to_numpy() for c in ("a", "n", "g", "asks")), sketches, parities, bounds, trust)
             if found:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b", "na", "nb"])
             held = rows.slice(cuts[-1]).to_batches() if batch is not None else []
@@ -281,7 +303,7 @@ def _open_lists(lists: DataFrame, pairs: _Pairs, work: Workspace) -> DataFrame |
     return None if several.isEmpty() else work.keep(rows.join(several.hint("merge"), "key").withColumn("asks", F.expr("g <> most")).drop("most"), "open")
 
 
-def _overlay(rows: DataFrame, pairs: _Pairs, long: int, work: Workspace) -> None:
+def _overlay(rows: DataFrame, pairs: _Pairs, long: int, trust: bool, work: Workspace) -> None:
     """Overlay the rows of each list; of a list over ``long`` rows, every block of rows that ask and every block of all."""
     some = rows.groupBy("key").agg(F.count_if("asks").alias("asking"))
     rows = rows.join(work.keep(some, "asking").hint("merge"), "key")
@@ -293,9 +315,9 @@ def _overlay(rows: DataFrame, pairs: _Pairs, long: int, work: Workspace) -> None
     large = rows.where(f"many > {long}")
     asking = large.where("asks").select("key", "a", "n", "g", "asks", place(firsts).alias("first"), every(seconds).alias("second"))
     asked = large.select("key", "a", "n", "g", F.lit(False).alias("asks"), every(firsts).alias("first"), place(seconds).alias("second"))
-    tiles = short.unionByName(asking).unionByName(asked).join(pairs.classes.select(F.col("cid").alias("a"), "sketch").hint("merge"), "a")
-    tiles = tiles.select("key", "first", "second", "a", "n", "g", "asks", "sketch").repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
-    pairs.meet(work.keep(tiles.mapInArrow(_overlays(pairs.percent, pairs.size), "a long, b long, na long, nb long"), "overlaid"))
+    tiles = short.unionByName(asking).unionByName(asked).join(pairs.classes.select(F.col("cid").alias("a"), "sketch", "parity").hint("merge"), "a")
+    tiles = tiles.select("key", "first", "second", "a", "n", "g", "asks", "sketch", "parity").repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
+    pairs.meet(work.keep(tiles.mapInArrow(_overlays(pairs.percent, pairs.size, trust), "a long, b long, na long, nb long"), "overlaid"))
 
 
 def linked_classes(lists: DataFrame, pairs: _Pairs, work: Workspace, long: int) -> None:
@@ -310,8 +332,16 @@ def linked_classes(lists: DataFrame, pairs: _Pairs, work: Workspace, long: int)
             break
         _meet_centres(large, pairs, work)
         rows = _open_lists(rows, pairs, work)
-    if rows is not None:
-        _overlay(rows, pairs, long, work)
+    if rows is None:
+        return
+    _overlay(rows, pairs, long, True, work)
+    rows = _open_lists(rows, pairs, work)
+    if rows is None:
+        return
+    # only where a set is larger than its sketch a link was taken on trust
+    trusted = work.keep(rows.groupBy("key").agg(F.max("n").alias("largest")).where(f"largest > {pairs.size}").select("key"), "trusted")
+    if not trusted.isEmpty():
+        _overlay(rows.join(trusted.hint("merge"), "key"), pairs, long, False, work)
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, size: int = SKETCH, long: int = LONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,10 +360,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 85, size:
 
 def _components(base: DataFrame, words: int, percent: int, size: int, long: int, work: Workspace) -> DataFrame:
     known = base.where("doc_id IS NOT NULL")
-    index = work.keep(base.mapInArrow(_index(words, size), "doc_id long, n long, cid long, also long, sketch array<long>"), "index")
+    index = work.keep(base.mapInArrow(_index(words, size), "doc_id long, n long, cid long, also long, sketch array<long>, parity binary"), "index")
     filled = index.where("doc_id IS NOT NULL AND n > 0")
-    kinds = filled.groupBy("cid", "also").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    kinds = work.keep(kinds.select(F.col("cid").alias("number"), "also", "rep", "n", "sketch"), "kinds")
+    kinds = filled.groupBy("cid", "also").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first(F.struct("sketch", "parity")).alias("x"))
+    kinds = work.keep(kinds.select(F.col("cid").alias("number"), "also", "rep", "n", "x.sketch", "x.parity"), "kinds")
     # numbers are not negative: classes that clash in theirs (none is expected) get negative ones
     clash = work.keep(kinds.groupBy("number").agg(F.count("*").alias("many"), F.min("also").alias("also")).where("many > 1").drop("many"), "clash")
     classes = kinds.withColumn("cid", F.col("number"))
@@ -346,7 +376,7 @@ def _components(base: DataFrame, words: int, percent: int, size: int, long: int,
     linked_classes(_sketch_lists(classes, percent, size, work), pairs, work, long)
 
     # rows by class; a document with several texts connects their classes
-    rows = index.drop("sketch").withColumnRenamed("cid", "number")
+    rows = index.drop("sketch", "parity").withColumnRenamed("cid", "number")
     filled = rows.where("doc_id IS NOT NULL AND n > 0").join(classes.select("number", "also", "cid").hint("merge"), ["number", "also"]).select("doc_id", "n", "cid")
     filled = work.keep(filled, "filled")
     several = filled.groupBy("doc_id").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
