@@ -594,6 +594,29 @@ def test_op7_round_trip_with_segments(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/b").count() == 0
 
 
+@pytest.mark.parametrize("most", [8, 1 << 27])
+def test_op7_pages_that_a_filter_lets_pass(spark, tmp_path, monkeypatch, most):
+    """With a filter of 8 bits every page passes: responses among them are told apart exactly."""
+    monkeypatch.setattr(_common.Sieve, "MOST", most)
+    rows = [(i, f"u{i}", "error page" if i % 2 else f"page {i}") for i in range(60)] + [(None, "u", "error page"), (None, "u", "alone"), (59, "u59", "error page"), (4, "again", "error page"), (7, "n", None), (8, "n", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(df, f"file://{tmp_path}/a")
+    got = collections.Counter(tuple(r) for r in warc.read_warc(spark, f"file://{tmp_path}/a", payloads=False).select("page_id", "record_type", "refers_to", "payload_bytes").collect())
+    largest = {}
+    for i, _, html in rows:
+        if i is not None:
+            largest[html or ""] = max(i, largest.get(html or "", i))
+    own = lambda i, html: i is None or i == largest[html]
+    want = [(None if i is None else str(i), "response" if own(i, h or "") else "revisit", None if own(i, h or "") else str(largest[h or ""]), len(h or "")) for i, _, h in rows]
+    assert got == collections.Counter(want)
+
+
+def test_op7_leaves_only_its_result(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(_common, "shared_dir", lambda s: f"file://{tmp_path}")
+    llm.QUERIES["op7_warc"](spark, DATA)
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["pages"]
+
+
 def test_op7_archives_are_bounded_however_long_the_pages(spark, tmp_path):
     import gzip
 
@@ -611,7 +634,7 @@ def test_op7_faults_raise():
     assert warc.unchunked(warc.chunked(b"hello world", 4)) == b"hello world" and warc.unchunked(b"5;x=y\r\nhello\r\n0\r\nT: v\r\n\r\n") == b"hello"
     with pytest.raises(ValueError):
         warc.unchunked(b"4\r\nhello\r\n0\r\n\r\n")
-    (record,) = warc.records(1, b"u", b"hi", None, "0.1", 10_000, 100)
+    (record,) = warc.records(1, b"u", b"hi", hashlib.sha1(b"hi").hexdigest(), None, "0.1", 10_000, 100)
     assert [b for _, b in warc.parse(record + b"\r\n\r\n" + record)] == [record.split(b"\r\n\r\n", 1)[1]] * 2
     with pytest.raises(ValueError):
         list(warc.parse(record[:-3]))

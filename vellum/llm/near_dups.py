@@ -364,6 +364,8 @@ def _components(base: DataFrame, words: int, percent: int, size: int, long: int,
     filled = index.where("doc_id IS NOT NULL AND n > 0")
     kinds = filled.groupBy("cid", "also").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first(F.struct("sketch", "parity")).alias("x"))
     kinds = work.keep(kinds.select(F.col("cid").alias("number"), "also", "rep", "n", "x.sketch", "x.parity"), "kinds")
+    rows = work.keep(index.drop("sketch", "parity").withColumnRenamed("cid", "number"), "rows")
+    work.drop(index)
     # numbers are not negative: classes that clash in theirs (none is expected) get negative ones
     clash = work.keep(kinds.groupBy("number").agg(F.count("*").alias("many"), F.min("also").alias("also")).where("many > 1").drop("many"), "clash")
     classes = kinds.withColumn("cid", F.col("number"))
@@ -376,7 +378,6 @@ def _components(base: DataFrame, words: int, percent: int, size: int, long: int,
     linked_classes(_sketch_lists(classes, percent, size, work), pairs, work, long)
 
     # rows by class; a document with several texts connects their classes
-    rows = index.drop("sketch", "parity").withColumnRenamed("cid", "number")
     filled = rows.where("doc_id IS NOT NULL AND n > 0").join(classes.select("number", "also", "cid").hint("merge"), ["number", "also"]).select("doc_id", "n", "cid")
     filled = work.keep(filled, "filled")
     several = filled.groupBy("doc_id").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")

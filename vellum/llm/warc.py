@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, shared_dir, table, text_chunks
+from ._common import Sieve, Workspace, materialize, sifted, table, text_chunks
 
 _END = b"\r\n\r\n"
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,12 +73,13 @@ def _record(kind: bytes, record_id: bytes, block: bytes, more: list[tuple[bytes,
     return b"\r\n".join([*head, b"Content-Length: %d" % len(block)]) + _END + block
 
 
-def records(page_id: object, url: bytes | None, payload: bytes, refers_to: object, serial: str, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
-    """The WARC records of one page: a revisit, or a response in one record or several segments."""
+def records(page_id: object, url: bytes | None, payload: bytes | None, sha1: str, refers_to: object, serial: str, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
+    """The WARC records of one page: a revisit (which needs no payload, but its digest), or a response in one record or several
+    segments."""
     name = f"urn:page:{page_id}".encode()
     own = f"{name.decode()}#{serial}".encode()
     target = b"".join(c if c > b" " else b"%%%02X" % c[0] for c in (bytes([b]) for b in url or b"")) or b"urn:none"
-    info = [(b"WARC-Target-URI", target), (b"Content-Type", b"application/http;msgtype=response"), (b"WARC-Payload-Digest", b"sha1:" + base32_sha1(payload).encode())]
+    info = [(b"WARC-Target-URI", target), (b"Content-Type", b"application/http;msgtype=response"), (b"WARC-Payload-Digest", b"sha1:" + base64.b32encode(bytes.fromhex(sha1)))]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + _END
     if refers_to is not None:
         return [_record(b"revisit", own, head, [*info, (b"WARC-Profile", _PROFILE), (b"WARC-Refers-To", f"<urn:page:{refers_to}>".encode())])]
@@ -101,9 +101,9 @@ def _to_records(segment_bytes: int, chunk_bytes: int):
         part, n = TaskContext.get().partitionId(), 0
         for chunk in text_chunks(batches, "payload"):
             out = []
-            for page_id, url, payload, refers_to in zip(*(chunk.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+            for page_id, url, payload, sha1, refers_to in zip(*(chunk.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to")), strict=True):
                 n += 1
-                out += records(page_id, url, payload, refers_to, f"{part}.{n}", segment_bytes, chunk_bytes)
+                out += records(page_id, url, payload, sha1, refers_to, f"{part}.{n}", segment_bytes, chunk_bytes)
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
     return each
@@ -115,13 +115,39 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, segme
     Of payloads that are equal and at least ``min_revisit_bytes`` long, the one with the largest id is the response; the
     others revisit it. Rows with a null id are responses, and so are all rows that share the largest id.
     """
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("binary").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    small = base.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(f"page_id IS NOT NULL AND size >= {int(min_revisit_bytes)}")
-    first = small.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"))
-    revisits = small.join(first, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    told = base.withColumn("digest", F.sha1("payload")).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
-    lines = told.mapInArrow(_to_records(segment_bytes, chunk_bytes), "record binary").select(F.col("record").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    with Workspace(pages.sparkSession, "op7-write") as work:
+        told = _told(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("binary").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")), int(min_revisit_bytes), work)
+        lines = told.mapInArrow(_to_records(segment_bytes, chunk_bytes), "record binary").select(F.col("record").cast("string"))
+        lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _told(base: DataFrame, least: int, work: Workspace) -> DataFrame:
+    """page_id, url, payload, sha1 and refers_to of each record: responses with their payload, revisits without.
+
+    No payload goes through an exchange but those of the few responses that a filter of the revisits lets pass. Payloads are
+    equal if length, SHA-1 and SHA-256 are. Both sides of the join on payloads are tables, so that a payload that very many
+    pages have is split.
+    """
+    known = base.select("*", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
+    known = known.withColumn("mark", F.xxhash64("page_id", "digest", "sha1"))
+    same, pair = ["digest", "sha1", "size"], ["page_id", "digest", "sha1"]
+    marks = work.keep(known.drop("payload"), "marks")
+    first = work.keep(marks.where(f"page_id IS NOT NULL AND size >= {least}").groupBy(*same).agg(F.max("page_id").alias("refers_to")), "first")
+    revisits = work.keep(marks.where("page_id IS NOT NULL").join(first.hint("merge"), same).where("page_id <> refers_to").select(*pair, "url", "mark", "refers_to"), "revisits")
+    sieve = Sieve(revisits.select("mark"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~sieve.ok(batch, "mark")))
+
+    responses = known.mapInArrow(others, known.schema)
+    passed = work.keep(sifted(marks.select(*pair, "mark"), sieve, "mark").join(revisits.select(*pair).distinct().hint("merge"), pair, "left_anti"), "passed")
+    if not passed.isEmpty():
+        some = sifted(sifted(known, sieve, "mark"), Sieve(passed.select("mark")), "mark")
+        exact = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in pair]  # a null id may pass
+        responses = responses.unionByName(some.alias("k").join(passed.select(*pair).distinct().alias("p"), exact, "left_semi"))
+    no_id = F.lit(None).cast(base.schema["page_id"].dataType)
+    return responses.select("page_id", "url", "payload", "sha1", no_id.alias("refers_to")).unionByName(revisits.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "sha1", "refers_to"))
 
 
 def _unzipped(data: bytes) -> bytes:
@@ -215,25 +241,30 @@ def _reassemble(payloads: bool):
     return each
 
 
-def read_warc(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, payloads: bool = True, work: Workspace | None = None) -> DataFrame:
     """The pages of all archives below ``path``: page_id (string), record_type, refers_to, payload_bytes, payload_digest (bare
-    base32 SHA-1) and, if asked for, the payload (null for revisits). No archives, no rows."""
+    base32 SHA-1) and, if asked for, the payload (null for revisits). No archives, no rows. Tables that the result reads are
+    in ``work``, else they stay in the shared folder."""
+    keep = work.keep if work is not None else materialize
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = materialize(files.mapInArrow(_read(payloads), RECORD), "op7-records")  # each archive is parsed once
+    records = keep(files.mapInArrow(_read(payloads), RECORD), "op7-records")  # each archive is parsed once
     parts = records.where("origin IS NOT NULL").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "total", "payload_digest", "block"))).alias("parts"))
     joined = parts.mapInArrow(_reassemble(payloads), RECORD)
     names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads]
-    found = records.where("origin IS NULL").unionByName(joined).select(*names)
-    responses = found.where("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("full")).where("to IS NOT NULL").dropDuplicates(["to", "of"])
-    out = found.join(responses, F.expr("refers_to = to AND payload_digest = of"), "left")
-    return out.select(*[F.coalesce("payload_bytes", "full").alias("payload_bytes") if c == "payload_bytes" else c for c in names])
+    found = records.where("origin IS NULL AND record_type = 'response'").unionByName(joined).select(*names)
+    # only revisits, which have no payload, are joined; what they refer to is a table, so that a page many refer to is split
+    responses = keep(found.where("page_id IS NOT NULL").groupBy(F.col("page_id").alias("to"), F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("full")), "op7-responses")
+    revisits = records.where("record_type = 'revisit'").select(*names).join(responses.hint("merge"), F.expr("refers_to = to AND payload_digest = of"), "left")
+    revisits = revisits.select(*[F.coalesce("payload_bytes", "full").alias("payload_bytes") if c == "payload_bytes" else c for c in names])
+    return found.unionByName(revisits)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/op7-warc-{uuid.uuid4().hex}"
-    write_warc(table(spark, sf_dir, "pages"), path)
-    back = read_warc(spark, path, payloads=False)
-    return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+    with Workspace(spark, "op7") as work:  # archives and tables go when their rows are written
+        path = f"{work.path}/archives"
+        write_warc(table(spark, sf_dir, "pages"), path)
+        back = read_warc(spark, path, payloads=False, work=work)
+        return materialize(back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long")), "op7-pages")
 
 
 QUERIES = {"op7_warc": op7_warc}
