@@ -12,7 +12,7 @@ from ..schema import NOTE_TYPES
 #: The score a type starts from.
 BASE = {"report": 40, "cve": 42, "technique": 78, "target": 78, "finding": 78, "writeup": 70, "tool": 78, "reference": 74}
 #: Sources only a user writes (besides those of the note-taking verbs), id prefixes of the same kind.
-USER_SOURCES = ("hackerone-mine", "manual")
+USER_SOURCES = ("hackerone-mine", "manual", "vellum-remember", "vellum-capture-idea")  # the last two: the stamps of the verbs that write
 USER_PREFIXES = ("h1mine-", "idea-", "local-")
 USER_FLOOR = 72
 #: Corpora that can be fetched again.
@@ -51,7 +51,7 @@ def is_user_authored() -> Column:
     source, note_id = F.lower(F.trim(blank(F.col("source")))), blank(F.col("id"))
     prefixes = "|".join(sorted({t[:4] for t in NOTE_TYPES}))
     by_id = note_id.rlike(rf"^(?:{'|'.join(USER_PREFIXES)})") | note_id.rlike(rf"^(?:{prefixes})-.+-\d{{17}}$")
-    return source.isin(*USER_SOURCES) | source.rlike(r"^[a-z]+-(?:remember|capture-idea)$") | by_id | F.array_contains(_tags(), "mine") | (blank(extra("authored_via")) != "")
+    return source.isin(*USER_SOURCES) | by_id | F.array_contains(_tags(), "mine") | (blank(extra("authored_via")) != "")
 
 
 def _points(severity: Column, table: dict[str, int]) -> Column:

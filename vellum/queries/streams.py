@@ -67,3 +67,19 @@ def stream_sync_counts(spark, sf_dir):
 
     flows.sync(_events(spark, sf_dir), commit, f"{top}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{top}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, coalesce(arg_max(s, turn) FILTER (s IS NOT NULL), 'hypothesis') AS status, coalesce(max(turn) FILTER (s IS NOT NULL), -1)::BIGINT AS last_turn, count(*) AS seen
+FROM (SELECT *, CASE length(text) % 7 WHEN 0 THEN 'worked' WHEN 1 THEN 'failed' WHEN 2 THEN 'partial' END AS s FROM conversations) GROUP BY conv_id""")
+def idea_states(spark, sf_dir):
+    """The state machine of ideas over a stream of turns: what each batch tells of a conversation, the last of it."""
+    top = scratch(spark)
+    schema = table(spark, sf_dir, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), F.expr("CASE length(text) % 7 WHEN 0 THEN 'worked' WHEN 1 THEN 'failed' WHEN 2 THEN 'partial' END").alias("status"))
+
+    def commit(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{top}/rows/n={n}")
+
+    flows.idea_lifecycle(turns).writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.parquet(f"{top}/rows")
+    return told.groupBy("conv_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("last_turn", "batch").alias("last_turn"), F.sum("seen").alias("seen"))
