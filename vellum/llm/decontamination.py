@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, flat_words, gram_hashes, id_and_text, mix, table, text_chunks
+from ._common import WordHashes, flat_words, gram_hashes, id_and_text, materialize, mix, table, text_chunks
 
 ANCHOR, PIECE, CELLS = 3, 256, 1 << 21
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -245,7 +245,7 @@ def benchmark_matches(
     samples: int = 8,
     places: int = 2,
     least: int = 3,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 4 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -262,13 +262,18 @@ def benchmark_matches(
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
-    base, out = id_and_text(docs, id_col, text_col), []
-    for b in range(blocks):
+    base = id_and_text(docs, id_col, text_col)
+    schema = f"doc_id {kind}, item_id long, first_word long, end_word long, distance long, similarity double"
+
+    def searched(b: int) -> DataFrame:
         mine = items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {b}"))
         rows = sorted((r["item_id"], bytes(r["text"])) for r in mine.collect())
-        index = Items(rows, similarity, walks, samples, places, least)
-        out.append(base.mapInArrow(_search(index), f"doc_id {kind}, item_id long, first_word long, end_word long, distance long, similarity double"))
-    return reduce(DataFrame.unionByName, out)
+        return base.mapInArrow(_search(Items(rows, similarity, walks, samples, places, least)), schema)
+
+    if blocks == 1:
+        return searched(0)
+    # one block after another: a block's index is gone, here and in the tasks, before the next is made
+    return reduce(DataFrame.unionByName, [materialize(searched(b), f"op3-block{b}") for b in range(blocks)])
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
