@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
 from ..session import table
-from ..sources import code
+from ..sources import code, pages
 from . import query
 
 _REST = r"regexp_replace(regexp_replace(trim(coalesce(url, '')), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//', ''), '#.*$', '')"
@@ -126,3 +126,25 @@ _POSTS = [
 def release_rows(spark, sf_dir):
     posts = spark.createDataFrame(_POSTS, "url string, title string, published string, text string").withColumn("published", F.to_date("published"))
     return code.release_rows(posts)
+
+
+def _bare_sql(html: str) -> str:
+    out = f"regexp_replace({html}, '<[^>]+>', ' ', 'g')"
+    for entity, char in text._ENTITIES:
+        out = "replace({}, '{}', '{}')".format(out, entity, char.replace("'", "''"))
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH c AS (SELECT page_id, html, regexp_split_to_array(regexp_replace(coalesce(html, ''), '{text._UNSEEN}', ' ', 'g'), '{text._PARTING}') AS l FROM pages),
+r AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS raw FROM c),
+t AS (SELECT page_id, k, {_bare_sql("raw")} AS t, coalesce(list_sum(list_transform(regexp_extract_all(raw, '{text._LINK}', 1), lambda x: length({_bare_sql("x")}))), 0) AS linked FROM r),
+s AS (SELECT *, sum(CASE WHEN t = '' THEN 0 ELSE length(t) - {text.LINK_COST} * linked - {text.BLOCK_COST} END) OVER (PARTITION BY page_id ORDER BY k) AS s FROM t),
+m AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s),
+b AS (SELECT page_id, k AS last, low FROM m WHERE s > low QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY s - low DESC, k) = 1),
+f AS (SELECT b.page_id, last, coalesce(max(s.k), 0) AS before FROM b LEFT JOIN s ON s.page_id = b.page_id AND s.k < last AND s.s = low GROUP BY ALL),
+a AS (SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY k) FILTER (t <> '') AS article FROM t JOIN f USING (page_id) WHERE k BETWEEN before + 1 AND last GROUP BY page_id),
+p AS (SELECT page_id, {_TEXT} AS plain FROM pages)
+SELECT page_id, md5(x) AS digest, length(x)::INTEGER AS n FROM (SELECT page_id, CASE WHEN length(article) >= {text.LEAST_SHARE} * length(plain) THEN article ELSE plain END AS x FROM p LEFT JOIN a USING (page_id))""")
+def extract_article(spark, sf_dir):
+    got = pages.extract_article(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return got.select("page_id", F.md5(F.col("article").cast("binary")).alias("digest"), F.length("article").alias("n"))

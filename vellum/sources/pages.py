@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import anchors, article_date, article_title, check_article_text, clean_text, html_to_text, is_research_link, slugify
+from ..functions.text import LEAST_SHARE, anchors, article_blocks, article_date, article_title, best_run, blank, check_article_text, clean_text, html_to_text, is_research_link, slugify
 from ..functions.urls import host
 
 
@@ -30,3 +30,13 @@ def articles(links: DataFrame, fetched: DataFrame) -> DataFrame:
         F.concat(F.lit("top10-"), slugify(title, 90)).alias("id"), F.lit("writeup").alias("type"), title.alias("title"), F.coalesce(F.nullif(host(F.col("url")), F.lit("")), F.lit("top10")).alias("source"), "url", day.alias("created"), tags.alias("tags"),
         F.concat(F.trim(F.substring("text", 1, 40_000)), F.lit("\n\n---\nSource: "), "url").alias("body"), check_article_text(F.col("text"), F.length("html")).alias("reason"),
     )
+
+
+def extract_article(pages: DataFrame, page: str = "html", out: str = "article") -> DataFrame:
+    """Adds the article of each page: its best run of blocks, one paragraph each; where that is under LEAST_SHARE of the page's
+    plain text (or there is none), the plain text. A null page has an empty article."""
+    rows = pages.withColumn("_blocks", article_blocks(F.col(page))).withColumn("_run", best_run(F.col("_blocks")))
+    chosen = F.slice("_blocks", F.greatest(F.col("_run.first"), F.lit(1)), F.when(F.col("_run.best") > 0, F.col("_run.last") - F.col("_run.first") + 1).otherwise(0))
+    rows = rows.withColumn("_text", F.array_join(F.filter(F.transform(chosen, lambda b: b["text"]), lambda t: t != ""), "\n\n")).withColumn("_plain", html_to_text(F.col(page)))
+    kept = (F.length("_text") > 0) & (F.length("_text") >= LEAST_SHARE * F.length("_plain"))
+    return rows.withColumn(out, F.when(kept, F.col("_text")).otherwise(F.col("_plain"))).drop("_blocks", "_run", "_text", "_plain")
