@@ -131,6 +131,43 @@ def test_a_stream_of_changes_runs_for_its_paths(spark, tmp_path):
     assert sum(t.indexed for t in told) == 2 and len(v.held()) == 2
 
 
+def test_a_folder_of_notes_from_files_to_answers(spark, tmp_path):
+    import os
+    import time
+
+    from vellum.plans import search
+    from vellum.plans.reindex import of_vault
+
+    def note(path, text, age=100.0):
+        file = tmp_path / "vault" / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"---\nid: {file.stem}\ntype: technique\ntitle: About {file.stem}\n---\n\n{text}\n")
+        os.utime(file, (time.time() - age,) * 2)
+
+    note("technique/one.md", "Cookies that crumble in the sandwich.")
+    note("technique/two.md", "Parsers that quarrel about a header.")
+    note("Templates/no.md", "never seen")
+    (tmp_path / "vault/technique/broken.md").write_text("no front matter")
+    os.utime(tmp_path / "vault/technique/broken.md", (1e9, 1e9))
+    job = of_vault(spark, f"file://{tmp_path}/vault", f"file://{tmp_path}/index")
+    assert job.run() == Reindexed(indexed=2, skipped=1)
+    asked = spark.createDataFrame([(0, "crumble"), (1, "gargoyle")], "qi int, query string")
+    found = lambda: {(r["qi"], r["id"].split("::")[0]) for r in job.words.search(asked, 3).collect()}
+    assert found() == {(0, "one")}
+    note("technique/two.md", "A gargoyle.", age=50.0)
+    note("technique/three.md", "Another gargoyle, with cookies.")
+    (tmp_path / "vault/technique/one.md").unlink()
+    assert job.run() == Reindexed(indexed=2, removed=1, skipped=1)
+    assert found() == {(1, "two"), (1, "three")}
+    best = search.search_many(job.store.read(), asked, now=0.0, k=2, index=job.words).where("qi = 1").orderBy("rank").collect()
+    assert {r["note_id"] for r in best} == {"two", "three"}
+    with pytest.warns(RuntimeWarning, match="vectors only"):
+        alone = search.search_many(job.store.read(), asked, now=0.0, k=2, index=KeywordIndex(spark, f"file://{tmp_path}/nowhere"))
+    assert alone.where("qi = 1").count() == 2
+    filtered = search.search_many(job.store.read(), asked, now=0.0, k=2, filters={"type": "report"}, index=job.words)
+    assert filtered.count() == 0
+
+
 # ---------------------------------------------------------------- landed pages
 
 

@@ -18,10 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.reports import index_diff, reap_allowed
+from ..schema import CHUNK
+from ..session import Settings, scratch
+from ..sources import notes as note_files
+from . import search
 from .keyword_index import KeywordIndex
 from .store import Snapshots
 
 SETTLE_S = 2.0
+LISTED = 10_000  # so many changed files are named to the reader; of more, all files are read and the others left out
 
 
 @dataclass(frozen=True)
@@ -119,3 +124,24 @@ class Reindex:
                 told(done)
 
         return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def of_vault(spark: SparkSession, root: str, index: str, *, embed: search.Embedder = search.hashed_words, settings: Settings = Settings()) -> Reindex:
+    """The reindex of a folder of note files into ``index``/chunks and ``index``/words. Chunker, model and width are stamped: an
+    index that was made otherwise must be made anew (``run(force=True)`` after ``store.drop()``)."""
+    from pyspark.errors import AnalysisException
+
+    walk = lambda only=None: note_files.walk(spark, root, settings.ignore_dirs, only)
+
+    def read(paths: DataFrame) -> DataFrame:
+        named = [r["path"] for r in paths.limit(LISTED + 1).collect()]
+        if len(named) <= LISTED:
+            try:
+                return note_files.parse(walk(named))
+            except AnalysisException:  # one of them went meanwhile: the second look will tell
+                pass
+        return note_files.parse(walk().join(paths, "path", "left_semi"))
+
+    store, words = Snapshots(spark, f"{index.rstrip('/')}/chunks", CHUNK), KeywordIndex(spark, f"{index.rstrip('/')}/words")
+    store.check_dim(settings.dim)
+    return Reindex(spark, store, scratch(spark), files=lambda: walk().select("path", "mtime"), read=read, rows=lambda n: search.index_rows(n, embed, settings), words=words)

@@ -18,10 +18,11 @@ _TEXTS = ("source", "url", "severity", "program")
 _MODELLED = {"id", "type", "title", "created", "ingested", "bounty", "extra", *_LISTS, *_TEXTS}
 
 
-def walk(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("Templates",)) -> DataFrame:
+def walk(spark: SparkSession, root: str, ignore: tuple[str, ...] = ("Templates",), only: list[str] | None = None) -> DataFrame:
     """path (below the root), mtime, length and content of every note file; hidden and underscored names, read-me files and
-    ignored folders are passed over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    ignored folders are passed over. ``only``: paths to look at, all of which must be there."""
+    where = root if only is None else [f"{root.rstrip('/')}/{p}" for p in only]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(where)
     rel = F.regexp_replace(F.expr("substring(path, locate(r, path) + length(r))"), "^/+", "")
     parts = F.split("path", "/")
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.startswith("_"))
