@@ -17,6 +17,13 @@ no answer. Sums are rounded only at the end.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +47,56 @@ def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and words -> term, id, tf and dl: the words of a document are counted where it stands."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part, terms, tfs, at, dls = batch.slice(lo, 64), [], [], [], []
+            for i, words in enumerate(part.column("w").to_pylist()):
+                counts = Counter(words)
+                terms += counts.keys()
+                tfs += counts.values()
+                at += [i] * len(counts)
+                dls += [len(words)] * len(counts)
+            yield pa.record_batch([pa.array(terms, pa.string()), part.column("id").take(pa.array(at, pa.int64())), pa.array(tfs, pa.int32()), pa.array(dls, pa.int32())], names=["term", "id", "tf", "dl"])
+
+
+def _packed(block: int):
+    """Postings in a row (sorted by bucket, term, segment) -> blocks of at most ``block`` of one term and segment."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, None
+        for batch in chain(batches, [None]):
+            parts = [x for x in (held, batch) if x is not None and x.num_rows]
+            if not parts:
+                continue
+            rows = pa.Table.from_batches([pa.RecordBatch.from_arrays(x.columns, names=x.schema.names) for x in parts]).combine_chunks()
+            term, segment = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy(), rows.column("segment").to_numpy()
+            new = np.concatenate([[True], (term[1:] != term[:-1]) | (segment[1:] != segment[:-1])])
+            begin = np.flatnonzero(new)
+            place = np.arange(len(new)) - np.repeat(begin, np.diff([*begin, len(new)]))
+            cuts = np.flatnonzero(place % block == 0)
+            starts, end = (cuts, len(new)) if batch is None else (cuts[:-1], int(cuts[-1]))  # the last may go on in the next batch
+            held = None if batch is None else rows.slice(end).to_batches()[0]
+            if not len(starts):
+                continue
+            full, firsts = rows.slice(0, end), pa.array(starts)
+            tf, dl, run = (full.column(c).to_numpy() for c in ("tf", "dl", "run"))
+            offsets = pa.array([*starts, end], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, full.column(c).combine_chunks()) for c in ("id", "tf", "dl")]
+            yield pa.record_batch(
+                [
+                    full.column("term").combine_chunks().take(firsts), pa.array(segment[starts]), pa.array(number + np.arange(len(starts))), pa.array(np.diff([*starts, end]).astype(np.int64)),
+                    pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts)), pa.array(np.add.reduceat(dl.astype(np.int64), starts)),
+                    pa.array(np.minimum.reduceat(run, starts)), pa.array(np.maximum.reduceat(run, starts)), *lists, full.column("bucket").combine_chunks().take(firsts),
+                ],
+                names=["term", "segment", "block", "n", "top_tf", "low_dl", "size", "low_run", "high_run", "ids", "tfs", "dls", "bucket"],
+            )
+            number += len(starts)
+
+    return each
+
+
 class _Segments(Snapshots):
     """Snapshots whose folders are partitioned by bucket."""
 
@@ -48,7 +105,7 @@ class _Segments(Snapshots):
         import uuid
 
         name = f"part-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{self.root}/{name}")
+        rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{self.root}/{name}")
         return name
 
     def _rows(self, at: dict | None) -> DataFrame:
@@ -90,9 +147,9 @@ class KeywordIndex:
                 replaced = held.join(ids, "id", "left_semi").select(F.lit(GONE).alias("term"), "id", F.lit(0).alias("tf"), "dl", "segment")
                 parts.append(self._blocks(replaced))
             if docs is not None:
-                words = docs.select("id", retrieval.tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("dl"), "w")
-                sizes = words.select(F.lit("").alias("term"), "id", F.lit(0).alias("tf"), "dl")
-                tf = words.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+                words = docs.select("id", retrieval.tokens(F.col("text")).alias("w"))
+                sizes = words.select(F.lit("").alias("term"), "id", F.lit(0).alias("tf"), F.size("w").alias("dl"))
+                tf = words.mapInArrow(_counted, f"term string, id {self.id_type}, tf int, dl int")
                 parts.append(self._blocks(sizes.unionByName(tf.select("term", "id", "tf", "dl")).withColumn("segment", F.lit(segment).cast("long"))))
             if docs is None and (not parts or replaced.isEmpty()):
                 return
@@ -104,20 +161,13 @@ class KeywordIndex:
         self.store._again(step)
 
     def _blocks(self, postings: DataFrame) -> DataFrame:
-        """term, id, tf, dl, segment -> blocks. Postings are dealt to runs by id; a run that fills a block is sorted on its own, the
-        best first, so no task holds all of a frequent term; what fills none is sorted together, run by run."""
-        dealt = postings.withColumn("run", self._run())
-        many = F.count("*").over(Window.partitionBy("term", "segment", "run"))
-        dealt = dealt.withColumn("own", F.when(many >= self.block, F.col("run") + 1).otherwise(0))
+        """term, id, tf, dl, segment -> blocks. One sort by ranges of (bucket, term, run, weight): a frequent term is split between
+        tasks, and each task packs what stands in a row. Blocks end where a task ends."""
         weight = F.col("tf") / (F.col("tf") + F.col("dl") / F.lit(200.0) + 1)  # an order only: any is right
-        order = Window.partitionBy("term", "segment", "own").orderBy("run", weight.desc(), "id")
-        placed = dealt.withColumn("place", F.row_number().over(order) - 1).withColumn("block", F.expr(f"(place div {self.block}) * {self.runs + 1}L + own"))
-        packed = placed.groupBy("term", "segment", "block").agg(F.sort_array(F.collect_list(F.struct("place", "id", "tf", "dl", "run"))).alias("p"))  # BLOCK postings
-        return packed.select(
-            "term", "segment", "block", F.size("p").cast("long").alias("n"), F.array_max("p.tf").alias("top_tf"), F.array_min("p.dl").alias("low_dl"),
-            F.aggregate("p.dl", F.lit(0).cast("long"), lambda s, x: s + x).alias("size"), F.array_min("p.run").alias("low_run"), F.array_max("p.run").alias("high_run"),
-            F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), _bucket(F.col("term"), self.buckets).alias("bucket"),
-        )
+        laid = postings.select(_bucket(F.col("term"), self.buckets).alias("bucket"), "term", F.col("segment").cast("long").alias("segment"), self._run().alias("run"), weight.alias("weight"), "id", "tf", "dl")
+        order = ["bucket", "term", "segment", "run", F.col("weight").desc(), "id"]
+        laid = laid.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        return laid.drop("weight").mapInArrow(_packed(self.block), block_schema(self.id_type))
 
     def _run(self):
         return F.pmod(F.xxhash64("id"), F.lit(self.runs)).cast("int")
