@@ -38,7 +38,8 @@ def same_text(a: Column, b: str) -> Column:
 
 
 def list_notes(catalog: DataFrame, *, type: str | None = None, program: str | None = None, status: str | None = None, tag: str | None = None, source: str | None = None, since: str | None = None, sort: str = "created", limit: int = 20, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(all that match, one page of them, newest first). catalog: id, type, program, status, tags, source, created, mtime_ns."""
+    """(all that match, one page of them, newest first). catalog: id, type, program, status, tags, source, created, mtime_ns (long, or
+    decimal for times that a long of nanoseconds does not hold)."""
     if sort not in ("created", "recent"):
         raise ValueError("sort must be 'created' or 'recent'")
     if not 1 <= limit <= 500 or offset < 0:

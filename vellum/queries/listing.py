@@ -70,7 +70,7 @@ def date_windows(spark, sf_dir):
 def _catalog(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.format_string("doc-%06d", "doc_id").alias("id"), F.col("lang").alias("type"), F.col("source").alias("program"), F.lit(None).cast("string").alias("status"), F.array("lang", "source").alias("tags"), F.lit("manual").alias("source"),
-        F.expr("CASE WHEN n_chars % 4 <> 0 THEN date_add(DATE '2020-01-01', cast(n_chars % 1500 AS int)) END").alias("created"), F.expr("doc_id * 86400000000000L + 7").alias("mtime_ns"),
+        F.expr("CASE WHEN n_chars % 4 <> 0 THEN date_add(DATE '2020-01-01', cast(n_chars % 1500 AS int)) END").alias("created"), F.expr("cast(doc_id AS decimal(20, 0)) * 86400000000000L + 7").alias("mtime_ns"),  # days beyond 2262 are no long of nanoseconds
     )
 
 
