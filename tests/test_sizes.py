@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.registry import QUERIES, SQL
 
 
-@pytest.mark.parametrize("name", ["list_page_created"])
+@pytest.mark.parametrize("name", ["list_page_created", "list_page_recent"])
 def test_listings_of_large_ids(spark, tmp_path, name):
     import duckdb
 
