@@ -16,3 +16,20 @@ def test_listings_of_large_ids(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = QUERIES[name](spark, f"file://{tmp_path}")
     assert rows_of_sql(con, SQL[name]) == (sorted(got.columns), rows_of(got))
+
+
+def test_many_flushes_leave_few_folders_and_each_id_once(spark, tmp_path):
+    import json
+
+    from vellum.plans.store import MERGE, Snapshots
+    from vellum.streaming.ingest import Ingest, landed_pages
+
+    for page in range(2 * MERGE + 3):  # ids of a page come again in the next one
+        (tmp_path / "pages").mkdir(exist_ok=True)
+        (tmp_path / f"pages/{page}.json").write_text(json.dumps({"items": [{"n": 8 * page + i} for i in range(10)]}))
+    store = Snapshots(spark, f"file://{tmp_path}/store", "id string, n long")
+    job = Ingest(store, "feed", lambda part: part.select(F.format_string("note-%d", "item.n").alias("id"), F.col("item.n").alias("n")), flush=4)
+    job.start(landed_pages(spark, f"file://{tmp_path}/pages", "struct<n: bigint>", max_files=1), f"file://{tmp_path}/cp").awaitTermination()
+    assert sorted(r["n"] for r in store.read().collect()) == list(range(8 * (2 * MERGE + 3) + 2))
+    at = store.pointer()
+    assert len(at["dirs"]) == 5 and at["version"] == 2 * MERGE + 3 + 2  # a commit for each batch and each merge
