@@ -33,3 +33,25 @@ def test_many_flushes_leave_few_folders_and_each_id_once(spark, tmp_path):
     assert sorted(r["n"] for r in store.read().collect()) == list(range(8 * (2 * MERGE + 3) + 2))
     at = store.pointer()
     assert len(at["dirs"]) == 5 and at["version"] == 2 * MERGE + 3 + 2  # a commit for each batch and each merge
+
+
+def test_costs_of_words_are_kept_not_made_again(monkeypatch):
+    from vellum.operators import chunking
+
+    walked = []
+    monkeypatch.setattr(chunking, "_RUN", type("Runs", (), {"findall": lambda self, t, run=chunking._RUN: walked.append(len(t)) or run.findall(t)})())
+    body = "\n".join("quaint words that come again, line by line." for _ in range(400))
+    assert len(chunking.chunk_markdown(body, window=128)) > 20
+    assert sum(walked) < 1000  # of 17,600 letters
+
+
+def test_sizes_from_the_ruler_are_those_of_the_text():
+    from vellum.operators import chunking as c
+
+    for body in ("plain words here.\nand\tmore\x0bof them", "with\xa0odd spaces\x1cbetween, all over", "x" * 500 + " tail", "```\ncode is here\n```\nbehind it", "a\n\n| h |\n|-|\n| cell |\n\nb"):
+        seen = c.Outline(body)
+        ruler = c.Ruler(seen, 0, len(seen.lines), 60, c.estimate_tokens)
+        for i in range(len(ruler.begin)):
+            for j in range(i + 1, len(ruler.begin) + 1):
+                text = ruler.text(i, j)
+                assert ruler.size(i, j, text) == c._tokens(sum(map(c._cost, c._RUN.findall(text))))
