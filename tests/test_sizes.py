@@ -55,3 +55,18 @@ def test_sizes_from_the_ruler_are_those_of_the_text():
             for j in range(i + 1, len(ruler.begin) + 1):
                 text = ruler.text(i, j)
                 assert ruler.size(i, j, text) == c._tokens(sum(map(c._cost, c._RUN.findall(text))))
+
+
+def test_a_block_of_chunks_is_sent_once_for_a_strip_of_questions(spark, monkeypatch):
+    import numpy as np
+
+    from vellum.operators import retrieval
+
+    sent, blocks = {}, retrieval._blocks
+    monkeypatch.setattr(retrieval, "_blocks", lambda df, size, name: sent.setdefault(name, blocks(df, size, name)))
+    at = np.random.default_rng(5).normal(size=(700, 3))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(at)], "id long, vector array<double>")
+    got = retrieval.knn(rows, rows.where("id < 300").select(F.col("id").alias("qi"), F.col("vector").alias("qv")), 3).collect()
+    dist = ((at[:300, None] - at[None]) ** 2).sum(2)
+    assert {(r["qi"], r["rank"], r["id"]) for r in got} == {(q, k + 1, int(i)) for q in range(300) for k, i in enumerate(np.argsort(dist[q], kind="stable")[:3])}
+    assert sent["queries"].count() == 1
