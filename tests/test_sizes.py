@@ -70,3 +70,12 @@ def test_a_block_of_chunks_is_sent_once_for_a_strip_of_questions(spark, monkeypa
     dist = ((at[:300, None] - at[None]) ** 2).sum(2)
     assert {(r["qi"], r["rank"], r["id"]) for r in got} == {(q, k + 1, int(i)) for q in range(300) for k, i in enumerate(np.argsort(dist[q], kind="stable")[:3])}
     assert sent["queries"].count() == 1
+
+
+def test_short_words_are_counted_together(spark):
+    from vellum.operators import chunking as c
+
+    texts = ["ab1cd", "12ab34", "a I be", "word Words wOrd WORD ab\U0001f600cd", "sevenle eightlet", "x.yz,Ab-cD", "\xa0ab\x1ccd\n\tef", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", c.token_estimate(F.col("t")).alias("n"))
+    assert {r["i"]: r["n"] for r in rows.collect()} == {i: c.estimate_tokens(t or "") for i, t in enumerate(texts)}
+    assert "regexp_count" in rows._jdf.queryExecution().analyzed().toString().lower()
