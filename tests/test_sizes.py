@@ -18,6 +18,27 @@ def test_listings_of_large_ids(spark, tmp_path, name):
     assert rows_of_sql(con, SQL[name]) == (sorted(got.columns), rows_of(got))
 
 
+def test_a_listing_of_ids_whose_days_no_timestamp_holds(spark, tmp_path):
+    import duckdb
+
+    spark.read.parquet(f"{DATA}/documents.parquet").withColumn("doc_id", F.expr("doc_id + 2000000000")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, day in (("list_page_recent", "written"), ("list_page_created", "day")):
+        got = QUERIES[name](spark, f"file://{tmp_path}").select("id", F.unix_date(day).alias("n"))  # no Python date has such a year
+        assert rows_of_sql(con, f"SELECT id, {day} - DATE '1970-01-01' AS n FROM ({SQL[name]})") == (["id", "n"], rows_of(got))
+
+
+def test_the_day_of_a_time_is_floored(spark):
+    from vellum.functions.numbers import effective_day
+
+    day = 86_400_000_000_000
+    times = [0, 7, day - 1, day, -1, -day, -day - 1, 1_700_000_000_123_456_789]
+    for kind in ("long", "decimal(38,0)"):
+        rows = spark.createDataFrame([(t,) for t in times], "t long").select("t", F.unix_date(effective_day(F.lit(None).cast("date"), F.col("t").cast(kind))).alias("n"))
+        assert {r["t"]: r["n"] for r in rows.collect()} == {t: t // day for t in times}
+
+
 def test_many_flushes_leave_few_folders_and_each_id_once(spark, tmp_path):
     import json
 
