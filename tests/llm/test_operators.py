@@ -116,6 +116,29 @@ def test_op1_locate_by_definition(passages, words):
     assert got == substring_dedup.joined_spans((i, i + 4) for i in range(len(words) - 3) if tuple(words[i : i + 4]) in windows)
 
 
+def test_op1_a_block_of_very_many_passages_is_looked_up_once(monkeypatch):
+    common = [b"c%d" % i for i in range(60)]
+    passages = [(i, [*(b"l%d-%d" % (i, j) for j in range(20)), *common, *(b"r%d-%d" % (i, j) for j in range(20))]) for i in range(500)]
+    shard = substring_dedup.Shard(passages, 50)
+    assert len(shard.at) == 500 * 51 - 499 * 11  # windows within the common words stand there once
+    compared, equal = [], substring_dedup._equal
+    monkeypatch.setattr(substring_dedup, "_equal", lambda x, at, *rest: compared.append(len(at)) or equal(x, at, *rest))
+    assert shard.locate(600, [b"x", *common, b"y"]) == [(1, 61)] and shard.locate(0, [b"x", *common, b"y"]) == []
+    assert shard.locate(1, passages[300][1]) == [(20, 80)] and shard.locate(301, passages[300][1]) == [(0, 100)]
+    assert sum(compared) < 200
+
+
+def test_op1_keys_that_differ_in_content(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_window_keys", lambda codes, width: np.zeros(len(codes) - width + 1, np.uint64))
+    rng = random.Random(3)
+    for _ in range(50):
+        passages = [(i, [b"%d" % rng.randrange(3) for _ in range(rng.randrange(4, 20))]) for i in range(5)]
+        words = [b"%d" % rng.randrange(3) for _ in range(40)]
+        windows = {tuple(p[i : i + 4]) for o, p in passages if o < 3 for i in range(len(p) - 3)}
+        want = substring_dedup.joined_spans((i, i + 4) for i in range(37) if tuple(words[i : i + 4]) in windows)
+        assert substring_dedup.Shard(passages, 4).locate(3, words) == want
+
+
 def test_op1_carried_columns_with_the_operator_s_names(spark):
     df = spark.createDataFrame([(1, "a b", 7, "s")], "doc_id long, text string, n_words int, spans string")
     row = substring_dedup.substring_dedup(df, carry=["n_words", "spans", "text"]).first()

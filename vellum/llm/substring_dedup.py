@@ -10,8 +10,9 @@
 3. Compile. The passages are dealt by owner into shards of about SHARD_BYTES. A passage is compiled as its consecutive blocks of
    half a window: a window inside a passage always holds a whole block, and blocks do not overlap, so an Aho-Corasick automaton
    is as large as its passages.
-4. Stream. Every document that has a recurring seed is streamed through the automata of its owners' shards. Each block found
-   is extended word by word, both ways, as far as document and passage agree; from 50 words on that is an occurrence.
+4. Stream. Every document that has a recurring seed is streamed through the automata of its owners' shards. The windows around
+   each block found are looked up among the shard's (by hash, then word by word); each content is there once, so a block that very
+   many passages hold costs no more than a rare one.
 
 Owners are sums (the least place of a content, of a window), made before the shuffle where rows allow it and written before
 they are joined, so that hot keys can be split. A shard that many documents name is copied for each STREAM of them. Nothing
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BASE_A, BASE_B, Sieve, WordHashes, Workspace, flat_words, free_name, gram_hashes, materialize, prefix_sums, sifted, sliding_min, span_hashes, table, text_chunks
+from ._common import BASE_A, BASE_B, Sieve, WordHashes, Workspace, flat_words, free_name, gram_hashes, materialize, mix, prefix_sums, sifted, sliding_min, span_hashes, table, text_chunks
 
 SHARD_BYTES, STREAM = 1 << 20, 4096  # of passages in an automaton; documents that go through one copy of it
 _RUN = "seed long, content long, doc_id long, version int, first int, last int"
@@ -106,10 +107,25 @@ def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _window_keys(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` consecutive codes, from hashes of halves. Equal windows have equal keys; the reverse is looked up."""
+    by, size = np.uint64(BASE_B), 1
+    keys = mix(codes.astype(np.uint64) + np.uint64(BASE_A))
+    while size * 2 <= width:
+        keys, size = mix(keys[:-size] * by + keys[size:]), size * 2
+    return mix(keys[: len(keys) - (width - size)] * by + keys[width - size :]) if size < width else keys
+
+
+def _equal(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, width: int) -> np.ndarray:
+    """Whether the windows of x at ``at`` are those of y at ``there``, code by code."""
+    xs, ys = (np.lib.stride_tricks.sliding_window_view(z, width) for z in (x, y))
+    return np.concatenate([np.empty(0, bool), *((xs[at[i : i + 65536]] == ys[there[i : i + 65536]]).all(axis=1) for i in range(0, len(at), 65536))])
+
+
 class Shard:
-    """The automaton of some passages: (owner, words) each."""
+    """The automaton of some passages: (owner, words) each; and their windows, each content once, with its smallest owner."""
 
-    LETTERS = 1_100_000  # code points there are; words beyond share letters, which the extension tells apart
+    LETTERS = 1_100_000  # code points there are; words beyond share letters, which the windows tell apart
 
     def __init__(self, passages: list[tuple[int, list[bytes]]], width: int):
         self.width, self.block = width, width // 2
@@ -121,22 +137,26 @@ class Shard:
                     self.letters[w] = self.letter(len(self.letters))
         if len(self.letters) > self.LETTERS:
             self.numbers = {w: i for i, w in enumerate(self.letters)}
-        self.ends = np.cumsum([len(words) for _, words in passages])
-        self.owners = [owner for owner, _ in passages]
-        blocks: dict[str, list[tuple[int, int]]] = {}
-        at, flat = 0, []
-        for number, (_, words) in enumerate(passages):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        flat = []
+        for _, words in passages:
             row, own = self.codes(words)
             for start in range(0, len(words) - self.block + 1, self.block):
-                blocks.setdefault(row[start : start + self.block], []).append((at + start, number))
-            at += len(words)
+                self.automaton.add_word(row[start : start + self.block])
             flat.append(own)
-        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int64)
-        self.automaton = ahocorasick.Automaton()
-        for block, places in blocks.items():
-            self.automaton.add_word(block, places)
-        if blocks:
+        if len(self.automaton):
             self.automaton.make_automaton()
+        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int64)
+        at, number = _valid_starts(np.cumsum([0, *map(len, flat)]), width)
+        self.keys, self.at, self.owners = np.empty(0, np.uint64), at, np.array([owner for owner, _ in passages], np.int64)[number]
+        if len(at):
+            keys = _window_keys(self.flat, width)[at]
+            order = np.lexsort((self.owners, keys))
+            keys, at, owners = keys[order], at[order], self.owners[order]
+            alike = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+            once = np.ones(len(at), bool)
+            once[alike] = ~_equal(self.flat, at[alike], self.flat, at[alike - 1], width)
+            self.keys, self.at, self.owners = keys[once], at[once], owners[once]
 
     @classmethod
     def letter(cls, number: int) -> str:
@@ -151,35 +171,35 @@ class Shard:
             return row, np.array([self.numbers.get(w, -1) for w in words], np.int64)
         return row, np.frombuffer(row.encode("utf-32-le"), np.uint32)
 
-    @staticmethod
-    def agree(x: np.ndarray, y: np.ndarray) -> int:
-        """How many values from the start on are equal."""
-        n, at, step = min(len(x), len(y)), 0, 64
-        while at < n:
-            apart = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
-            if len(apart):
-                return at + int(apart[0])
-            at, step = at + step, 2 * step
-        return n
-
     def locate(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Spans of the words in which a passage of a smaller document stands, of ``width`` words at least."""
-        if not len(self.automaton):
+        """Spans of the words in which a passage of a smaller document stands, of ``width`` words at least. A window is looked
+        up once, however many passages hold the block that was found in it."""
+        last = len(words) - self.width
+        if not len(self.keys) or last < 0:
             return []
-        out, reached = [], {}
         row, own = self.codes(words)
-        for end, places in self.automaton.iter(row):
-            start = end - self.block + 1
-            for place, number in places:
-                if self.owners[number] >= doc_id or reached.get((number, start - place), 0) > start:
-                    continue
-                low, high = int(self.ends[number - 1]) if number else 0, int(self.ends[number])
-                left = self.agree(own[:start][::-1], self.flat[low:place][::-1])
-                right = self.agree(own[start:], self.flat[place:high])
-                reached[number, start - place] = start + max(right, 1)
-                if left + right >= self.width:
-                    out.append((start - left, start + right))
-        return joined_spans(out)
+        ends = np.fromiter((end for end, _ in self.automaton.iter(row)), np.int64) + 1
+        if not len(ends):
+            return []
+        opens = np.zeros(last + 2, np.int64)  # windows that hold a whole block
+        first, stop = np.maximum(ends - self.width, 0), np.minimum(ends - self.block, last) + 1
+        np.add.at(opens, first[first < stop], 1)
+        np.add.at(opens, stop[first < stop], -1)
+        at = np.flatnonzero(np.cumsum(opens))
+        keys = _window_keys(own, self.width)[at]
+        place, found, live = np.searchsorted(self.keys, keys), np.zeros(len(at), bool), np.arange(len(at))
+        while len(live):
+            live = live[place[live] < len(self.keys)]
+            live = live[self.keys[place[live]] == keys[live]]
+            same = _equal(own, at[live], self.flat, self.at[place[live]], self.width)
+            found[live[same]] = self.owners[place[live[same]]] < doc_id
+            live = live[~same]  # one key of several contents
+            place[live] += 1
+        at = at[found]
+        if not len(at):
+            return []
+        cut = np.flatnonzero(np.diff(at) > self.width)
+        return list(zip(at[[0, *(cut + 1)]].tolist(), (at[[*cut, len(at) - 1]] + self.width).tolist(), strict=True))
 
 
 def _extract(width: int):
