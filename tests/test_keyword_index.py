@@ -97,3 +97,26 @@ def test_two_writers(spark, tmp_path):
     a.add(first)
     b.add(second)
     assert Counter(r["id"] for r in a._sizes(a.store.read()).collect()) == Counter(range(20))
+
+
+def test_pieces_are_shuffled_and_blocks_follow_the_runs(spark, tmp_path, monkeypatch):
+    """Postings are packed before the shuffle, whatever the tasks and batches; blocks of a term do not repeat the runs of others."""
+    from vellum.plans import keyword_index
+
+    monkeypatch.setattr(keyword_index, "PACK", 500)
+    rows = [(i, "common " * (1 + i % 3) + f"w{i % 7} x{i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "id long, search_text string").repartition(4)
+    index = KeywordIndex(spark, f"file://{tmp_path}/index", "long", block=8, buckets=2)
+    words = docs.select("id", index._run().alias("run"), F.split("search_text", " ").alias("w"))
+    pieces = words.mapInArrow(keyword_index._pieces(8, 256), "term string, n int, low_run int, ids array<bigint>, tfs array<int>, dls array<int>, at array<int>")
+    assert pieces.where("term = 'common'").count() < 2000 / 5  # rows of the shuffle
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # pieces of a term come in several batches
+    try:
+        index.add(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks = index.store.read().where("term = 'common'").collect()
+    assert sum(b["n"] for b in blocks) == 2000 == len({i for b in blocks for i in b["ids"]}) and max(b["n"] for b in blocks) == 8
+    assert sum(b["high_run"] - b["low_run"] for b in blocks) < 3 * 256
+    assert index.store.read().where("term = ''").agg(F.sum("n")).first()[0] == 2000
+    same(index, docs, spark.createDataFrame([(1, "common w3 x17")], "qi int, query string"), 5)
