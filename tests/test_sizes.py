@@ -100,3 +100,22 @@ def test_short_words_are_counted_together(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", c.token_estimate(F.col("t")).alias("n"))
     assert {r["i"]: r["n"] for r in rows.collect()} == {i: c.estimate_tokens(t or "") for i, t in enumerate(texts)}
     assert "regexp_count" in rows._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_a_word_of_many_texts_is_hashed_once(monkeypatch):
+    import zlib
+
+    import numpy as np
+
+    from vellum.plans import search
+
+    hashed, crc32 = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda b: hashed.append(b) or crc32(b))
+    texts = ["One two, two\nthree 4x", "", None, "three é two " * 50]
+    got = search.hashed_words(texts, 8)
+    assert sorted(hashed) == [b"4x", b"one", b"three", b"two"]
+    for row, text in zip(got, ["one two two three 4x", "", "", "three two " * 50], strict=True):
+        counts = np.zeros(8, np.float32)
+        for w in text.split():
+            counts[crc32(w.encode()) % 8] += 1
+        assert row.tolist() == (counts / (np.linalg.norm(counts) or 1)).astype(np.float32).tolist()
