@@ -119,3 +119,29 @@ def test_a_word_of_many_texts_is_hashed_once(monkeypatch):
         for w in text.split():
             counts[crc32(w.encode()) % 8] += 1
         assert row.tolist() == (counts / (np.linalg.norm(counts) or 1)).astype(np.float32).tolist()
+
+
+def test_a_task_has_few_blocks_of_chunks(spark, monkeypatch):
+    """However few files the vectors stand in: Spark hands the pairs of a task to Python in one batch."""
+    import numpy as np
+
+    from vellum.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 50)
+    pairs, nearest = [], retrieval._nearest
+
+    def counted(k, vector, key):
+        def each(batches):
+            for batch in batches:
+                assert batch.num_rows <= 4, f"{batch.num_rows} pairs of blocks in one batch"
+                yield from nearest(k, vector, key)([batch])
+
+        pairs.append(1)
+        return each
+
+    monkeypatch.setattr(retrieval, "_nearest", counted)
+    at = np.random.default_rng(7).normal(size=(1000, 3))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(at)], "id long, vector array<double>").coalesce(1)
+    got = retrieval.knn(rows, rows.where("id % 50 = 0").select(F.col("id").alias("qi"), F.col("vector").alias("qv")), 3).collect()
+    dist = ((at[::50, None] - at[None]) ** 2).sum(2)
+    assert pairs and {(r["qi"], r["rank"], r["id"]) for r in got} == {(50 * q, k + 1, int(i)) for q in range(20) for k, i in enumerate(np.argsort(dist[q], kind="stable")[:3])}
