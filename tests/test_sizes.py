@@ -145,3 +145,48 @@ def test_a_task_has_few_blocks_of_chunks(spark, monkeypatch):
     got = retrieval.knn(rows, rows.where("id % 50 = 0").select(F.col("id").alias("qi"), F.col("vector").alias("qv")), 3).collect()
     dist = ((at[::50, None] - at[None]) ** 2).sum(2)
     assert pairs and {(r["qi"], r["rank"], r["id"]) for r in got} == {(50 * q, k + 1, int(i)) for q in range(20) for k, i in enumerate(np.argsort(dist[q], kind="stable")[:3])}
+
+
+def _prose(texts, copies):
+    import random
+
+    rng = random.Random(11)
+    bodies = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(texts)]
+    near = [[*b[:60], "odd", *b[60:]] for b in bodies[: texts // 2]]
+    return [(i, " ".join(b)) for i, b in enumerate((bodies + near) * copies)], texts, texts // 2
+
+
+def test_signatures_are_shuffled_slice_by_slice(spark, monkeypatch):
+    """The index of all texts is no grouped row, and a slice of it has its share of the signatures."""
+    import pyarrow as pa
+
+    from vellum.llm import _common, ngram_join
+
+    rows, texts, near = _prose(40, 3)
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows])], names=["doc_id", "text"])
+    (index,) = ngram_join._index(5, 80)(iter([batch]))
+    sizes = [len(index.column(f"sigs{i}").flatten()) for i in range(ngram_join.SLICES)]
+    assert len(sizes) > 1 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+    plans, keep = {}, ngram_join.Workspace.keep
+    monkeypatch.setattr(ngram_join.Workspace, "keep", lambda self, df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (_common.Sieve.MOST, 64):  # the second filter lets everything pass
+        monkeypatch.setattr(_common.Sieve, "MOST", most)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(docs, words=5, percent=80, count_links=False).collect()}
+        first = {i: (i % (texts + near)) % texts for i in got}
+        assert got == first
+    assert len(plans["slice"]) == 2 * ngram_join.SLICES
+    moved = [line for some in plans.values() for plan in some for line in plan.splitlines() if any(x in line for x in ("Aggregate", "Join", "Sort", "Repartition")) and "sigs" in line]
+    assert not moved, moved[0]
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    from vellum.llm._common import without
+
+    rows = spark.createDataFrame([(i if i % 97 else None, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    gone = rows.where("doc_id % 50 = 7").select("doc_id")
+    left = without(rows, gone)
+    assert sorted(r["text"] for r in left.collect()) == sorted(f"text {i}" for i in range(2000) if not i % 97 or i % 50 != 7)
+    through = left.where("doc_id IS NULL OR doc_id % 50 <> 7")._jdf.queryExecution().optimizedPlan().toString()
+    assert through.count("Join") == 1 and "Union" in through

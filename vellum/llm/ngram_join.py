@@ -33,15 +33,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BASE_A, Sieve, WordHashes, Workspace, connected_components, flat_words, gram_hashes, id_and_text, materialize, mix, prefix_sums, span_hashes, table, text_chunks
+from ._common import BASE_A, Sieve, WordHashes, Workspace, connected_components, flat_words, gram_hashes, id_and_text, materialize, mix, prefix_sums, sifted, span_hashes, table, text_chunks
 
 SHARED = 3  # lists that two similar sets share at least
 SHRINK = 0.7
 SKETCH = 16  # 64-bit words
 TILE = 2048
+SLICES = 4  # of the index: so much of it is shuffled at once
 
 
 def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -125,21 +127,50 @@ def _index(k: int, percent: int):
                 sigs += got
                 sizes.append(sum(map(len, got)))
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            of, piece = np.repeat(np.arange(len(sizes)), sizes), flat % np.uint64(SLICES)
+            pieces = []
+            for i in range(SLICES):
+                mine = piece == i
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(of[mine], minlength=len(sizes)))]).astype(np.int32)
+                pieces.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[mine].view(np.int64))))
             yield pa.record_batch(
-                [
-                    chunk.column("doc_id"),
-                    pa.array(n, pa.int64()),
-                    pa.array(cid, pa.int64()),
-                    pa.array(sketch, pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                ],
-                names=["doc_id", "n", "cid", "sketch", "sigs"],
+                [chunk.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), *pieces],
+                names=["doc_id", "n", "cid", "sketch", *(f"sigs{i}" for i in range(SLICES))],
             )
 
     return each
 
 
+def _listed(sieve: Sieve):
+    """key, cid, n and signatures of texts -> a row for each signature. The sieve lets one text of each class pass, and others by
+    chance: the same row may come twice."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(sieve.ok(batch, "key")))
+            at = np.repeat(np.arange(some.num_rows), pc.list_value_length(some.column("sigs")).to_numpy(zero_copy_only=False))
+            yield pa.record_batch([some.column("cid").take(pa.array(at)), some.column("n").take(pa.array(at)), some.column("sigs").flatten()], names=["a", "na", "sig"])
+
+    return each
+
+
+def _shared(index: DataFrame, classes: DataFrame, work: Workspace) -> DataFrame:
+    """Members (a, na) of the lists (sig) that two classes or more are in. Signatures are most of what an index has, and most are of
+    one class only: they are shuffled slice by slice, so what lies on disk at once is a share of them."""
+    key, parts = F.xxhash64("rep", "cid").alias("key"), []
+    sieve = Sieve(work.keep(classes.select(key), "keys"))
+    rows = index.where("doc_id IS NOT NULL AND n > 0").withColumnRenamed("doc_id", "rep")
+    for i in range(SLICES):
+        some = rows.select(key, "cid", "n", F.col(f"sigs{i}").alias("sigs")).mapInArrow(_listed(sieve), "a long, na long, sig long")
+        met = work.keep(some.groupBy("sig").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("sig"), "met")
+        parts.append(work.keep(some.join(met.hint("merge"), "sig").select("sig", "a", "na"), "slice"))
+        work.drop(met)
+    shared = work.keep(reduce(DataFrame.unionByName, parts).distinct(), "shared")
+    for part in parts:
+        work.drop(part)
+    return shared
+
+
 def _sets(k: int, sieve: Sieve):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -297,20 +328,23 @@ def ngram_jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, co
 
 def _joined(base: DataFrame, words: int, percent: int, count_links: bool, work: Workspace) -> DataFrame:
     known = base.where("doc_id IS NOT NULL")
-    index = work.keep(base.mapInArrow(_index(words, percent), "doc_id long, n long, cid long, sketch array<long>, sigs array<long>"), "index")
+    slices = ", ".join(f"sigs{i} array<long>" for i in range(SLICES))
+    index = work.keep(base.mapInArrow(_index(words, percent), f"doc_id long, n long, cid long, sketch array<long>, {slices}"), "index")
     rows = work.keep(index.select("doc_id", "n", "cid"), "rows")
-    # one row for each content: copies are gone before anything is listed
-    kinds = index.where("doc_id IS NOT NULL AND n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("size"), F.first(F.struct("sketch", "sigs")).alias("x"))
-    kinds = work.keep(kinds.select("cid", "rep", "n", "size", "x.sketch", "x.sigs"), "classes")
-    work.drop(index)
-    classes, sketches = kinds.select("cid", "rep", "n", "size"), kinds.select(F.col("cid").alias("a"), "sketch")
+    # one row for each content: of copies one text is listed
+    classes = work.keep(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("size")), "classes")
 
     # members of lists with two classes or more; a set needs SHARED of them to have a partner
-    lists = kinds.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.explode("sigs").alias("sig"))
-    counts = work.keep(lists.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1"), "counts")
-    lists = work.keep(lists.join(counts.hint("merge"), "sig"), "lists")
-    meets = work.keep(lists.groupBy("a").agg(F.sum("many").alias("meets"), F.count("*").alias("listed")).where(f"listed >= {SHARED}"), "meets")
-    lists = work.keep(lists.join(meets.select("a", "meets").hint("merge"), "a"), "members")
+    shared = _shared(index, classes, work)
+    counts = work.keep(shared.groupBy("sig").agg(F.count("*").alias("many")), "counts")
+    listed = work.keep(shared.join(counts.hint("merge"), "sig"), "lists")
+    work.drop(shared)
+    meets = work.keep(listed.groupBy("a").agg(F.sum("many").alias("meets"), F.count("*").alias("listed")).where(f"listed >= {SHARED}"), "meets")
+    lists = work.keep(listed.join(meets.select("a", "meets").hint("merge"), "a"), "members")
+    work.drop(listed)
+    sketches = sifted(index.where("doc_id IS NOT NULL AND n > 0").select(F.col("cid").alias("a"), "sketch"), Sieve(meets.select("a")), "a")
+    sketches = work.keep(sketches.groupBy("a").agg(F.first("sketch").alias("sketch")), "sketches")
+    work.drop(index)
     centres = lists.groupBy("sig").agg(F.max(F.struct("meets", (-F.col("a")).alias("less"), F.col("na").alias("nb"))).alias("c"), F.count("*").alias("left")).where("left > 1")
     centres = work.keep(centres.select("sig", (-F.col("c.less")).alias("b"), F.col("c.nb").alias("nb"), F.col("c.meets").alias("most")), "centres")
     pair = ["a", "b", "na", "nb"]
