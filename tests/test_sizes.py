@@ -190,3 +190,17 @@ def test_rows_that_stay_are_not_shuffled(spark):
     assert sorted(r["text"] for r in left.collect()) == sorted(f"text {i}" for i in range(2000) if not i % 97 or i % 50 != 7)
     through = left.where("doc_id IS NULL OR doc_id % 50 <> 7")._jdf.queryExecution().optimizedPlan().toString()
     assert through.count("Join") == 1 and "Union" in through
+
+
+def test_chunks_are_judged_beside_their_text(spark):
+    """Nothing is shuffled, and each row is judged by its own text, also where rows repeat an id or have none."""
+    import tempfile
+
+    from vellum.queries.retrieval import chunk_invariants
+
+    top = tempfile.mkdtemp()
+    rows = [(1, "One line. " * 300), (1, "# Head\nsome words\n" * 40), (None, "no id here"), (2, None), (3, " \n\t"), (4, "a\xa0b # c " * 100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{top}/documents.parquet")
+    got = chunk_invariants(spark, f"file://{top}")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={i}, lost=0, invented=0, too_long=0, numbered=True)" for i in (1, 1, 4, None))
