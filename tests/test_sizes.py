@@ -204,3 +204,32 @@ def test_chunks_are_judged_beside_their_text(spark):
     got = chunk_invariants(spark, f"file://{top}")
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={i}, lost=0, invented=0, too_long=0, numbered=True)" for i in (1, 1, 4, None))
+
+
+def test_texts_stay_where_they_are_until_they_are_shown(spark, tmp_path, monkeypatch):
+    """No exchange carries texts of chunks: neither when they are cut, nor when a question's best are shown; words are shuffled in slices."""
+    import re
+
+    from vellum.plans import keyword_index, search
+    from vellum.queries.retrieval import NOW, notes_of
+
+    def moved(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [x for x in re.findall(r"Exchange hashpartitioning.*|SortMergeJoin.*", plan)]
+
+    rows = search.index_rows(notes_of(spark, DATA))
+    assert not moved(rows)
+    rows.limit(300).write.parquet(f"file://{tmp_path}/chunks")
+    chunks, index = spark.read.parquet(f"file://{tmp_path}/chunks"), keyword_index.KeywordIndex(spark, f"file://{tmp_path}/index")
+    written, write = [], keyword_index._Segments._write
+    monkeypatch.setattr(keyword_index._Segments, "_write", lambda self, df, name=None: written.append(name) or write(self, df, name))
+    monkeypatch.setattr(keyword_index, "SLICE", 30_000)
+    index.add(chunks)
+    assert len(written) > 2 and len(set(written[1:])) == 1
+    assert {p.name[:5] for p in (tmp_path / "index").iterdir() if p.is_dir()} == {"part-"}
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["the first words", "other text of them"])], "qi long, query string")
+    found = search.search_many(chunks, asked, now=NOW, k=3, index=index)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("excerpt")].count("Window")
+    assert not above and "strategy=broadcast" in plan[plan.index("excerpt") :][:20000]
+    assert found.groupBy("qi").count().where("count > 3").isEmpty() and found.where("length(excerpt) = 0").isEmpty() and found.count() > 0
